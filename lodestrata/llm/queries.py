@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import encoding, mixing
+from . import cooccurrence, encoding, mixing
+
+
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of entities in five or more common chunks, of a cosine of a half or more, with their lift."""
+    return cooccurrence.pair_counts(table(spark, sf_dir, "mentions"), "chunk_id", cooccurrence.entity_key(), 5, 0.5)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_pairs(spark, sf_dir).select("key_a", "key_b")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +39,23 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p6_found": p6_found,
+    "p6_pairs": p6_pairs,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_report": p9_report,
     "p9_mix": p9_mix,
 }
 
-SQL: dict[str, str] = {}
+_P6 = """
+WITH m AS (SELECT DISTINCT chunk_id, type || '::' || lower(trim(name)) AS k FROM mentions
+           WHERE chunk_id IS NOT NULL AND trim(name) <> '' AND trim(type) <> ''),
+n AS (SELECT k, count(*) AS n FROM m GROUP BY k),
+p AS (SELECT a.k AS key_a, b.k AS key_b, count(*) AS n_ab FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.k < b.k
+      GROUP BY 1, 2 HAVING count(*) >= 5)
+"""
+
+SQL: dict[str, str] = {
+    "p6_found": _P6 + """SELECT key_a, key_b FROM p JOIN n x ON x.k = key_a JOIN n y ON y.k = key_b
+        WHERE 4 * n_ab * n_ab >= x.n * y.n""",
+}
