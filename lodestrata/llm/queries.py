@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import cooccurrence, encoding, mixing
+from . import cooccurrence, encoding, mixing, spans
 
 
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,19 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs.select("doc_id", "source"), report)
 
 
+def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.matches(table(spark, sf_dir, "documents"))
+    return spans.passages(found).drop("runs")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(spans.passages(spans.matches(table(spark, sf_dir, "documents"))))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_part(p10_found(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
@@ -45,6 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found,
     "p9_report": p9_report,
     "p9_mix": p9_mix,
+    "p10_found": p10_found,
+    "p10_passages": p10_passages,
+    "p10_shares": p10_shares,
 }
 
 _P6 = """
