@@ -5,9 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import cooccurrence, encoding, mixing, spans
+from . import canonical, cooccurrence, encoding, mixing, spans
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> dict[str, list]:
+    return {"relationships": canonical.entries_of(table(spark, sf_dir, "relation_types"), ["synonyms"]),
+            "entities": canonical.entries_of(table(spark, sf_dir, "domain_taxonomy"), ["label_fr", "synonyms"])}
+
+
+_P2 = {"relationships": ("rel_id", "relation"), "entities": ("entity_id", "domain")}
+
+
+def p2_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value that is not null, not blank and not a canonical itself, with the entry meant."""
+    lists, parts = _lists(spark, sf_dir), []
+    for origin, (key, value) in _P2.items():
+        rows = table(spark, sf_dir, origin).select(F.col(key).alias("record_id"), F.col(value).alias("value"))
+        mapped = canonical.canonical_values(rows, "record_id", "value", lists[origin], keep=("value",))
+        known = [c for c, _ in lists[origin]]
+        parts.append(mapped.where(F.col("canonical").isNotNull() & ~F.col("value").isin(known))
+                     .select(F.lit(origin).alias("origin"), "record_id", "value", "canonical"))
+    return parts[0].unionByName(parts[1])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_mapped(spark, sf_dir).select("origin", "record_id", "canonical").distinct()
+
+
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that fit no entry and how many records hold them."""
+    mapped = p2_mapped(spark, sf_dir)
+    return mapped.where(F.col("canonical") == canonical.NONE).groupBy("origin", "value").agg(F.count("*").alias("records"))
 
 
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +83,8 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_unmatched": p2_unmatched,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p8_ids": p8_ids,
