@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canonical, cooccurrence, encoding, mixing, spans
+from . import canonical, cooccurrence, encoding, mixing, spans, splitting
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> dict[str, list]:
@@ -41,6 +41,16 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.where(F.col("canonical") == canonical.NONE).groupBy("origin", "value").agg(F.count("*").alias("records"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.oversized(table(spark, sf_dir, "chunks")).distinct()
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every chunk; of repeated rows of a chunk one is taken."""
+    chunks = table(spark, sf_dir, "chunks").select("chunk_id", "text", "page", "section").dropDuplicates(["chunk_id", "text"])
+    return splitting.split_items(chunks)
+
+
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of entities in five or more common chunks, of a cosine of a half or more, with their lift."""
     return cooccurrence.pair_counts(table(spark, sf_dir, "mentions"), "chunk_id", cooccurrence.entity_key(), 5, 0.5)
@@ -85,6 +95,8 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_unmatched": p2_unmatched,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p8_ids": p8_ids,
