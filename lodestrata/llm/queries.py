@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canonical, cooccurrence, encoding, mixing, spans, splitting
+from . import canonical, cooccurrence, encoding, mixing, neighbours, spans, splitting
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> dict[str, list]:
@@ -51,6 +51,22 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_items(chunks)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "vec_points")
+    return neighbours.close_pairs(neighbours.nearest(points, 10, least=0.90, relax=3.0))
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar points of every usable point, whatever their cosine."""
+    return neighbours.nearest(table(spark, sf_dir, "vec_points"), 10, relax=2.0)
+
+
+def p5_neighbours_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within a domain, for the query set of ids divisible by 20."""
+    points = table(spark, sf_dir, "vec_points").withColumn("domain", F.lower("domain"))
+    return neighbours.nearest(points, 10, group_cols=("type", "domain"), queries=F.col("vec_id") % 20 == 0)
+
+
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of entities in five or more common chunks, of a cosine of a half or more, with their lift."""
     return cooccurrence.pair_counts(table(spark, sf_dir, "mentions"), "chunk_id", cooccurrence.entity_key(), 5, 0.5)
@@ -97,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_unmatched": p2_unmatched,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
+    "p5_neighbours_domain": p5_neighbours_domain,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p8_ids": p8_ids,
