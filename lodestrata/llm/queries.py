@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canonical, cooccurrence, encoding, mixing, neighbours, spans, splitting
+from . import canonical, cooccurrence, encoding, mixing, neighbours, spans, splitting, variants
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> dict[str, list]:
@@ -76,6 +76,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pairs(spark, sf_dir).select("key_a", "key_b")
 
 
+def p7_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _lists(spark, sf_dir)["entities"]
+    return variants.clusters(table(spark, sf_dir, "entities"), entries)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.same_pairs(p7_clusters(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -118,6 +127,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_neighbours_domain": p5_neighbours_domain,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
+    "p7_found": p7_found,
+    "p7_clusters": p7_clusters,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_report": p9_report,
