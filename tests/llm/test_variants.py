@@ -57,7 +57,7 @@ def test_components(spark):
 
 
 def test_clusters(spark):
-    rows = [(1, "Vicky Truplinokuk", "PERSON", "Law"), (2, "Truplinokuk, V.", "PERSON", None), (3, "Victoria Truplinokku", "PERSON", "droit"),
+    rows = [(1, "Vicky Truplinokuk", "PERSON", "Law"), (2, "Truplinokuk, V.", "PERSON", "LAW!"), (3, "Victoria Truplinokku", "PERSON", "droit"),
             (4, "Victoria Truplinokuk", "PERSON", "Sport"), (5, "Bruno Truplinokuk", "PERSON", "Law"), (6, None, "PERSON", "Law"),
             (7, "  ", "PERSON", "Law"), (8, "Victoria Truplinokuk", None, "Law"), (9, "Victoria Truplinokuk", "ORG", "Law"),
             (10, "x" * 20_000, "ORG", None), (11, "5th Xavomil Forum", "EVENT", "tbd"), (12, "Xavomil Forum V", "EVENT", ""),
