@@ -8,7 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canonical, cooccurrence, encoding, mixing, neighbours, spans, splitting, variants
+from . import canonical, cooccurrence, encoding, mixing, neighbours, repair, spans, splitting, variants
+
+
+def _repair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return repair.repair(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "source_docs"), table(spark, sf_dir, "mentions"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repair(spark, sf_dir)[1].select("chunk_id", "kind", "token").distinct()
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk as continuous paragraphs."""
+    return repair.repaired(*_repair(spark, sf_dir))
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> dict[str, list]:
@@ -118,6 +131,8 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p2_unmatched": p2_unmatched,
     "p3_found": p3_found,
