@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canonical, cooccurrence, encoding, mixing, neighbours, repair, spans, splitting, variants
+from . import canonical, cooccurrence, encoding, mixing, neighbours, repair, spans, splitting, subjects, variants
 
 
 def _repair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -64,6 +64,19 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_items(chunks)
 
 
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of every subject in every document."""
+    return subjects.subject_shares(*(table(spark, sf_dir, t) for t in ("chunks", "source_docs", "doc_labels", "domain_taxonomy")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_shares(spark, sf_dir).where("share >= 0.2").select("source_doc", "subject")
+
+
+def p4_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(p4_shares(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "vec_points")
     return neighbours.close_pairs(neighbours.nearest(points, 10, least=0.90, relax=3.0))
@@ -137,6 +150,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_unmatched": p2_unmatched,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_shares": p4_shares,
+    "p4_composition": p4_composition,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
     "p5_neighbours_domain": p5_neighbours_domain,
