@@ -26,6 +26,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -121,11 +122,27 @@ def page_number(line: str, page: int | None, page_count: int | None) -> bool:
     return _as_number(first) == page or (first.lower() == _roman(page) and second is None and first.isalpha())
 
 
+@lru_cache(maxsize=4096)
+def _shape_of(name: str) -> tuple[str, frozenset[tuple[str, str]]]:
+    """The shape of a title and the pairs of letters in it."""
+    plain = name.lower()
+    return _looks(name), frozenset(zip(plain, plain[1:]))
+
+
+def _might_be(line: str, pairs: frozenset[tuple[str, str]]) -> bool:
+    """Whether a line shares enough pairs of letters with a title to be worth a closer look: a misread character spoils two."""
+    plain = line.lower()
+    own = set(zip(plain, plain[1:]))
+    return len(own & pairs) >= 0.25 * len(own)
+
+
 def running_header(line: str, title: str | None, slug: list[str], known: frozenset[str] | set[str], page: int | None) -> bool:
     """Whether a line is a running header of its document, with or without a number."""
     text = line.strip()
     if len(text) > 160 or len(text) < 4:
         return False
+    if not known and not _might_be(text, _shape_of(title or " ".join(slug))[1]):
+        return False
     parts = [text]
     m = re.fullmatch(r"(.*?\S)(?:\s{2,}|\s*[|·–—-]\s*|\s+)([\w|]{1,6})", text)
     numbered = bool(m and page is not None and _as_number(m.group(2)) == page)
@@ -144,14 +161,17 @@ def running_header(line: str, title: str | None, slug: list[str], known: frozens
         if shape in known:
             return True
         if title:
-            whole = _looks(title)
+            whole = _shape_of(title)[0]
             if shape == whole or (len(shape) >= 0.6 * len(whole) and len(shape) >= 10 and (
                     _alike(shape, whole[: len(shape)]) >= 0.72 and abs(len(shape) - len(whole[: len(shape)])) <= 4)):
                 return len(shape) >= 0.6 * len(whole) and not (_SENTENCE.search(p) and not _SENTENCE.search(title))
         elif slug and not _SENTENCE.search(p):
             words = [_looks(w) for w in p.split()]
-            hits = sum(any(w == _looks(s) or (len(w) >= 4 and _looks(s).startswith(w)) or _alike(w, _looks(s)) > 0.7 for w in words) for s in slug)
-            if hits >= min(2, len(slug)) and len(words) <= 9:
+            if len(words) > 9:
+                continue
+            wanted = [_shape_of(s)[0] for s in slug]
+            hits = sum(any(w == s or (len(w) >= 4 and s.startswith(w)) or _alike(w, s) > 0.7 for w in words) for s in wanted)
+            if hits >= min(2, len(slug)):
                 return True
     return False
 
@@ -207,9 +227,6 @@ class Editor:
         return ["0" + c, "1" + b + c, "2" + c + d, "3" + b + c + d, "4" + a + b + c, "5" + c + d + e, "6" + a + b + c + d + e,
                 f"7{c}{(b.isdigit(), d.isdigit(), b.isalpha(), d.isalpha())}"]
 
-    def score(self, word: str, i: int, op: str) -> float:
-        return sum(self.weights[f].get(op, 0.0) for f in self.features(word, i) if f in self.weights)
-
     def options(self, word: str, i: int) -> list[str]:
         """The operations on one character that some confusion allows."""
         out = [word[i]] if word[i] != BREAK else []
@@ -245,17 +262,22 @@ class Editor:
 
     def beam(self, word: str, width: int = 60, most: int = 4) -> list[tuple[str, float]]:
         """Readings of a word, best first, with the gain over keeping every character."""
-        states = {0: [(0.0, "", 0)]}
+        known = [[self.weights[f] for f in self.features(word, i) if f in self.weights] for i in range(len(word))]
+        kept = [sum(w.get(c, 0.0) for w in held) for c, held in zip(word, known)]
+        states: dict[int, list[tuple[float, str, int]]] = {0: [(0.0, "", 0)]}
         for i in range(len(word)):
-            here = sorted(states.pop(i, []), key=lambda s: -s[0] + 2 * s[2])[:width]
+            here = states.pop(i, [])
+            if len(here) > width:
+                here = sorted(here, key=lambda s: -s[0] + 2 * s[2])[:width]
             steps = [(1, word[i], 0.0, 0)] if word[i] != BREAK else []
             for n in range(1, self.longest + 1):
                 read = word[i: i + n]
                 if len(read) == n and read in self.readings:
-                    keep = 0.0 if BREAK in read else sum(self.score(word, i + k, word[i + k]) for k in range(n))
+                    base = 0.0 if BREAK in read else sum(kept[i: i + n])
+                    rest = sum(w.get("", 0.0) for held in known[i + 1: i + n] for w in held)
                     for printed in self.readings[read]:
-                        gain = sum(self.score(word, i + k, op) for k, op in enumerate(split_op(printed, n)))
-                        steps.append((n, printed, gain - keep, 0 if read == BREAK else 1))
+                        gain = sum(w.get(printed, 0.0) for w in known[i]) + rest
+                        steps.append((n, printed, gain - base, 0 if read == BREAK else 1))
             for gain, out, edits in here:
                 for n, printed, more, cost in steps:
                     if edits + cost <= most:
@@ -353,7 +375,8 @@ def _recurring(rows: DataFrame) -> DataFrame:
 def prepared(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """``chunk_id, clean, body, dropped`` of every chunk: the running text and the furniture lines taken out of it."""
     rows = staged(_with_pages(chunks, docs), "pages")
-    rows = rows.join(_recurring(rows), "source_doc", "left").select(
+    width = 3 * chunks.sparkSession.sparkContext.defaultParallelism
+    rows = rows.join(_recurring(rows), "source_doc", "left").repartition(width, "chunk_id").select(
         "chunk_id", "source_doc", F.col("page").cast("int").alias("page"), F.col("page_count").cast("int").alias("page_count"), "title", "text", "listed", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,7 +428,7 @@ def lexicon_of(bodies: DataFrame, names: DataFrame | None = None) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("n").alias("n"))
 
 
-def corrections(lexicon: DataFrame, train_words: int = 3000, trusted: int = 4, often: int = 30, always: int = 300) -> DataFrame:
+def corrections(lexicon: DataFrame, train_words: int = 2000, trusted: int = 4, often: int = 30, always: int = 300) -> DataFrame:
     """``word, right``: the mended reading of every form that is not trusted and has one.
 
     The reading with the best sum of the editor's score and the logarithm of its count on clean pages wins, if it stands there
@@ -436,12 +459,19 @@ def corrections(lexicon: DataFrame, train_words: int = 3000, trusted: int = 4, o
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), [pa.string(), pa.int64(), pa.string(), pa.float64()])],
                                                  names=["word", "own", "right", "gain"])
 
-    readings = unknown.repartition("word").mapInArrow(run, "word string, own bigint, right string, gain double")
     known = lexicon.where("clean > 0").select(F.col("word").alias("right"), F.col("clean").alias("seen"))
+    # A broken word that is whole when joined, with or without its hyphen, needs no editor.
+    joined = unknown.where(F.contains("word", F.lit(BREAK))).select("word", F.explode(F.array(
+        F.replace("word", F.lit(BREAK), F.lit("")), F.replace("word", F.lit(BREAK), F.lit("-")))).alias("right")).join(known, "right")
+    plain = staged(joined.groupBy("word").agg(F.max_by("right", F.struct("seen", "right")).alias("right")), "joined")
+    # One task per core and more, or the engine packs these few bytes into one.
+    width = 3 * lexicon.sparkSession.sparkContext.defaultParallelism
+    readings = unknown.join(plain, "word", "left_anti").repartition(width, "word").mapInArrow(
+        run, "word string, own bigint, right string, gain double")
     fit = readings.join(known, "right").where(F.col("seen") >= F.when(
         F.col("own") >= trusted, always * F.col("own")).when(F.col("own") > 0, often * F.col("own")).otherwise(1))
     order = Window.partitionBy("word").orderBy(F.desc(F.col("gain") + 2.0 * F.log("seen")), "right")
-    return fit.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("word", "right")
+    return fit.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("word", "right").unionByName(plain)
 
 
 def changes(bodies: DataFrame, lexicon: DataFrame, mended: DataFrame, common: int = 20_000) -> DataFrame:
