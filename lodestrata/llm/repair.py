@@ -24,10 +24,12 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -428,6 +430,47 @@ def lexicon_of(bodies: DataFrame, names: DataFrame | None = None) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("n").alias("n"))
 
 
+#: Bits of the filter of known words: 8 MB, however many words there are.
+FILTER_BITS = 1 << 26
+
+
+class WordFilter:
+    """A filter of words of bounded size. It only saves shuffling readings that no page holds; the exact join follows."""
+
+    def __init__(self, bits: int, held: bytearray | bytes | None = None):
+        self.mask = bits - 1
+        self.held = bytearray(bits // 8) if held is None else held
+
+    def _places(self, word: str) -> tuple[int, int]:
+        data = word.encode("utf-8", "surrogatepass")
+        return zlib.crc32(data) & self.mask, zlib.crc32(data, 0x9747B28C) & self.mask
+
+    def add(self, word: str) -> None:
+        for p in self._places(word):
+            self.held[p >> 3] |= 1 << (p & 7)
+
+    def holds(self, word: str) -> bool:
+        a, b = self._places(word)
+        return bool(self.held[a >> 3] >> (a & 7) & 1 and self.held[b >> 3] >> (b & 7) & 1)
+
+
+def known_words(known: DataFrame):
+    """The filter of the column ``right``, as a broadcast of at most 8 MB."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * known.count() + 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = WordFilter(bits)
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                own.add(word)
+        yield pa.RecordBatch.from_arrays([pa.array([bytes(own.held)], pa.binary())], names=["held"])
+
+    whole = np.zeros(bits // 8, np.uint8)
+    for row in known.select("right").coalesce(4).mapInArrow(run, "held binary").toLocalIterator():  # four parts of 8 MB at most, one at a time
+        whole |= np.frombuffer(bytes(row.held), np.uint8)
+    return known.sparkSession.sparkContext.broadcast((bits, whole.tobytes()))
+
+
 def corrections(lexicon: DataFrame, train_words: int = 2000, trusted: int = 4, often: int = 30, always: int = 300) -> DataFrame:
     """``word, right``: the mended reading of every form that is not trusted and has one.
 
@@ -442,14 +485,18 @@ def corrections(lexicon: DataFrame, train_words: int = 2000, trusted: int = 4, o
     enough = (F.length("word") > 2) | ~F.col("word").rlike(r"^[a-zà-ÿœ'’]+$")
     unknown = lexicon.where(enough & ((F.col("clean") < trusted) | (F.col("clean") * always <= most))).select("word", "clean")
 
+    known = lexicon.where("clean > 0").select(F.col("word").alias("right"), F.col("clean").alias("seen"))
+    standing = known_words(known)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordFilter(*standing.value)
         for batch in batches:
             out = []
             for word, clean in zip(*(c.to_pylist() for c in batch.columns)):
                 found = {}
                 for reading, gain in editor.beam(word):
                     right = strip_token(reading)
-                    if right and right != word and right not in found:
+                    if right and right != word and right not in found and words.holds(right):
                         found[right] = gain
                 out += [(word, clean, r, g) for r, g in found.items()]
                 if BREAK in word and word.replace(BREAK, "") not in found:
@@ -459,7 +506,6 @@ def corrections(lexicon: DataFrame, train_words: int = 2000, trusted: int = 4, o
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), [pa.string(), pa.int64(), pa.string(), pa.float64()])],
                                                  names=["word", "own", "right", "gain"])
 
-    known = lexicon.where("clean > 0").select(F.col("word").alias("right"), F.col("clean").alias("seen"))
     # A broken word that is whole when joined, with or without its hyphen, needs no editor.
     joined = unknown.where(F.contains("word", F.lit(BREAK))).select("word", F.explode(F.array(
         F.replace("word", F.lit(BREAK), F.lit("")), F.replace("word", F.lit(BREAK), F.lit("-")))).alias("right")).join(known, "right")
