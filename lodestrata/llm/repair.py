@@ -54,10 +54,17 @@ CONFUSIONS = [
 # What may be read for a digit.
 DIGITS = {"l": "1", "i": "1", "|": "1", "o": "0", "s": "5", "b": "8", "z": "2", "g": "9"}
 
-_BROKEN = re.compile(r"(?<=[^\W\d_])([-‐‑¬\xad])[^\S\n]*(?:\n\s*|[^\S\n]+)(?=[^\W\d_])|(?<=[^\W\d_])\xad(?=[^\W\d_])")
+# Each pattern begins with the rare character and looks back from there, which the matcher finds fast.
+_BROKEN = re.compile(r"[-‐‑¬\xad](?<=[^\W\d_].)(?:[^\S\n]*(?:\n\s*|[^\S\n]+)(?=[^\W\d_])|(?<=\xad)(?=[^\W\d_]))")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(r"[.!?;,]$")
-_SIGNATURE = re.compile(r"[^\W\d_][015689][^\W\d_]|[-‐¬\xad][^\S\n]*\n\s*[^\W\d_]|\xad|¬|[ﬀ-ﬆ]|[a-z][Ѐ-ӿ]|[Ѐ-ӿ][a-z]|i['’][a-z]{2}")
+_SIGNATURES = [re.compile(p) for p in (
+    r"[015689](?<=[^\W\d_].)(?=[^\W\d_])", r"[-‐¬\xad](?=[^\S\n]*\n\s*[^\W\d_])", r"[\xad¬ﬀ-ﬆ]", r"[Ѐ-ӿ](?:(?<=[a-z].)|(?=[a-z]))", r"i['’](?=[a-z]{2})")]
+
+
+def looks_scanned(text: str) -> bool:
+    """Whether a text bears marks that only recognised pages bear."""
+    return any(p.search(text) for p in _SIGNATURES)
 
 
 def strip_token(token: str) -> str:
@@ -124,7 +131,7 @@ def page_number(line: str, page: int | None, page_count: int | None) -> bool:
     return _as_number(first) == page or (first.lower() == _roman(page) and second is None and first.isalpha())
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=1 << 16)
 def _shape_of(name: str) -> tuple[str, frozenset[tuple[str, str]]]:
     """The shape of a title and the pairs of letters in it."""
     plain = name.lower()
@@ -192,8 +199,10 @@ def furniture(text: str, page: int | None, page_count: int | None, title: str |
     if len(lines) < 2:
         return []
     slug, known = slug_of(source_doc), set(known)
+    longest = max(map(len, [title or "", " ".join(slug), *known])) + 60
     return [i for i, line in enumerate(lines) if line.strip() and (
-        page_number(line, page, page_count) or running_header(line, title, slug, known, page))]
+        (len(line) <= 30 and page_number(line, page, page_count))
+        or (len(line) <= longest and running_header(line, title, slug, known, page)))]
 
 
 def running_text(text: str, dropped: Iterable[int] = ()) -> str:
@@ -262,15 +271,18 @@ class Editor:
             if value:
                 self.weights.setdefault(f, {})[op] = value
 
-    def beam(self, word: str, width: int = 60, most: int = 4) -> list[tuple[str, float]]:
+    def beam(self, word: str, width: int = 32, most: int = 3) -> list[tuple[str, float]]:
         """Readings of a word, best first, with the gain over keeping every character."""
         known = [[self.weights[f] for f in self.features(word, i) if f in self.weights] for i in range(len(word))]
         kept = [sum(w.get(c, 0.0) for w in held) for c, held in zip(word, known)]
         states: dict[int, list[tuple[float, str, int]]] = {0: [(0.0, "", 0)]}
         for i in range(len(word)):
             here = states.pop(i, [])
-            if len(here) > width:
-                here = sorted(here, key=lambda s: -s[0] + 2 * s[2])[:width]
+            if len(here) > width:  # readings with one edit all stay, those with more compete among their like
+                few = [s for s in here if s[2] < 2]
+                for edits in range(2, most + 1):
+                    few += sorted((s for s in here if s[2] == edits), key=lambda s: -s[0])[: width // 2]
+                here = few
             steps = [(1, word[i], 0.0, 0)] if word[i] != BREAK else []
             for n in range(1, self.longest + 1):
                 read = word[i: i + n]
@@ -387,7 +399,7 @@ def prepared(chunks: DataFrame, docs: DataFrame) -> DataFrame:
             for chunk, doc, page, count, title, text, listed, known in zip(*(c.to_pylist() for c in batch.columns)):
                 gone = furniture(text, page, count, title, doc, known or ())
                 lines = text.split("\n")
-                clean = not listed and not gone and not _SIGNATURE.search(text)
+                clean = not listed and not gone and not looks_scanned(text)
                 out.append((chunk, clean, running_text(text, gone), list(dict.fromkeys(lines[i].strip() for i in gone))))
             if out:
                 yield pa.RecordBatch.from_arrays(
@@ -397,6 +409,7 @@ def prepared(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return staged(rows.mapInArrow(run, "chunk_id string, clean boolean, body string, dropped array<string>"), "bodies")
 
 
+@lru_cache(maxsize=1 << 17)
 def forms(token: str) -> str:
     """A token as it is looked up: lower case, outer punctuation off, but for an apostrophe that may be half a letter."""
     return re.sub(r"^[\W_]+|(?:(?!['’])[\W_])+$", "", token).lower()
