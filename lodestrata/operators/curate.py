@@ -41,11 +41,10 @@ def learning_report(aliases: DataFrame, unlinked: DataFrame, stats: DataFrame) -
 
 def digest_lines(entities: DataFrame, edges: DataFrame, at: str, top: int = 10) -> DataFrame:
     """The digest as numbered lines of text; every list in it is a top list."""
+    line = lambda n, text: F.struct(F.lit(min(n, 1)).alias("part"), F.lit(n).alias("n"), text.alias("line"))
     stats = graph.graph_stats(entities, edges).select(F.explode(F.array(
-        F.struct(F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit(f"Snapshot {at}").alias("line")),
-        F.struct(F.lit(1), F.lit(0), F.format_string("Total Entities: %d", "entities")),
-        F.struct(F.lit(1), F.lit(1), F.format_string("Total Relationships: %d", "relationships")),
-        F.struct(F.lit(1), F.lit(2), F.format_string("Average Confidence: %.2f", "avg_confidence")))).alias("x")).select("x.*")
+        line(0, F.lit(f"Snapshot {at}")), line(1, F.format_string("Total Entities: %d", "entities")),
+        line(2, F.format_string("Total Relationships: %d", "relationships")), line(3, F.format_string("Average Confidence: %.2f", "avg_confidence")))).alias("x")).select("x.*")
     best = top_entities(entities, top).select(F.lit(2).alias("part"), F.monotonically_increasing_id().cast("int").alias("n"), F.format_string(
         "- [%s] %s (confidence:%.2f, source:%s)", "type", "name", "confidence", "source_doc").alias("line"))
     return stats.unionByName(best)

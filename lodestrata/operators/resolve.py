@@ -5,12 +5,15 @@ Every stage is a set join over what the stages before left; model calls come las
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (
     HONORIFICS, acronym_match, acronym_token, clean, disqualified, initials, normalize_name, paren_abbreviation, paren_base, typo_candidate)
 from ..functions.udfs import fuzzy_ratio
+from ..session import staged
+from .components import components
 
 
 def validate(rows: DataFrame, *required: str, what: str = "entity") -> DataFrame:
@@ -100,12 +103,13 @@ def resolve(new: DataFrame, entities: DataFrame, aliases: DataFrame, near: DataF
     out = rows.join(known, normalize_name("base") == F.col("alias_key"), "left")
     done = [out.where("alias_canonical IS NOT NULL").select("new_id", "name", F.col("alias_canonical").alias("canonical"),
                                                             F.col("alias_confidence").alias("confidence"), F.lit("alias").alias("method"))]
-    left = out.where("alias_canonical IS NULL").select("new_id", F.col("base").alias("name"), "type", "domain")
+    left = staged(out.where("alias_canonical IS NULL").select("new_id", F.col("base").alias("name"), "type", "domain"), "left")
 
     def take(found: DataFrame, confidence, method: str) -> None:
         nonlocal left
         w = Window.partitionBy("new_id").orderBy(F.desc("confidence"), "canonical")
-        best = found.withColumn("confidence", confidence).withColumn("__n", F.row_number().over(w)).where("__n = 1")
+        best = staged(found.withColumn("confidence", confidence).withColumn("__n", F.row_number().over(w)).where("__n = 1").select(
+            "new_id", "canonical", "confidence"), "stage")  # each stage is run once, not again by every later one
         done.append(best.join(left.select("new_id", "name"), "new_id").select("new_id", "name", "canonical", "confidence", F.lit(method).alias("method")))
         left = left.join(best.select("new_id"), "new_id", "left_anti")
 
@@ -118,6 +122,7 @@ def resolve(new: DataFrame, entities: DataFrame, aliases: DataFrame, near: DataF
         typos = confirm(typo_pairs(left, entities)).where("accepted")
         take(typos.select("new_id", F.col("b").alias("canonical"), "score"), F.col("score"), "typo")
     sub = substring_match(left, entities).withColumn("ratio", fuzzy_ratio("new_name", "match")).where(disqualified("new_name", "match").isNull())
+    sub = staged(sub.select("new_id", "new_name", "match", "ratio"), "substring")
     same = sub.where(clean("new_name") == clean("match"))
     take(same.select("new_id", F.col("match").alias("canonical")), F.lit(1.0), "same")
     safe = sub.where((F.col("ratio") >= 0.87) & (F.length("new_name") >= 4) & (F.length("match") >= 4)).join(left.select("new_id"), "new_id", "left_semi")
@@ -152,20 +157,17 @@ def link_mentions(asked: DataFrame, entities: DataFrame, aliases: DataFrame, nea
 def duplicate_groups(entities: DataFrame) -> DataFrame:
     """``type, group_id, entity_id, name``: greedy stars of names that abbreviate each other, around the first entity not yet in a group.
 
-    Candidates come from the equi-joins of :func:`acronym_pairs`; only the links of a type are walked in order, entity by entity.
+    Candidates come from the equi-joins of :func:`acronym_pairs`. Stars of different components do not touch, so each component of links is
+    walked by itself, in the order of ids.
     """
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     pairs = acronym_pairs(entities.select(F.col("entity_id").alias("new_id"), "name", "type", "domain"), entities)
-    links = pairs.where("new_id < entity_id").select("type", F.col("new_id").alias("a"), F.col("entity_id").alias("b"))
+    links = staged(pairs.where("new_id < entity_id").select("type", F.col("new_id").alias("a"), F.col("entity_id").alias("b")), "links")
+    placed = links.join(components(links), links["a"] == F.col("node")).select("component", "type", "a", "b")
 
-    def walk(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[int]] = {}
-        for part in parts:
-            for a, b in zip(part["a"], part["b"]):
-                near.setdefault(int(a), []).append(int(b))
+        for a, b in zip(part["a"], part["b"]):
+            near.setdefault(int(a), []).append(int(b))
         taken: set[int] = set()
         rows = []
         for seed in sorted(near):
@@ -173,10 +175,10 @@ def duplicate_groups(entities: DataFrame) -> DataFrame:
                 members = [m for m in sorted(near[seed]) if m not in taken]
                 if members:
                     taken.update([seed, *members])
-                    rows += [(key[0], seed, m) for m in (seed, *members)]
-        yield pd.DataFrame(rows, columns=["type", "group_id", "entity_id"])
+                    rows += [(part["type"].iloc[0], seed, m) for m in (seed, *members)]
+        return pd.DataFrame(rows, columns=["type", "group_id", "entity_id"])
 
-    groups = links.groupBy("type").applyInPandas(walk, "type string, group_id bigint, entity_id bigint")
+    groups = placed.groupBy("component").applyInPandas(walk, "type string, group_id bigint, entity_id bigint")
     return groups.join(entities.select("entity_id", "name", "confidence"), "entity_id")
 
 
