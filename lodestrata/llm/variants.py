@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ..session import staged
 from .canonical import NONE, Canonicaliser, edits
 
@@ -380,27 +381,6 @@ def linked_cores(cores: DataFrame, floor: float = 0.1) -> DataFrame:
     return pairs.where(F.levenshtein("ca", "cb") <= most).select("a", "b")
 
 
-def components(links: DataFrame, rounds: int = 30) -> DataFrame:
-    """``node, component``: the least node id reachable over links; nodes without links are not listed.
-
-    Each round every node takes the least label around it, and labels then follow their own label (pointer jumping), so that
-    long chains take a logarithm of rounds. The state of every round is written to the shared folder.
-    """
-    edges = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    state = staged(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(rounds):
-        around = edges.join(state, edges["b"] == state["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = state.join(around, "node").select("node", "label", F.least("label", "near").alias("next"))
-        jump = lower.select(F.col("node").alias("at"), F.col("next").alias("onward"))
-        after = staged(lower.join(jump, lower["next"] == jump["at"], "left").select(
-            "node", F.col("label").alias("old"), F.least("next", F.coalesce("onward", "next")).alias("label")), "labels")
-        changed = after.where("old <> label").limit(1).count()
-        state = after.select("node", "label")
-        if not changed:
-            break
-    return state.select("node", F.col("label").alias("component"))
-
-
 def clusters(rows: DataFrame, entries: list, id_col: str = "entity_id", least: float = 0.5) -> DataFrame:
     """``id, type, core, cluster`` of every row with a name and a type; ``cluster`` is the least id of the cluster."""
     read_rows = staged(readings(rows, entries, id_col).dropDuplicates(["id"]), "readings")
