@@ -78,11 +78,12 @@ def mix(docs: DataFrame, report: DataFrame, seed: int = 7, id_col: str = "doc_id
     """The documents of the mix: ``docs`` with a ``copy`` number, each row as often as its source is repeated.
 
     Whole repetitions are unconditional; the fractional one takes a document if its seeded hash falls below the
-    fraction, so a rerun, another partitioning or a lost executor gives the same rows. No source is gathered anywhere.
+    fraction, so a rerun, another partitioning or a lost executor gives the same rows. No source is gathered anywhere. Documents without a
+    target source are left out; a column ``copy`` of the documents is replaced.
     """
-    plan = F.broadcast(report.select(F.col("source").alias("__source"), "repeats"))  # one row per target source
-    times = F.floor("repeats") + F.when(
-        _fraction(seed, F.col(id_col)) < F.col("repeats") - F.floor("repeats"), 1).otherwise(0)
+    plan = F.broadcast(report.select(F.col("source").alias("__source"), F.col("repeats").alias("__repeats")))  # one row per target source
+    times = F.floor("__repeats") + F.when(
+        _fraction(seed, F.col(id_col)) < F.col("__repeats") - F.floor("__repeats"), 1).otherwise(0)
     return (docs.join(plan, docs["source"] == plan["__source"]).withColumn("__times", times.cast("int"))
             .where("__times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-            .drop("__source", "__times", "repeats"))
+            .drop("__source", "__times", "__repeats"))

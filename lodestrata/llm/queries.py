@@ -178,6 +178,18 @@ p AS (SELECT a.k AS key_a, b.k AS key_b, count(*) AS n_ab FROM m a JOIN m b ON a
 """
 
 SQL: dict[str, str] = {
+    "p5_found": """WITH p AS (SELECT vec_id, type, CAST(embedding AS DOUBLE[64]) AS v FROM vec_points
+        WHERE type IS NOT NULL AND len(embedding) = 64 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0),
+    n AS (SELECT a.vec_id AS a, b.vec_id AS b, array_cosine_similarity(a.v, b.v) AS c FROM p a JOIN p b ON a.type = b.type AND a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rn FROM n)
+    SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE rn <= 10 AND c >= 0.90""",
+    "p10_found": """WITH w AS (SELECT doc_id, unnest(range(0, length(text) - 199)) AS i, text FROM documents WHERE length(text) >= 200),
+    s AS (SELECT doc_id, i, md5(substr(text, i + 1, 200)) AS h FROM w),
+    b AS (SELECT h FROM s GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+    c AS (SELECT DISTINCT doc_id, i FROM s SEMI JOIN b USING (h)),
+    g AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM c),
+    k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM g)
+    SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM k GROUP BY doc_id, grp""",
     "p6_found": _P6 + """SELECT key_a, key_b FROM p JOIN n x ON x.k = key_a JOIN n y ON y.k = key_b
         WHERE 4 * n_ab * n_ab >= x.n * y.n""",
 }

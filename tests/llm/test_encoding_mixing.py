@@ -62,7 +62,9 @@ def test_report_and_mix(spark):
     rows = {r.source: r for r in report.collect()}
     assert rows["gone"].short and rows["small"].short and not rows["big"].short
     assert rows["small"].repeats == 2 and abs(sum(r.share for r in rows.values()) - 1) < 1e-9
+    docs = docs.selectExpr("*", "'x' AS repeats", "'y' AS copy")
     mixed = mixing.mix(docs, report)
+    assert mixed.columns == ["doc_id", "text", "source", "repeats", "copy"]
     again = sorted((r.doc_id, r["copy"]) for r in mixed.collect())
     assert again == sorted((r.doc_id, r["copy"]) for r in mixing.mix(docs.repartition(7), report).collect())
     small = [x for x in again if 1000 <= x[0] <= 5000]
