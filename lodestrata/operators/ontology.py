@@ -119,9 +119,11 @@ def explain_domains(domains: DataFrame) -> DataFrame:
 
 
 def similar_domain(raw: DataFrame, domains: DataFrame, least: float = 0.85) -> DataFrame:
-    """``raw, domain`` of the first domain (by ``seq``) whose name is like the title-cased value; domains are a list kept small."""
+    """``raw, domain`` of the first domain (by ``seq``) whose name is like the title-cased value; more than 10,000 domains are refused."""
+    if domains.limit(10_001).count() > 10_000:
+        raise ValueError("more than 10,000 domains")
     asked = raw.select("raw").distinct().withColumn("title", domain_name("raw"))
-    pairs = asked.join(F.broadcast(domains.limit(10_000)), F.abs(F.length("title") - F.length("name")) <= 0.3 * F.greatest(F.length("title"), F.length("name")))
+    pairs = asked.join(F.broadcast(domains), F.abs(F.length("title") - F.length("name")) <= 0.3 * F.greatest(F.length("title"), F.length("name")))
     hits = pairs.withColumn("ratio", fuzzy_ratio("title", "name")).where(F.col("ratio") >= least)
     w = Window.partitionBy("raw").orderBy("seq")
     return hits.withColumn("n", F.row_number().over(w)).where("n = 1").select("raw", F.col("name").alias("domain"), "ratio")

@@ -54,3 +54,19 @@ def grounded(facts: DataFrame, hits: DataFrame) -> DataFrame:
     """One row: whether there is anything to answer from, and the fixed refusal where there is not."""
     n = facts.agg(F.count("*").alias("facts"), F.lit(1).alias("k")).join(hits.agg(F.count("*").alias("hits"), F.lit(1).alias("k")), "k").drop("k")
     return n.withColumn("answer", F.when((F.col("facts") == 0) & (F.col("hits") == 0), REFUSAL))
+
+
+def ask(question: str, edges: DataFrame, points: DataFrame, nodes: DataFrame, aliases: DataFrame, carried: list[str] | None = None, k: int = 8,
+        hops: int = 2) -> tuple[list[str], DataFrame]:
+    """``(mentions, numbered lines)`` for a question: mentions (or those carried over from the turn before), links, facts and passages."""
+    from .. import providers
+    from . import resolve
+
+    spark = edges.sparkSession
+    found = providers.mentions(question) or list(carried or [])
+    asked = spark.createDataFrame([(i, m) for i, m in enumerate(found)], "mention_id long, mention string")
+    anchors = resolve.link_mentions(asked, nodes, aliases).select(F.col("entity").alias("anchor")).distinct()
+    vector_of = spark.createDataFrame([(0, providers.hashed_vector(question))], "query_id long, embedding array<double>")
+    facts, hits = retrieve(edges, points, anchors, vector_of, hops, k)
+    lines = hits.join(points.select("vec_id", "source_doc", "page", "text"), "vec_id")
+    return found, context({"FACTS": numbered_facts(facts, nodes), "PASSAGES": numbered_hits(lines)})

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import providers
 from ..functions import exprs, udfs
 from ..model import EDG_SQL, ENT_SQL, edges, entities
-from ..operators import curate, documents, graph, memory, ontology, reconcile, resolve, retrieve, sessions, vector
+from ..operators import curate, documents, graph, ingest, memory, ontology, reconcile, resolve, retrieve, sessions, vector
 from ..session import table
 from ..sources import store
 
@@ -1021,3 +1021,59 @@ def k9(s, d):
 def k1(s, d):
     rows = table(s, d, "entities").where("name IS NOT NULL").select("entity_id", "name")
     return providers.encode_distinct(rows, "name", providers.encoder()).select("entity_id", F.size("embedding").cast("bigint").alias("length"))
+
+
+def _parsed(s, d) -> DataFrame:
+    docs = table(s, d, "documents").where("text IS NOT NULL")
+    page = F.struct(F.lit(1).alias("page"), F.col("text"), F.length("text").alias("char_count"), F.lit("body").alias("section"))
+    return docs.select(F.col("doc_id").cast("string").alias("filename"), F.lit(1).alias("page_count"), F.lit(1).alias("tier"), F.lit(1.0).alias("quality_score"), F.array(page).alias("pages"))
+
+
+@query("l6_extract_knowledge")
+def l6(s, d):
+    known = ingest.extract_knowledge(_parsed(s, d))
+    return known.entities.select("filename", "name", "type", r6("confidence").alias("confidence"))
+
+
+@query("k2_extracted_claims")
+def k2(s, d):
+    return ingest.extract_knowledge(_parsed(s, d)).claims.select("filename", "chunk_id", "text")
+
+
+@query("j18_rewrite_aliases")
+def j18(s, d):
+    groups = resolve.duplicate_groups(table(s, d, "entities"))
+    out = ingest.rewrite_aliases(_ent_aliases(s, d), groups, resolve.pick_canonical(groups))
+    return out.select("alias_key", "canonical", r6("confidence").alias("confidence"))
+
+
+@query("a15_hydrate", """SELECT entity_id, coalesce(nullif(confidence, 0), 0.7) AS confidence, greatest(1, 0) AS occurrences FROM entities""")
+def a15(s, d):
+    return table(s, d, "entities").select("entity_id", F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(0.7)).alias("confidence"), F.lit(1).alias("occurrences"))
+
+
+@query("a30_reliability_get", """SELECT DISTINCT m.source_doc, coalesce(r.reliability, 0.7) AS reliability FROM mentions m
+    LEFT JOIN (SELECT source_doc, max(quality_score) AS reliability FROM source_docs WHERE tier = 1 GROUP BY 1) r USING (source_doc)""")
+def a30(s, d):
+    known = table(s, d, "source_docs").where("tier = 1").groupBy("source_doc").agg(F.max("quality_score").alias("reliability"))
+    return table(s, d, "mentions").select("source_doc").distinct().join(known, "source_doc", "left").select("source_doc", F.coalesce("reliability", F.lit(0.7)).alias("reliability"))
+
+
+@query("n19_reliability_seed", """SELECT source_doc, round(greatest(0E0, least(1E0, 0.7E0 * (0.7E0 + 0.3E0 * coalesce(max(quality_score), 1E0)))), 6) AS reliability FROM source_docs GROUP BY 1""")
+def n19(s, d):
+    return table(s, d, "source_docs").groupBy("source_doc").agg(r6(memory.reliability_seed(F.max("quality_score"))).alias("reliability"))
+
+
+@query("h42_reconcile_prompt", """SELECT a.entity_id AS new_id, b.entity_id AS old_id, 'Entity: ' || a.name || ' (type: ' || a.type || ')' || chr(10) || chr(10) || 'Source 1 - ' || coalesce(b.source_doc, 'unknown') || ':' || chr(10)
+    || 'Description: "' || coalesce(b.description, '') || '"' || chr(10) || chr(10) || 'Source 2 - ' || coalesce(a.source_doc, 'unknown') || ':' || chr(10) || 'Description: "' || coalesce(a.description, '') || '"' AS prompt
+    FROM entities a JOIN entities b ON a.name = b.name AND a.type = b.type WHERE a.entity_id % 2 = 0 AND b.entity_id % 2 = 1 AND a.source_doc IS DISTINCT FROM b.source_doc
+    AND (coalesce(a.description, '') <> '' OR coalesce(b.description, '') <> '')""")
+def h42(s, d):
+    e = table(s, d, "entities")
+    return reconcile.prompt(reconcile.candidates(e.where("entity_id % 2 = 0"), e.where("entity_id % 2 = 1"))).select("new_id", "old_id", "prompt")
+
+
+@query("h40_format_hits", "SELECT vec_id, '[C' || CAST(vec_id % 9 + 1 AS VARCHAR) || '] (' || source_doc || ', p.0): ' || coalesce(domain, '-') AS line FROM vec_points WHERE source_doc IS NOT NULL")
+def h40(s, d):
+    rows = table(s, d, "vec_points").where("source_doc IS NOT NULL")
+    return rows.select("vec_id", exprs.format_hit((F.col("vec_id") % 9 + 1).cast("int"), "source_doc", F.lit(0), F.coalesce("domain", F.lit("-"))).alias("line"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata import providers
-from lodestrata.operators import curate, documents, graph, memory, ontology, reconcile, resolve, retrieve, sessions, vector
+from lodestrata.operators import curate, documents, graph, ingest, memory, ontology, reconcile, resolve, retrieve, sessions, vector
 from lodestrata.operators.components import components
 
 EDGES = "edge_id string, src string, dst string, rel_type string, confidence double"
@@ -207,3 +207,27 @@ def test_retry():
     calls.clear()
     with pytest.raises(providers.QuotaExhausted):
         providers.Retry(sleep=waits.append)(fail(9, "Daily quota exhausted"))
+
+
+def test_ingest_and_ask(spark):
+    text = "Deep Learning builds on Neural Networks since 1958. " + "word " * 30 + "Neural Networks need Training Data."
+    page = [(1, text, len(text), "body")]
+    parsed = spark.createDataFrame([("a.pdf", 1, 1, 1.0, page), ("b.pdf", 0, 1, None, [])],
+                                   "filename string, page_count int, tier int, quality_score double, pages array<struct<page:int,text:string,char_count:int,section:string>>")
+    known = ingest.extract_knowledge(parsed)
+    assert {r.name for r in known.entities.collect()} == {"Deep Learning", "Neural Networks", "Training Data"}
+    assert {(r.from_name, r.to_name) for r in known.relationships.collect()} == {("Deep Learning", "Neural Networks"), ("Neural Networks", "Training Data")}
+    assert known.claims.head().text.endswith("1958.") and known.entities.head().confidence == .95
+    nodes = spark.createDataFrame([(1, "Deep Learning", "CONCEPT", None, .5, "old.pdf")], "entity_id long, name string, type string, domain string, confidence double, source_doc string")
+    edges = spark.createDataFrame([], "src string, dst string, rel_type string, confidence double, at timestamp")
+    aliases = spark.createDataFrame([], "alias_key string, canonical string, confidence double")
+    after, links, report = ingest.ingest(known, nodes, edges, aliases)
+    got = {r.name: round(r.confidence, 6) for r in after.collect()}
+    assert got["Deep Learning"] == .55 and len(got) == 3 and links.count() == 2 and report.head().unwritten_rate == 0
+    broken = ingest.extracted(known.chunks, lambda text: 1 / 0)
+    assert broken.count() == 0
+    graph_edges = spark.createDataFrame([("e", "Deep Learning", "Neural Networks", "USES", .9)], EDGES)
+    points = spark.createDataFrame([(1, providers.hashed_vector("deep learning"), "a.pdf", 1, "text")], "vec_id long, embedding array<double>, source_doc string, page int, text string")
+    found, lines = retrieve.ask("What is Deep Learning?", graph_edges, points, nodes, aliases)
+    assert found == ["Deep Learning"] and any("Neural Networks" in r.line for r in lines.collect())
+    assert retrieve.ask("and its limits?", graph_edges, points, nodes, aliases, ["Deep Learning"])[0] == ["Deep Learning"]
