@@ -1,6 +1,7 @@
 """Exact vector search for a stated query set: one pass over the points, top-k per batch, then one rank per query.
 
-Queries are shipped to the points, so their number is checked (``MOST_QUERIES``); for all against all use sharded trees.
+Queries are shipped to the points, so at most ``MOST_QUERIES`` go at once; a larger set goes in blocks, each with its own pass and its result
+written before the next begins.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 MOST_QUERIES = 20_000
 
 
@@ -39,9 +42,17 @@ def topk(points: DataFrame, queries: DataFrame, k: int, group: str | None = None
     0; points whose length differs from a query's are not compared. ``least`` is a floor, ``strict`` leaves out the floor itself. Ties by id.
     """
     fields = ["query_id", vector] + ([group] if group else [])
-    asked = queries.where(F.col(vector).isNotNull()).select(*fields).limit(MOST_QUERIES + 1).collect()
+    queries = queries.where(F.col(vector).isNotNull()).select(*fields)
+    asked = queries.limit(MOST_QUERIES + 1).collect()
     if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
+        # Blocks of half the size on average, so that none goes over by chance.
+        blocks = -(-2 * queries.count() // MOST_QUERIES)
+        parts = [staged(topk(points, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k, group, least, strict, id_col, vector, exclude_self), "topk")
+                 for b in range(blocks)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     by_length: dict[int, list] = {}
     for r in asked:
         by_length.setdefault(len(r[vector]), []).append(r)

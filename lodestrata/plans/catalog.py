@@ -148,10 +148,10 @@ def j2(s, d):
     return out.select("src", "dst", "rel_type", r6("confidence").alias("confidence"), "created_at", "last_updated")
 
 
-@query("j3_tag_domain", """SELECT entity_id, CASE WHEN name IN (SELECT name FROM entities WHERE entity_id < 50) AND type = 'PERSON' THEN 'Tagged' ELSE domain END AS domain FROM entities""")
+@query("j3_tag_domain", """SELECT entity_id, CASE WHEN name IN (SELECT name FROM entities WHERE domain = 'other') AND type = 'PERSON' THEN 'Tagged' ELSE domain END AS domain FROM entities""")
 def j3(s, d):
     e = table(s, d, "entities")
-    tags = e.where("entity_id < 50").select("name", F.lit("PERSON").alias("type"), F.lit("Tagged").alias("new_domain")).distinct()
+    tags = e.where("domain = 'other'").select("name", F.lit("PERSON").alias("type"), F.lit("Tagged").alias("new_domain")).distinct()
     return graph.tag_domain(e, tags).select("entity_id", "domain")
 
 
@@ -232,25 +232,24 @@ def n15(s, d):
 # ------------------------------------------------------------------ filters, lookups, validation
 
 @query("b1_exact_lookup", """SELECT asked_id, entity_id FROM (SELECT q.entity_id AS asked_id, e.entity_id, row_number() OVER (PARTITION BY q.entity_id
-    ORDER BY e.confidence DESC NULLS LAST, e.entity_id) AS n FROM entities q JOIN entities e ON q.name = e.name AND (q.type IS NULL OR q.type = e.type)
-    WHERE q.entity_id % 10 = 0) WHERE n = 1""")
+    ORDER BY e.confidence DESC NULLS LAST, e.entity_id) AS n FROM entities q JOIN entities e ON q.name = e.name AND (q.type IS NULL OR q.type = e.type)) WHERE n = 1""")
 def b1(s, d):
     e = table(s, d, "entities")
-    asked = e.where("entity_id % 10 = 0").select(F.col("entity_id").alias("asked_id"), "name", "type")
+    asked = e.select(F.col("entity_id").alias("asked_id"), "name", "type")
     return resolve.exact_lookup(asked, e).select("asked_id", "entity_id")
 
 
 @query("b3_substring_match", r"""WITH n AS (SELECT entity_id AS new_id, type, trim(regexp_replace(lower(trim(name)), '^(dr\.|dr |prof\.|prof |mr\.|mr |ms\.|ms |mrs\.|mrs )', '')) AS n
-    FROM entities WHERE entity_id % 10 = 0 AND name IS NOT NULL),
+    FROM entities WHERE entity_id % 20 = 0 AND name IS NOT NULL),
 w AS (SELECT new_id, type, n, unnest(list_distinct(list_filter(regexp_split_to_array(n, '[^\p{L}\p{N}]+'), lambda x: length(x) > 2))) AS w FROM n),
 e AS (SELECT entity_id, name, type, lower(name) AS m, confidence, unnest(list_distinct(list_filter(regexp_split_to_array(lower(name), '[^\p{L}\p{N}]+'), lambda x: length(x) > 2))) AS w
-    FROM entities WHERE name IS NOT NULL AND entity_id % 10 <> 0),
+    FROM entities WHERE name IS NOT NULL AND entity_id % 20 <> 0),
 h AS (SELECT DISTINCT w.new_id, e.entity_id, e.name, e.confidence FROM w JOIN e ON w.type = e.type AND w.w = e.w WHERE contains(m, n) OR contains(n, m))
 SELECT new_id, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY confidence DESC NULLS LAST, name, entity_id) AS rn FROM h) WHERE rn = 1""")
 def b3(s, d):
     e = table(s, d, "entities")
-    new = e.where("entity_id % 10 = 0 AND name IS NOT NULL").withColumnRenamed("entity_id", "new_id")
-    return resolve.substring_match(new, e.where("entity_id % 10 <> 0")).select("new_id", "entity_id")
+    new = e.where("entity_id % 20 = 0 AND name IS NOT NULL").withColumnRenamed("entity_id", "new_id")
+    return resolve.substring_match(new, e.where("entity_id % 20 <> 0")).select("new_id", "entity_id")
 
 
 @query("b4_stale_entities", "SELECT entity_id, round(confidence, 6) AS confidence FROM entities WHERE confidence < 0.35")
@@ -304,13 +303,13 @@ def b21(s, d):
 # ------------------------------------------------------------------ vectors
 
 _COS = """p AS (SELECT vec_id, type, domain, embedding FROM vec_points WHERE len(embedding) = 64),
-q AS (SELECT vec_id AS query_id, type AS q_type, embedding AS qe FROM p WHERE vec_id % 100 = 0),
+q AS (SELECT vec_id AS query_id, type AS q_type, embedding AS qe FROM p WHERE vec_id % 20 = 0),
 s AS (SELECT q.query_id, q.q_type, p.vec_id, p.type, p.domain, CASE WHEN list_sum(list_transform(qe, lambda x: abs(x))) = 0 OR list_sum(list_transform(embedding, lambda x: abs(x))) = 0
     THEN 0E0 ELSE list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])) END AS score FROM q CROSS JOIN p)"""
 
 
 def _asked(s, d, *columns: str) -> DataFrame:
-    return table(s, d, "vec_points").where("vec_id % 100 = 0 AND size(embedding) = 64").select(F.col("vec_id").alias("query_id"), "embedding", *columns)
+    return table(s, d, "vec_points").where("vec_id % 20 = 0 AND size(embedding) = 64").select(F.col("vec_id").alias("query_id"), "embedding", *columns)
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -1012,9 +1011,9 @@ def l1(s, d):
     return retrieve.context({"FACTS": retrieve.numbered_facts(facts, types), "PASSAGES": retrieve.numbered_hits(lines)})
 
 
-@query("k9_grounded", "SELECT CAST(0 AS BIGINT) AS facts, count(*) AS hits, CAST(NULL AS VARCHAR) AS answer FROM documents WHERE doc_id < 5")
+@query("k9_grounded", "SELECT CAST(0 AS BIGINT) AS facts, count(*) AS hits, CAST(NULL AS VARCHAR) AS answer FROM documents")
 def k9(s, d):
-    return retrieve.grounded(s.createDataFrame([], "a int"), table(s, d, "documents").where("doc_id < 5"))
+    return retrieve.grounded(s.createDataFrame([], "a int"), table(s, d, "documents"))
 
 
 @query("k1_encode_distinct")

@@ -92,13 +92,17 @@ def test_evidence(spark):
     assert memory.reinforced(e).head().confidence == 1.0
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     pts = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 0.0], "a"), (3, [2.0, 0.0], "b"), (4, None, "a"), (5, [1.0], "a"), (6, [1.0, 0.0], None)],
                                 "vec_id long, embedding array<double>, type string")
     q = spark.createDataFrame([(1, [3.0, 0.0], "a")], "query_id long, embedding array<double>, type string")
     assert [(r.vec_id, r.score) for r in vector.topk(pts, q, 3).orderBy("rank").collect()] == [(1, 1.0), (3, 1.0), (6, 1.0)]
     assert [r.vec_id for r in vector.topk(pts, q, 3, "type").orderBy("rank").collect()] == [1, 2]
     assert [r.vec_id for r in vector.topk(pts, q, 3, "type", exclude_self=True).collect()] == [2]
+    many = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], "query_id long, embedding array<double>")
+    whole = sorted(map(tuple, vector.topk(pts, many, 2).collect()))
+    monkeypatch.setattr(vector, "MOST_QUERIES", 20)
+    assert sorted(map(tuple, vector.topk(pts, many, 2).collect())) == whole and len(whole) == 100
     assert vector.topk(pts, q, 3, least=1.0, strict=True).count() == 0 and vector.topk(pts, q.limit(0), 3).count() == 0
 
 
