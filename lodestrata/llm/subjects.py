@@ -1,8 +1,8 @@
 """Problem 4: the subject areas of each document.
 
-1. Vocabulary: words by the number of chunks that hold them, counted over all chunks; those in more than ``max_share`` of the chunks say
-   nothing of a subject, those in fewer than ``min_chunks`` too little. At most ``vocabulary`` words, the most frequent, are kept:
-   that bounds the model, not the texts that are judged.
+1. Vocabulary: words by the number of chunks that hold them, counted over all chunks; those in fewer than ``min_chunks`` say too little.
+   General words are those that spread evenly over the subjects, however often they stand; they go. At most ``vocabulary`` of the others,
+   the most frequent, are kept: that bounds the model, not the texts that are judged.
 2. Topics: latent Dirichlet allocation, fitted by MLlib's distributed online optimizer over the chunks.
 3. Inspection: each topic is mapped to subjects through its top terms. A term's evidence is how often it stands in chunks of
    documents with a subject, relative to the size of that subject; readers' labels count for a document where there are any, else
@@ -98,10 +98,23 @@ def evidence(chunks: DataFrame, hints: DataFrame, vocabulary: list[str], subject
     return out
 
 
+def fair_counts(counts: np.ndarray) -> np.ndarray:
+    """The evidence as if every subject were of the same size."""
+    size = counts.sum(axis=0)
+    return counts / np.where(size > 0, size, 1) * (size.sum() / max(1, (size > 0).sum()))
+
+
+def specific(counts: np.ndarray) -> np.ndarray:
+    """Which terms may say something of a subject: all but those whose evidence is surely even. Without evidence a term may."""
+    fair = fair_counts(counts)
+    n = np.maximum(fair.sum(axis=1), 1e-12)
+    top = fair.max(axis=1) / n
+    return top + 2 * np.sqrt(np.maximum(top * (1 - top), 1e-3) / n) >= 1.5 / counts.shape[1]
+
+
 def inspect(topics: np.ndarray, counts: np.ndarray, top_terms: int = 30, own_weight: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
     """``(subject weights of topics, subject weights of terms)``, rows sum to one."""
-    size = counts.sum(axis=0)
-    fair = counts / np.where(size > 0, size, 1) * (size.sum() / max(1, (size > 0).sum()))
+    fair = fair_counts(counts)
     even = np.full(counts.shape[1], 1 / counts.shape[1])
     by_topic = np.zeros((len(topics), counts.shape[1]))
     shares = topics / topics.sum(axis=1, keepdims=True)
@@ -142,7 +155,7 @@ def proportions(chunks: DataFrame, vocabulary: list[str], weights: np.ndarray, s
 
 
 def subject_shares(chunks: DataFrame, docs: DataFrame, labels: DataFrame, taxonomy: DataFrame, topics: int = 40, rounds: int = 40,
-                   vocabulary: int = 20_000, max_share: float = 0.10, min_chunks: int = 4, seed: int = 5) -> DataFrame:
+                   vocabulary: int = 20_000, max_share: float = 1.0, min_chunks: int = 4, seed: int = 5) -> DataFrame:
     """``source_doc, subject, share, chars`` of every document with a subject-bearing sentence."""
     listed = taxonomy.where(F.col("canonical").isNotNull()).select("canonical", "parent", "label_fr", "synonyms").collect()  # a list kept by hand
     subject_of = {r.canonical: r.parent or r.canonical for r in listed}
@@ -150,11 +163,16 @@ def subject_shares(chunks: DataFrame, docs: DataFrame, labels: DataFrame, taxono
     entries = [(r.canonical, [x for x in [r.label_fr, *(r.synonyms or [])] if x]) for r in sorted(listed)]
     held = staged(chunks.where(F.col("source_doc").isNotNull() & F.col("text").isNotNull()).select("source_doc", "chunk_id", "text")
                   .dropDuplicates(["chunk_id", "text"]).withColumn("terms", F.regexp_extract_all(F.lower("text"), F.lit(_TERM_SQL), F.lit(0))), "terms")
-    words = vocabulary_of(held, vocabulary, max_share, min_chunks)
+    # A tenth more than are kept, so that general words take no other's place.
+    words = vocabulary_of(held, vocabulary + vocabulary // 10, max_share, min_chunks)
     if not words or not subjects:
         return chunks.sparkSession.createDataFrame([], "source_doc string, subject string, share double, chars double")
-    found = fit_topics(held.where(F.size("terms") > 0), words, topics, rounds, seed)
     counts = evidence(held, hinted(docs, labels, entries, subject_of), words, subjects)
+    kept = np.flatnonzero(specific(counts))[:vocabulary]
+    if not len(kept):
+        return chunks.sparkSession.createDataFrame([], "source_doc string, subject string, share double, chars double")
+    words, counts = [words[i] for i in kept], counts[kept]
+    found = fit_topics(held.where(F.size("terms") > 0), words, topics, rounds, seed)
     _, weights = inspect(found, counts)
     return proportions(held, words, weights, subjects)
 

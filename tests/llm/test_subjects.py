@@ -61,3 +61,16 @@ def test_inspection_takes_a_mixed_topic_apart():
     counts = np.array([[90.0, 2], [80, 3], [1, 70], [0, 60]])
     _, weights = subjects.inspect(topics, counts)
     assert weights.argmax(axis=1).tolist() == [0, 0, 1, 1]
+
+
+def test_core_terms_of_large_subjects_stay(spark):
+    chunks, docs, labels, taxonomy, truth = corpus(spark)
+    got = {}
+    for r in subjects.subject_shares(chunks, docs, labels, taxonomy, topics=6, rounds=10, min_chunks=2).where("share >= 0.2").collect():
+        got.setdefault(r.source_doc, set()).add(r.subject)
+    assert sum(got.get(d) == t for d, t in truth.items()) >= .97 * len(truth)
+
+
+def test_general_words_are_even_over_subjects():
+    counts = np.array([[900.0, 300, 100], [400, 20, 5], [3, 40, 2], [0, 0, 0]] + [[0, 10, 30]] * 3)
+    assert subjects.specific(counts).tolist() == [False, True, True, True, True, True, True]
