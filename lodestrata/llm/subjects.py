@@ -8,8 +8,9 @@
    documents with a subject, relative to the size of that subject; readers' labels count for a document where there are any, else
    its domain, mapped to the taxonomy. A term whose own evidence is plentiful outweighs the topic, so that a topic that
    holds two subjects is taken apart.
-4. Assignment: every sentence is given to the subject of which its terms have most; a document's proportions are the shares of
-   its characters. Subjects with a share of ``least`` or more are the document's.
+4. Assignment: the fitted model infers the topic proportions of every chunk, and with them those of each term in it. Mapped to subjects they
+   scale what the term's own evidence says beyond an even share, however large the corpus is. Every sentence is given to the
+   subject of which its terms have most; a document's proportions are the shares of its characters. Subjects with a share of ``least`` or more are the document's.
 
 The tables that are broadcast have ``vocabulary`` rows at most. Null and blank texts say nothing; a document without any term has
 no subject; repeated chunks count once; an empty table gives no rows; extra columns are not read.
@@ -23,8 +24,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import LDA
+from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,15 +66,21 @@ def vocabulary_of(chunks: DataFrame, size: int, max_share: float, min_chunks: in
     return [r.term for r in rows]
 
 
-def fit_topics(chunks: DataFrame, vocabulary: list[str], topics: int, rounds: int, seed: int) -> np.ndarray:
-    """The topic-term weights, one row per topic."""
+def fit_topics(chunks: DataFrame, vocabulary: list[str], topics: int, rounds: int, seed: int) -> LDAModel:
+    """The fitted model."""
     counted = staged(CountVectorizerModel.from_vocabulary(vocabulary, "terms", "features").transform(
         chunks.select("terms")).select("features"), "features").persist()  # a lost part is read again from the shared folder
     n = max(1, counted.count())
     model = LDA(k=topics, maxIter=rounds, seed=seed, optimizer="online", subsamplingRate=min(1.0, max(0.02, 6000 / n)),
                 learningOffset=64.0, docConcentration=[0.1], topicConcentration=0.02).fit(counted)
     counted.unpersist()
-    return model.topicsMatrix().toArray().T
+    return model
+
+
+def with_topics(chunks: DataFrame, vocabulary: list[str], model: LDAModel) -> DataFrame:
+    """``source_doc, text, topics``: every chunk with the topic proportions that the model infers; all zero without terms."""
+    counted = CountVectorizerModel.from_vocabulary(vocabulary, "terms", "features").transform(chunks.select("source_doc", "text", "terms"))
+    return model.transform(counted).select("source_doc", "text", vector_to_array("topicDistribution").alias("topics"))
 
 
 def evidence(chunks: DataFrame, hints: DataFrame, vocabulary: list[str], subjects: list[str]) -> np.ndarray:
@@ -129,26 +137,43 @@ def inspect(topics: np.ndarray, counts: np.ndarray, top_terms: int = 30, own_wei
     return by_topic, (own_weight * prior + fair) / (own_weight + fair.sum(axis=1, keepdims=True))
 
 
-def proportions(chunks: DataFrame, vocabulary: list[str], weights: np.ndarray, subjects: list[str]) -> DataFrame:
+def scores(held: np.ndarray, theta: np.ndarray, topics: np.ndarray, by_topic: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What each term (by its place) of a chunk of topic proportions ``theta`` says of each subject."""
+    of_topic = topics[:, held].T * (theta if theta.any() else np.ones(len(theta)))
+    of_topic /= np.maximum(of_topic.sum(axis=1, keepdims=True), 1e-12)
+    even = 1 / max(1, weights.shape[1])
+    return np.maximum(weights[held] - 1.5 * even, 0) * (of_topic @ by_topic + even)
+
+
+def proportions(chunks: DataFrame, vocabulary: list[str], topics: np.ndarray, by_topic: np.ndarray, weights: np.ndarray,
+                subjects: list[str]) -> DataFrame:
     """``source_doc, subject, share``: the share of a document's characters, in sentences that say something."""
-    excess = np.maximum(weights - 1.5 / max(1, len(subjects)), 0)
-    table = {w: excess[i] for i, w in enumerate(vocabulary) if excess[i].any()}
+    place = {w: i for i, w in enumerate(vocabulary)}
+    topics = topics / topics.sum(axis=1, keepdims=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[str, np.ndarray] = {}
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, text, theta in zip(*(c.to_pylist() for c in batch.columns)):
                 own = sums.setdefault(doc, np.zeros(len(subjects)))
+                held, starts, sizes = [], [], []
                 for sentence in _SENTENCE.split(text):
-                    found = [table[w] for w in _TERM.findall(sentence.lower()) if w in table]
+                    found = [place[w] for w in _TERM.findall(sentence.lower()) if w in place]
                     if found:
-                        own[np.argmax(np.sum(found, axis=0))] += len(sentence)
+                        starts.append(len(held))
+                        sizes.append(len(sentence))
+                        held += found
+                if held:
+                    said = np.add.reduceat(scores(np.array(held), np.array(theta), topics, by_topic, weights), starts, axis=0)
+                    for row, size in zip(said, sizes):
+                        if row.any():
+                            own[row.argmax()] += size
             out = [(d, subjects[i], float(v[i])) for d, v in sums.items() for i in np.flatnonzero(v)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.string(), pa.string(), pa.float64()])],
                                                  names=["source_doc", "subject", "chars"])
 
-    parts = chunks.select("source_doc", "text").mapInArrow(run, "source_doc string, subject string, chars double")
+    parts = chunks.select("source_doc", "text", "topics").mapInArrow(run, "source_doc string, subject string, chars double")
     sums = parts.groupBy("source_doc", "subject").agg(F.sum("chars").alias("chars"))
     whole = sums.groupBy("source_doc").agg(F.sum("chars").alias("all_chars"))
     return sums.join(whole, "source_doc").select("source_doc", "subject", (F.col("chars") / F.col("all_chars")).alias("share"), "chars")
@@ -172,9 +197,10 @@ def subject_shares(chunks: DataFrame, docs: DataFrame, labels: DataFrame, taxono
     if not len(kept):
         return chunks.sparkSession.createDataFrame([], "source_doc string, subject string, share double, chars double")
     words, counts = [words[i] for i in kept], counts[kept]
-    found = fit_topics(held.where(F.size("terms") > 0), words, topics, rounds, seed)
-    _, weights = inspect(found, counts)
-    return proportions(held, words, weights, subjects)
+    model = fit_topics(held.where(F.size("terms") > 0), words, topics, rounds, seed)
+    found = model.topicsMatrix().toArray().T
+    by_topic, weights = inspect(found, counts)
+    return proportions(with_topics(held, words, model), words, found, by_topic, weights, subjects)
 
 
 def composition(shares: DataFrame) -> DataFrame:

@@ -74,3 +74,13 @@ def test_core_terms_of_large_subjects_stay(spark):
 def test_general_words_are_even_over_subjects():
     counts = np.array([[900.0, 300, 100], [400, 20, 5], [3, 40, 2], [0, 0, 0]] + [[0, 10, 30]] * 3)
     assert subjects.specific(counts).tolist() == [False, True, True, True, True, True, True]
+
+
+def test_topic_proportions_decide_whatever_the_evidence_grows_to(spark):
+    topics, by_topic = np.array([[5.0, 1, 5, 1, 1], [1, 5, 5, 1, 1]]), np.array([[.7, .1, .1, .1], [.1, .7, .1, .1]])
+    _, weights = subjects.inspect(topics, 1e6 * np.array([[9, 1, 0, 0], [1, 9, 0, 0], [5, 5.2, 0, 0], [0, 0, 15, 0], [0, 0, 0, 15]]))
+    rows = [("a", "The pitch again.", [.95, .05]), ("b", "The pitch again.", [.05, .95]), ("c", "A goalkeeper.", [0.0, 0.0]), ("d", "No such.", [.5, .5])]
+    chunks = spark.createDataFrame(rows, "source_doc string, text string, topics array<double>")
+    got = subjects.proportions(chunks, ["goalkeeper", "sonata", "pitch", "verdict", "kidney"], topics, by_topic, weights,
+                               ["Sport", "Music", "Law", "Medicine"]).collect()
+    assert {(r.source_doc, r.subject, r.share) for r in got} == {("a", "Sport", 1.0), ("b", "Music", 1.0), ("c", "Sport", 1.0)}
