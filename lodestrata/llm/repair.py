@@ -7,8 +7,9 @@ name and to lines that recur in other chunks of the document, and whether it rea
 
 Characters. An averaged-perceptron editor gives each character of a word an operation: keep, replace, delete, insert, and at a
 line-end hyphen join or keep the hyphen. It is trained here on words of the corpus that are seen on clean pages, misread at random by the
-table of confusions below; the sample is bounded by ``train_words``, in the order of frequency. A beam search over the editor's scores gives the readings of a
-word that is not known from clean pages; the lexicon, all words of the corpus with their counts, decides between them.
+table of confusions below; the sample is bounded by ``train_words``, in the order of frequency. A search gives the readings of a word that is not
+known from clean pages, as far as some known word begins so, with the editor's scores; the lexicon, all words of the corpus with their
+counts, decides between them.
 
 All statistics cover all chunks: words are counted in one aggregation (combined per batch), unknown words are edited once
 each, and their readings meet the lexicon in a join. Nothing of the size of the corpus or its vocabulary is broadcast; the most frequent
@@ -26,7 +27,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -57,6 +58,7 @@ DIGITS = {"l": "1", "i": "1", "|": "1", "o": "0", "s": "5", "b": "8", "z": "2",
 # Each pattern begins with the rare character and looks back from there, which the matcher finds fast.
 _BROKEN = re.compile(r"[-‐‑¬\xad](?<=[^\W\d_].)(?:[^\S\n]*(?:\n\s*|[^\S\n]+)(?=[^\W\d_])|(?<=\xad)(?=[^\W\d_]))")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_HEAD = re.compile(r"^[\W_]+")
 _SENTENCE = re.compile(r"[.!?;,]$")
 _SIGNATURES = [re.compile(p) for p in (
     r"[015689](?<=[^\W\d_].)(?=[^\W\d_])", r"[-‐¬\xad](?=[^\S\n]*\n\s*[^\W\d_])", r"[\xad¬ﬀ-ﬆ]", r"[Ѐ-ӿ](?:(?<=[a-z].)|(?=[a-z]))", r"i['’](?=[a-z]{2})")]
@@ -271,17 +273,24 @@ class Editor:
             if value:
                 self.weights.setdefault(f, {})[op] = value
 
-    def beam(self, word: str, width: int = 32, most: int = 3) -> list[tuple[str, float]]:
-        """Readings of a word, best first, with the gain over keeping every character."""
+    def beam(self, word: str, width: int = 60, most: int = 4, begins: Callable[[str], bool] | None = None) -> list[tuple[str, float]]:
+        """Readings of a word, best first, with the gain over keeping every character.
+
+        ``begins`` says whether some known word may begin so. With it every reading that a known word could be is returned, without it the
+        best ones; readings with one edit all stay. ``most`` is the number of edits, in long words a third of their length.
+        """
+        most = max(most, len(word) // 3)
         known = [[self.weights[f] for f in self.features(word, i) if f in self.weights] for i in range(len(word))]
         kept = [sum(w.get(c, 0.0) for w in held) for c, held in zip(word, known)]
-        states: dict[int, list[tuple[float, str, int]]] = {0: [(0.0, "", 0)]}
+        # The best gain for what is read so far and the number of edits in it.
+        states: list[dict[tuple[str, int], float]] = [{} for _ in range(len(word) + 1)]
+        states[0]["", 0] = 0.0
         for i in range(len(word)):
-            here = states.pop(i, [])
-            if len(here) > width:  # readings with one edit all stay, those with more compete among their like
-                few = [s for s in here if s[2] < 2]
+            here = states[i].items()
+            if begins is None and len(here) > width:
+                few = [s for s in here if s[0][1] < 2]
                 for edits in range(2, most + 1):
-                    few += sorted((s for s in here if s[2] == edits), key=lambda s: -s[0])[: width // 2]
+                    few += sorted((s for s in here if s[0][1] == edits), key=lambda s: -s[1])[:width]
                 here = few
             steps = [(1, word[i], 0.0, 0)] if word[i] != BREAK else []
             for n in range(1, self.longest + 1):
@@ -292,16 +301,25 @@ class Editor:
                     for printed in self.readings[read]:
                         gain = sum(w.get(printed, 0.0) for w in known[i]) + rest
                         steps.append((n, printed, gain - base, 0 if read == BREAK else 1))
-            for gain, out, edits in here:
+            fits: dict[str, bool] = {}
+            for (out, edits), gain in here:
                 for n, printed, more, cost in steps:
                     if edits + cost <= most:
-                        states.setdefault(i + n, []).append((gain + more, out + printed, edits + cost))
+                        longer = out + printed
+                        if begins is not None:
+                            if longer not in fits:
+                                fits[longer] = begins(longer)
+                            if not fits[longer]:
+                                continue
+                        there, at = states[i + n], (longer, edits + cost)
+                        if gain + more > there.get(at, float("-inf")):
+                            there[at] = gain + more
         best: dict[str, float] = {}
-        for gain, out, edits in states.get(len(word), []):
+        for (out, edits), gain in states[-1].items():
             value = gain - 4.0 * edits
             if value > best.get(out, float("-inf")):
                 best[out] = value
-        return sorted(best.items(), key=lambda b: -b[1])[: 4 * width]
+        return sorted(best.items(), key=lambda b: -b[1])
 
 
 def split_op(printed: str, n: int) -> list[str]:
@@ -467,14 +485,15 @@ class WordFilter:
         return bool(self.held[a >> 3] >> (a & 7) & 1 and self.held[b >> 3] >> (b & 7) & 1)
 
 
-def known_words(known: DataFrame):
-    """The filter of the column ``right``, as a broadcast of at most 8 MB."""
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * known.count() + 1).bit_length()))
+def known_words(known: DataFrame, beginnings: bool = False):
+    """The filter of the column ``right``, or of all that its words begin with, as a broadcast of at most 8 MB."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << ((64 if beginnings else 16) * known.count() + 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = WordFilter(bits)
         for batch in batches:
-            for word in batch.column(0).to_pylist():
+            words = batch.column(0).to_pylist()
+            for word in {w[:n] for w in words for n in range(1, len(w) + 1)} if beginnings else words:
                 own.add(word)
         yield pa.RecordBatch.from_arrays([pa.array([bytes(own.held)], pa.binary())], names=["held"])
 
@@ -484,7 +503,7 @@ def known_words(known: DataFrame):
     return known.sparkSession.sparkContext.broadcast((bits, whole.tobytes()))
 
 
-def corrections(lexicon: DataFrame, train_words: int = 2000, trusted: int = 4, often: int = 30, always: int = 300) -> DataFrame:
+def corrections(lexicon: DataFrame, train_words: int = 3000, trusted: int = 4, often: int = 30, always: int = 300) -> DataFrame:
     """``word, right``: the mended reading of every form that is not trusted and has one.
 
     The reading with the best sum of the editor's score and the logarithm of its count on clean pages wins, if it stands there
@@ -499,15 +518,21 @@ def corrections(lexicon: DataFrame, train_words: int = 2000, trusted: int = 4, o
     unknown = lexicon.where(enough & ((F.col("clean") < trusted) | (F.col("clean") * always <= most))).select("word", "clean")
 
     known = lexicon.where("clean > 0").select(F.col("word").alias("right"), F.col("clean").alias("seen"))
-    standing = known_words(known)
+    standing, begun = known_words(known), known_words(known, beginnings=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordFilter(*standing.value)
+        words, starts = WordFilter(*standing.value), WordFilter(*begun.value)
+
+        def begins(reading: str) -> bool:
+            """Outer punctuation is no part of a word."""
+            inner = reading if reading[:1].isalnum() else _HEAD.sub("", reading)
+            return not inner or starts.holds(inner) or (not inner[-1].isalnum() and starts.holds(strip_token(inner)))
+
         for batch in batches:
             out = []
             for word, clean in zip(*(c.to_pylist() for c in batch.columns)):
                 found = {}
-                for reading, gain in editor.beam(word):
+                for reading, gain in editor.beam(word, begins=begins):
                     right = strip_token(reading)
                     if right and right != word and right not in found and words.holds(right):
                         found[right] = gain

@@ -68,3 +68,21 @@ def test_corpus(spark):
     assert text["c1"] == clean and text["n3"] == ""
     names = spark.createDataFrame([("Noisy Committee",), (None,)], "name string")
     assert repair.repair(chunks.limit(0), docs, names)[1].count() == 0
+
+
+def test_four_misread_places_in_the_corpus(spark):
+    lexicon = spark.createDataFrame([("deforestation", 40, 40), ("biodiversity", 40, 40), ("def0re5tat10n", 0, 1), ("bi0d1ver5itv", 0, 1)], "word string, clean long, n long")
+    got = {r.word: r.right for r in repair.corrections(lexicon).collect()}
+    assert got == {"def0re5tat10n": "deforestation", "bi0d1ver5itv": "biodiversity"}
+
+
+def test_no_reading_of_a_known_word_is_lost(editor):
+    for word, noisy in (("biodiversity", "bi0d1ver5itv"), ("deforestation", "def0re5tat10n"), ("internationalisation", "1nternati0na1i5ati0n")):
+        begun = {word[:n] for n in range(1, len(word) + 1)}
+        assert word in dict(editor.beam(noisy, begins=begun.__contains__)), noisy
+    begun = {w[:n] for w in WORDS for n in range(1, len(w) + 1)}
+    rng = random.Random(3)
+    for word in WORDS:
+        for times in (2, 3, 4):
+            noisy, _ = misread(word, rng, times)
+            assert word in dict(editor.beam(noisy, begins=begun.__contains__)), (word, noisy)
