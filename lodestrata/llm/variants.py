@@ -349,6 +349,42 @@ def readings(rows: DataFrame, entries: list, id_col: str = "entity_id") -> DataF
         run, "id bigint, type string, core string, roles string, entry string")
 
 
+def shortened(core: str) -> set[str]:
+    """A core without as many letters as edits are allowed in it, or fewer: two cores so many edits apart (swaps too) have one in common."""
+    out = {core}
+    for _ in range(_most_edits(core)):
+        out |= {c[:i] + c[i + 1:] for c in out for i in range(len(c))}
+    return out
+
+
+def near_cores(cores: DataFrame) -> DataFrame:
+    """``a, b`` of all cores of one type whose edit distance is as small as ``similarity`` takes, by an equi-join on shortened cores."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t, core in zip(*(x.to_pylist() for x in batch.columns)):
+                keys = [f"{t}\x01{k}" for k in shortened(core)] if _most_edits(core) else []
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(keys), pa.int64()), pa.array([core] * len(keys)), pa.array(keys)],
+                                                     names=["core_id", "core", "key"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                most = _most_edits(min(x, y, key=len))
+                if most and edits(x, y, most) <= most:
+                    near.append((a, b))
+            if near:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*near)], names=["a", "b"])
+
+    keyed = cores.select("core_id", "type", "core").mapInArrow(run, "core_id bigint, core string, key string").withColumn("key", F.xxhash64("key"))
+    keyed = staged(keyed, "shortened")
+    x, y = keyed.alias("x"), keyed.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.core_id") < F.col("y.core_id"))).select(
+        F.col("x.core_id").alias("a"), F.col("y.core_id").alias("b"), F.col("x.core").alias("ca"), F.col("y.core").alias("cb")).distinct()
+    return pairs.mapInArrow(check, "a bigint, b bigint")
+
+
 def linked_cores(cores: DataFrame, floor: float = 0.1) -> DataFrame:
     """``a, b`` of cores of one type whose n-gram vectors have a cosine over ``floor`` and whose edit distance is small.
 
@@ -378,7 +414,8 @@ def linked_cores(cores: DataFrame, floor: float = 0.1) -> DataFrame:
     shorter = F.least(F.length("ca"), F.length("cb"))
     # A swap of neighbours is two plain edits.
     most = F.when(shorter < 4, 0).when(shorter < 7, 2).otherwise(3)
-    return pairs.where(F.levenshtein("ca", "cb") <= most).select("a", "b")
+    # n-grams of half a core miss pairs with two edits far apart.
+    return pairs.where(F.levenshtein("ca", "cb") <= most).select("a", "b").unionByName(near_cores(cores)).distinct()
 
 
 def clusters(rows: DataFrame, entries: list, id_col: str = "entity_id", least: float = 0.5) -> DataFrame:

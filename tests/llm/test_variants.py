@@ -69,3 +69,9 @@ def test_clusters(spark):
     cores = spark.createDataFrame([(1, "A", "truplinokuk"), (2, "A", "truplinokku"), (3, "B", "truplinokuk"), (4, "A", "gestuvriyak")],
                                   "core_id long, type string, core string")
     assert [tuple(r) for r in linked_cores(cores).collect()] == [(1, 2)]
+
+
+def test_two_edits_far_apart_are_linked(spark):
+    pairs = [("birzoinuwi", "brizoinuuwi"), ("wifeikarren", "wyfeikraren"), ("abcdefg", "bacdegf")]
+    cores = spark.createDataFrame([(2 * i + k, "PERSON", c) for i, p in enumerate(pairs) for k, c in enumerate(p)], "core_id long, type string, core string")
+    assert {tuple(r) for r in linked_cores(cores).collect()} == {(0, 1), (2, 3), (4, 5)}
