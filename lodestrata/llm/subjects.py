@@ -66,12 +66,17 @@ def vocabulary_of(chunks: DataFrame, size: int, max_share: float, min_chunks: in
     return [r.term for r in rows]
 
 
+def sampling_rate(chunks: int, rounds: int) -> float:
+    """The share of the chunks in each round: 6,000 chunks, but never so few that the rounds read less than four times the corpus."""
+    return min(1.0, max(4 / max(1, rounds), 6000 / max(1, chunks)))
+
+
 def fit_topics(chunks: DataFrame, vocabulary: list[str], topics: int, rounds: int, seed: int) -> LDAModel:
     """The fitted model."""
     counted = staged(CountVectorizerModel.from_vocabulary(vocabulary, "terms", "features").transform(
         chunks.select("terms")).select("features"), "features").persist()  # a lost part is read again from the shared folder
     n = max(1, counted.count())
-    model = LDA(k=topics, maxIter=rounds, seed=seed, optimizer="online", subsamplingRate=min(1.0, max(0.02, 6000 / n)),
+    model = LDA(k=topics, maxIter=rounds, seed=seed, optimizer="online", subsamplingRate=sampling_rate(n, rounds),
                 learningOffset=64.0, docConcentration=[0.1], topicConcentration=0.02).fit(counted)
     counted.unpersist()
     return model

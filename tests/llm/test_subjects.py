@@ -84,3 +84,9 @@ def test_topic_proportions_decide_whatever_the_evidence_grows_to(spark):
     got = subjects.proportions(chunks, ["goalkeeper", "sonata", "pitch", "verdict", "kidney"], topics, by_topic, weights,
                                ["Sport", "Music", "Law", "Medicine"]).collect()
     assert {(r.source_doc, r.subject, r.share) for r in got} == {("a", "Sport", 1.0), ("b", "Music", 1.0), ("c", "Sport", 1.0)}
+
+
+def test_rounds_read_the_corpus_several_times_at_every_size():
+    for chunks in (0, 1, 5_000, 89_500, 895_000, 10 ** 9):
+        for rounds in (10, 40, 100):
+            assert 4 <= rounds * subjects.sampling_rate(chunks, rounds) and subjects.sampling_rate(chunks, rounds) <= 1
