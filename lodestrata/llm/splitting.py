@@ -1,14 +1,16 @@
 """Problem 3: splitting oversized items at natural boundaries.
 
-Separators form a hierarchy: section, paragraph, line, sentence, word, character. Text is taken apart by the first level; only a
-part that is still over the limit is taken apart by the next. The parts are then packed greedily: a piece ends at the
-last part that fits, and the next one starts ``overlap`` characters before that end. An item is *natural* if no part had
-to be taken apart below the sentence, else *forced*.
+Separators form a hierarchy: section, paragraph, line, sentence, word, character. An item over the limit is taken apart by the first
+level; a part that could never be whole in a piece (it is longer than the limit less the overlap) is taken apart by the next, and so
+on. The parts are packed greedily: a piece takes parts while they fit, ends where a part ends, and the next piece starts ``overlap``
+characters before that end. A part that fits no more but could stand in the next piece is left whole for it.
 
-If with the overlap no boundary lies within the limit, although every part alone would fit, the piece is cut at the last
-blank, so that both the limit and the overlap hold; such an item is still *natural*.
+An item is *forced* if a part over the limit had to be taken apart below the sentence, else *natural*. Overlap and limit may
+leave no room for a part that is within the limit; then it is cut at a blank, and the item is still natural. The kind of an item comes out of the
+same pass as its pieces.
 
-The work is a narrow pass over the items that are too long (the length filter runs in the JVM), linear in the text.
+The work is a narrow pass over the items that are too long (the length filter runs in the JVM), linear in the text and
+its levels.
 """
 
 from __future__ import annotations
@@ -59,60 +61,70 @@ def _ends(text: str, start: int, end: int, level: int) -> Iterator[int]:
         yield from (m.end() for m in pattern.finditer(text, start, end) if start < m.end() < end)
 
 
-def boundaries(text: str, limit: int) -> list[tuple[int, int]]:
-    """``(position, level)`` of the part ends, down to sentences everywhere and deeper only where a part is too long."""
-    marks: dict[int, int] = {}
-    for level in range(4):
-        for at in _ends(text, 0, len(text), level):
-            marks.setdefault(at, level)
-    places = [0, *sorted(marks), len(text)]
-    for a, b in zip(places, places[1:]):
-        if b - a <= limit:
-            continue
-        last = a
-        words = [*_ends(text, a, b, 4), b]
-        for at in words:
-            if at - last > limit:
-                for c in range(last + limit, at, limit):
-                    marks[c] = 5
-            if at < b:
-                marks[at] = 4
-            last = at
-    return sorted(marks.items())
+def parts_of(text: str, start: int, end: int, level: int) -> list[tuple[int, int]]:
+    """``text[start:end]`` taken apart by the first level from ``level`` on that can do so: ``(end, level)`` of the parts, in order.
+
+    Nothing below a word takes it apart: a part without any blank comes back alone, of the character's level.
+    """
+    while level < 5:
+        ends = list(_ends(text, start, end, level))
+        if ends:
+            return [*((e, level) for e in ends), (end, level)]
+        level += 1
+    return [(end, 5)]
+
+
+def pack(text: str, limit: int = 2000, overlap: int = 200) -> tuple[list[tuple[int, int, int]], bool]:
+    """``(pieces, forced)`` of a text; pieces are ``(start, end, level of the end)``, consecutive ones overlap by exactly ``overlap``."""
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be smaller than the limit")
+    out: list[tuple[int, int, int]] = []
+    start, end, end_level, forced = 0, 0, 0, False
+    # What is still to be placed, next one last: where a part ends, the level of that end, the level that may take it apart.
+    waiting = [(len(text), 0, 0)] if text else []
+
+    def close() -> None:
+        nonlocal start
+        out.append((start, end, end_level))
+        start = end - overlap
+
+    while waiting:
+        stop, level, inner = waiting.pop()
+        empty = end == (out[-1][1] if out else 0)
+        if stop - start <= limit:
+            end, end_level = stop, level
+        elif not empty and (stop - end <= limit - overlap or end - start == limit):
+            close()
+            waiting.append((stop, level, inner))
+        else:
+            parts = parts_of(text, end, stop, inner)
+            deep = parts[0][1]
+            forced |= deep > 3 and stop - end > limit
+            if deep < 5:
+                waiting += [(e, deep if e < stop else level, deep + 1) for e, _ in reversed(parts)]
+            else:
+                end, end_level = start + limit, 5
+                waiting.append((stop, level, 5))
+    if text:
+        close()
+    return out, forced
 
 
 def kind(text: str, limit: int) -> str:
     """``natural`` if every stretch between natural boundaries fits the limit, else ``forced``."""
-    return "forced" if any(level > 3 for _, level in boundaries(text, limit)) else "natural"
+    return "forced" if pack(text, limit, 0)[1] else "natural"
 
 
 def pieces(text: str, limit: int = 2000, overlap: int = 200) -> list[tuple[int, int, int]]:
-    """``(start, end, level of the end)`` of the pieces; consecutive ones overlap by exactly ``overlap``."""
-    if not 0 <= overlap < limit:
-        raise ValueError("the overlap must be smaller than the limit")
-    if len(text) <= limit:
-        return [(0, len(text), 0)] if text else []
-    marks, out, start, i, done = boundaries(text, limit), [], 0, 0, 0
-    while start + limit < len(text):
-        best = None
-        while i < len(marks) and marks[i][0] <= start + limit:
-            if marks[i][0] > max(done, start + overlap):
-                best = marks[i]
-            i += 1
-        if best is None:
-            blank = max((m.end() for m in _WORD.finditer(text, max(done, start + overlap) + 1, start + limit)), default=0)
-            best = (blank, 4) if blank else (start + limit, 5)
-        out.append((start, best[0], best[1]))
-        done, start = best[0], best[0] - overlap
-    out.append((start, len(text), 0))
-    return out
-
-
-def oversized(items: DataFrame, id_col: str = "chunk_id", text_col: str = "text", limit: int = 2000) -> DataFrame:
-    """``id_col, cut`` of every item over the limit. Null texts are not over it; repeated rows stay."""
+    """``(start, end, level of the end)`` of the pieces."""
+    return pack(text, limit, overlap)[0]
+
+
+def oversized(items: DataFrame, id_col: str = "chunk_id", text_col: str = "text", limit: int = 2000, overlap: int = 200) -> DataFrame:
+    """``id_col, cut`` of every item over the limit, as its packing turns out. Null texts are not over it; repeated rows stay."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = [kind(t, limit) for t in batch.column(1).to_pylist()]
+            kinds = ["forced" if pack(t, limit, overlap)[1] else "natural" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string())], names=[id_col, "cut"])
 
     long = items.where(F.length(text_col) > limit).select(id_col, F.col(text_col).alias("__text"))

@@ -30,6 +30,23 @@ def test_natural_ends_are_used():
     assert all(text[:b].endswith(". ") for _, b, _ in pieces(text)[:-1])
 
 
+def test_a_paragraph_that_fits_is_left_whole():
+    first, second = "One sentence of it here. " * 57, "Another one of these. " * 40
+    text = first.strip() + ".\n\n" + second.strip()
+    cut = pieces(text)
+    at = text.index("Another")
+    assert cut[0][1] == at and cut[1] == (at - 200, len(text), 0)
+    # A paragraph that no piece can hold is taken apart, and its sentences fill the piece that was begun.
+    text = first.strip() + ".\n\n" + second * 5
+    assert at < pieces(text)[0][1] <= 2000
+
+
+def test_deeper_levels_only_where_needed():
+    line = "word " * 300 + "\n"
+    assert [b for _, b, _ in pieces(line * 3, 2000, 100)] == [1501, 3002, 4503]
+    assert pieces("x" * 4500, 2000, 200) == [(0, 2000, 5), (1800, 3800, 5), (3600, 4500, 0)]
+
+
 def test_frames(spark):
     rows = [("a", "Some words. " * 400, 1, "body"), ("a", "Some words. " * 400, 1, "body"), ("b", None, 2, None), ("c", "", 3, "x"),
             ("d", "short", 4, "x"), ("e", "q" * 100_001, 5, "x")]
