@@ -115,19 +115,22 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def _p9_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counts = mixing.token_counts(table(spark, sf_dir, "documents"))
+    return counts, mixing.mix_plan(counts, table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
-    return report.where("short").select("source")
+    return _p9_plan(spark, sf_dir)[1].where("short").select("source")
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    """What each source was to be and what of it was drawn."""
+    return mixing.mix_report(*_p9_plan(spark, sf_dir))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    report = mixing.mix_report(docs, table(spark, sf_dir, "mix_targets"))
-    return mixing.mix(docs.select("doc_id", "source"), report)
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), _p9_plan(spark, sf_dir)[1])
 
 
 def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

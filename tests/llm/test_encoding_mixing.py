@@ -58,10 +58,11 @@ def test_report_and_mix(spark):
         + [(5000, None, "small"), (5001, "lost", None)], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("big", .8, 2), ("small", .15, 2), ("gone", .05, 3), (None, .1, 1)],
                                     "source string, weight double, max_repeats int")
-    report = mixing.mix_report(docs, targets)
+    counts = mixing.token_counts(docs)
+    report = mixing.mix_plan(counts, targets)
     rows = {r.source: r for r in report.collect()}
     assert rows["gone"].short and rows["small"].short and not rows["big"].short
-    assert rows["small"].repeats == 2 and abs(sum(r.share for r in rows.values()) - 1) < 1e-9
+    assert rows["small"].repeats == 2
     docs = docs.selectExpr("*", "'x' AS repeats", "'y' AS copy")
     mixed = mixing.mix(docs, report)
     assert mixed.columns == ["doc_id", "text", "source", "repeats", "copy"]
@@ -71,4 +72,10 @@ def test_report_and_mix(spark):
     assert len(small) == 22
     big = sum(x[0] < 1000 for x in again)
     assert abs(big - 400 * rows["big"].repeats) < 40
-    assert mixing.mix_report(docs.limit(0), targets).where("used > 0").count() == 0
+    # The shares reported are those of what is drawn.
+    shown = {r.source: r for r in mixing.mix_report(counts, report).collect()}
+    drawn = mixed.join(counts.withColumnRenamed("source", "s"), "doc_id").groupBy("source").sum("n_tokens").collect()
+    assert {r.source: r[1] for r in drawn} == {s: r.used for s, r in shown.items() if r.used}
+    assert abs(sum(r.share for r in shown.values()) - 1) < 1e-9 and shown["gone"].used == 0 and shown["big"].used_docs == big
+    nothing = mixing.token_counts(docs.limit(0))
+    assert mixing.mix_report(nothing, mixing.mix_plan(nothing, targets)).where("used > 0 OR share > 0").count() == 0
