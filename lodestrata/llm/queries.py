@@ -79,18 +79,18 @@ def p4_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "vec_points")
-    return neighbours.close_pairs(neighbours.nearest(points, 10, least=0.90, relax=3.0))
+    return neighbours.close_pairs(neighbours.nearest(points, 10, least=0.90, relax=4.0))
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar points of every usable point, whatever their cosine."""
-    return neighbours.nearest(table(spark, sf_dir, "vec_points"), 10, relax=2.0)
+    return neighbours.nearest(table(spark, sf_dir, "vec_points"), 10, relax=8.0)
 
 
 def p5_neighbours_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same within a domain, for the query set of ids divisible by 20."""
     points = table(spark, sf_dir, "vec_points").withColumn("domain", F.lower("domain"))
-    return neighbours.nearest(points, 10, group_cols=("type", "domain"), queries=F.col("vec_id") % 20 == 0)
+    return neighbours.nearest(points, 10, group_cols=("type", "domain"), relax=8.0, queries=F.col("vec_id") % 20 == 0)
 
 
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

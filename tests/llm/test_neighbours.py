@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.llm import neighbours
 from lodestrata.llm.neighbours import VantageTree, close_pairs, nearest
 
 
@@ -20,8 +21,6 @@ def brute(x, k, least=-2.0):
 
 
 def test_tree_is_exact_at_factor_one_and_close_beyond(monkeypatch):
-    from lodestrata.llm import neighbours
-
     monkeypatch.setattr(neighbours, "LEAF", 20)
     x = data(n=2000)
     want, _ = brute(x, 5)
@@ -54,3 +53,40 @@ def test_queries_ties_and_empty(spark):
     assert {r.id for r in rows} == {0, 5} and len(rows) == 4
     assert close_pairs(nearest(df, 10, dimension=2)).count() == 15
     assert nearest(df.limit(0), 2, dimension=2).count() == 0
+
+
+def like_embeddings(n=4000, d=64):
+    """Points of independent numbers, half of them near another one: as hard for pruning as the table of vectors."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, d)) * rng.uniform(.5, 2, (1, d))
+    x[n // 2:] = x[: n // 2] + rng.normal(size=(n // 2, d)) * rng.uniform(.05, .7, (n // 2, 1))
+    return x
+
+
+@pytest.mark.parametrize("shards", [10, 100])
+def test_recall_and_copies_at_the_settings_of_the_queries(spark, shards):
+    x = like_embeddings()
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<float>, type string")
+    asked = F.col("vec_id") % 5 == 0
+    for least, relax in ((.9, 4.0), (None, 8.0)):
+        want = {p for p in brute(x, 10, -2 if least is None else least)[0] if p[0] % 5 == 0}
+        got = {(r.id, r.other) for r in nearest(df, 10, least=least, relax=relax, shard_rows=len(x) // shards, queries=asked).collect()}
+        recall = len(got & want) / len(want)
+        rows = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit("a").alias("g"))
+        pivots = neighbours.pivots_of(rows, {"a": len(x)}, len(x) // shards)
+        assert len(pivots["a"]) == shards
+        reach = float(neighbours.chord(np.float64(.9 if least else .45)))
+        copies = neighbours._routed(rows, spark.sparkContext.broadcast(pivots), 64, relax, reach).agg(F.avg(F.size("routes"))).head()[0]
+        print(f"{shards} shards, least {least}, relax {relax}: recall {recall:.4f}, {copies:.1f} cells a query")
+        assert recall >= (.99 if least else .9) and copies < .8 * shards
+
+
+def test_a_cell_of_copies_is_dealt_and_ties_go_to_smaller_ids(spark):
+    x = like_embeddings(600)
+    x[:200] = x[0]
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<float>, type string")
+    got = {}
+    for r in nearest(df, 3, shard_rows=40).collect():
+        got.setdefault(r.id, []).append((r.rank, r.other))
+    for i in range(200):
+        assert [o for _, o in sorted(got[i])] == [j for j in range(4) if j != i][:3]
