@@ -2,31 +2,29 @@
 
 1. Vocabulary: words by the number of chunks that hold them, counted over all chunks; those in fewer than ``min_chunks`` say too little.
    General words are those that spread evenly over the subjects, however often they stand; they go. At most ``vocabulary`` of the others,
-   the most frequent, are kept: that bounds the model, not the texts that are judged.
-2. Topics: latent Dirichlet allocation, fitted by MLlib's distributed online optimizer over the chunks.
-3. Inspection: each topic is mapped to subjects through its top terms. A term's evidence is how often it stands in chunks of
-   documents with a subject, relative to the size of that subject; readers' labels count for a document where there are any, else
-   its domain, mapped to the taxonomy. A term whose own evidence is plentiful outweighs the topic, so that a topic that
-   holds two subjects is taken apart.
-4. Assignment: the fitted model infers the topic proportions of every chunk, and with them those of each term in it. Mapped to subjects they
-   scale what the term's own evidence says beyond an even share, however large the corpus is. Every sentence is given to the
-   subject of which its terms have most; a document's proportions are the shares of its characters. Subjects with a share of ``least`` or more are the document's.
-
-The tables that are broadcast have ``vocabulary`` rows at most. Null and blank texts say nothing; a document without any term has
-no subject; repeated chunks count once; an empty table gives no rows; extra columns are not read.
+   the most frequent, are kept: that bounds the model.
+2. Topics: latent Dirichlet allocation over the *sentences*, which are of one subject where a chunk or document is of several. It is fitted
+   by distributed passes of collapsed variational inference (of order zero): each pass reads the whole corpus, every task sums its expected
+   counts, the sums are combined per term in a shuffle. The topics begin near the subjects: ``topics / subjects`` of them at each subject's
+   term counts in hinted documents, spread at random, so that a few passes settle them.
+3. Inspection: each topic is mapped to subjects through its top terms: how often these stand in chunks of documents with a subject,
+   relative to the size of that subject. Readers' labels count for a document where there are any, else its domain, mapped to the taxonomy.
+4. Assignment: the model infers the topic proportions of every sentence; mapped to subjects they give the sentence to the subject with most
+   of them. A document's proportions are the shares of its characters. Subjects with a share of ``least`` or more are the document's. The counts by
+   hint have no say but through the topics.
+
+What is broadcast is one matrix of ``vocabulary`` by ``topics`` numbers (at the defaults 16 MB at most, and twice that comes to the driver after a pass). Null and
+blank texts say nothing; a document without any term has no subject; repeated chunks count once; an empty table gives no rows; extra
+columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,58 +55,15 @@ def hinted(docs: DataFrame, labels: DataFrame, entries: list, subject_of: dict[s
     return chosen.select("source_doc", F.explode("own.subject").alias("subject"), (F.lit(1.0) / F.size("own")).alias("weight"))
 
 
-def vocabulary_of(chunks: DataFrame, size: int, max_share: float, min_chunks: int) -> list[str]:
-    """The terms by the number of chunks that hold them."""
-    terms = chunks.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = chunks.count()
-    rows = terms.where((F.col("df") >= min_chunks) & (F.col("df") <= max(min_chunks, max_share * total))).orderBy(
-        F.desc("df"), "term").limit(size).collect()  # at most `size` rows
-    return [r.term for r in rows]
-
-
-def sampling_rate(chunks: int, rounds: int) -> float:
-    """The share of the chunks in each round: 6,000 chunks, but never so few that the rounds read less than four times the corpus."""
-    return min(1.0, max(4 / max(1, rounds), 6000 / max(1, chunks)))
-
-
-def fit_topics(chunks: DataFrame, vocabulary: list[str], topics: int, rounds: int, seed: int) -> LDAModel:
-    """The fitted model."""
-    counted = staged(CountVectorizerModel.from_vocabulary(vocabulary, "terms", "features").transform(
-        chunks.select("terms")).select("features"), "features").persist()  # a lost part is read again from the shared folder
-    n = max(1, counted.count())
-    model = LDA(k=topics, maxIter=rounds, seed=seed, optimizer="online", subsamplingRate=sampling_rate(n, rounds),
-                learningOffset=64.0, docConcentration=[0.1], topicConcentration=0.02).fit(counted)
-    counted.unpersist()
-    return model
-
-
-def with_topics(chunks: DataFrame, vocabulary: list[str], model: LDAModel) -> DataFrame:
-    """``source_doc, text, topics``: every chunk with the topic proportions that the model infers; all zero without terms."""
-    counted = CountVectorizerModel.from_vocabulary(vocabulary, "terms", "features").transform(chunks.select("source_doc", "text", "terms"))
-    return model.transform(counted).select("source_doc", "text", vector_to_array("topicDistribution").alias("topics"))
-
-
-def evidence(chunks: DataFrame, hints: DataFrame, vocabulary: list[str], subjects: list[str]) -> np.ndarray:
-    """How many chunks of each subject hold each term; combined per batch before the shuffle."""
-    place, column = {w: i for i, w in enumerate(vocabulary)}, {s: i for i, s in enumerate(subjects)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter = Counter()
-            for terms, subject, weight in zip(*(c.to_pylist() for c in batch.columns)):
-                for w in set(terms):
-                    if w in place:
-                        counts[place[w], column[subject]] += weight
-            if counts:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.int32()),
-                                                  pa.array(list(counts.values()), pa.float64())], names=["term", "subject", "n"])
-
-    rows = chunks.join(hints, "source_doc").where(F.col("subject").isin(subjects)).select("terms", "subject", "weight").mapInArrow(
-        run, "term int, subject int, n double").groupBy("term", "subject").agg(F.sum("n").alias("n")).collect()  # terms x subjects
-    out = np.zeros((len(vocabulary), len(subjects)))
-    for r in rows:
-        out[r.term, r.subject] = r.n
-    return out
+def term_counts(chunks: DataFrame, hints: DataFrame, subjects: list[str], size: int, min_chunks: int) -> tuple[list[str], np.ndarray]:
+    """The ``size`` terms in most chunks, and how many chunks of each subject hold each; one aggregation, combined before the shuffle."""
+    said = hints.where(F.col("subject").isin(subjects)).groupBy("source_doc").agg(
+        *[F.sum(F.when(F.col("subject") == name, F.col("weight")).otherwise(0.0)).alias(f"s{j}") for j, name in enumerate(subjects)])
+    terms = chunks.select("source_doc", F.explode(F.array_distinct("terms")).alias("term")).join(said, "source_doc", "left")
+    rows = terms.groupBy("term").agg(F.count("*").alias("df"), *[F.coalesce(F.sum(f"s{j}"), F.lit(0.0)).alias(f"s{j}") for j in range(len(subjects))]).where(
+        F.col("df") >= min_chunks).orderBy(F.desc("df"), "term").limit(size).toArrow()  # at most `size` rows
+    words = rows["term"].to_pylist()
+    return words, np.stack([rows[f"s{j}"].to_numpy() for j in range(len(subjects))], axis=1) if subjects else np.zeros((len(words), 0))
 
 
 def fair_counts(counts: np.ndarray) -> np.ndarray:
@@ -125,8 +80,8 @@ def specific(counts: np.ndarray) -> np.ndarray:
     return top + 2 * np.sqrt(np.maximum(top * (1 - top), 1e-3) / n) >= 1.5 / counts.shape[1]
 
 
-def inspect(topics: np.ndarray, counts: np.ndarray, top_terms: int = 30, own_weight: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
-    """``(subject weights of topics, subject weights of terms)``, rows sum to one."""
+def inspect(topics: np.ndarray, counts: np.ndarray, top_terms: int = 30) -> np.ndarray:
+    """The subject weights of topics by their top terms, rows sum to one."""
     fair = fair_counts(counts)
     even = np.full(counts.shape[1], 1 / counts.shape[1])
     by_topic = np.zeros((len(topics), counts.shape[1]))
@@ -135,77 +90,151 @@ def inspect(topics: np.ndarray, counts: np.ndarray, top_terms: int = 30, own_wei
         top = np.argsort(-row)[:top_terms]
         each = (fair[top] + even) / (fair[top].sum(axis=1, keepdims=True) + 1)
         by_topic[k] = row[top] @ each
-    by_topic /= np.maximum(by_topic.sum(axis=1, keepdims=True), 1e-12)
-    of_term = shares * topics.sum(axis=1, keepdims=True)
-    of_term = of_term / np.maximum(of_term.sum(axis=0, keepdims=True), 1e-12)
-    prior = of_term.T @ by_topic
-    return by_topic, (own_weight * prior + fair) / (own_weight + fair.sum(axis=1, keepdims=True))
-
+    return by_topic / np.maximum(by_topic.sum(axis=1, keepdims=True), 1e-12)
 
-def scores(held: np.ndarray, theta: np.ndarray, topics: np.ndarray, by_topic: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """What each term (by its place) of a chunk of topic proportions ``theta`` says of each subject."""
-    of_topic = topics[:, held].T * (theta if theta.any() else np.ones(len(theta)))
-    of_topic /= np.maximum(of_topic.sum(axis=1, keepdims=True), 1e-12)
-    even = 1 / max(1, weights.shape[1])
-    return np.maximum(weights[held] - 1.5 * even, 0) * (of_topic @ by_topic + even)
 
-
-def proportions(chunks: DataFrame, vocabulary: list[str], topics: np.ndarray, by_topic: np.ndarray, weights: np.ndarray,
-                subjects: list[str]) -> DataFrame:
-    """``source_doc, subject, share``: the share of a document's characters, in sentences that say something."""
+def sentences(chunks: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``source_doc, terms array<int>, counts array<int>, sizes array<int>``: the terms of every sentence that has any, one after another,
+    how many there are and how many characters it has."""
     place = {w: i for i, w in enumerate(vocabulary)}
-    topics = topics / topics.sum(axis=1, keepdims=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[str, np.ndarray] = {}
-            for doc, text, theta in zip(*(c.to_pylist() for c in batch.columns)):
-                own = sums.setdefault(doc, np.zeros(len(subjects)))
-                held, starts, sizes = [], [], []
+            terms, counts, sizes = [], [], []
+            for text in batch.column(1).to_pylist():
+                held, number, chars = [], [], []
                 for sentence in _SENTENCE.split(text):
                     found = [place[w] for w in _TERM.findall(sentence.lower()) if w in place]
                     if found:
-                        starts.append(len(held))
-                        sizes.append(len(sentence))
                         held += found
-                if held:
-                    said = np.add.reduceat(scores(np.array(held), np.array(theta), topics, by_topic, weights), starts, axis=0)
-                    for row, size in zip(said, sizes):
-                        if row.any():
-                            own[row.argmax()] += size
-            out = [(d, subjects[i], float(v[i])) for d, v in sums.items() for i in np.flatnonzero(v)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.string(), pa.string(), pa.float64()])],
-                                                 names=["source_doc", "subject", "chars"])
-
-    parts = chunks.select("source_doc", "text", "topics").mapInArrow(run, "source_doc string, subject string, chars double")
+                        number.append(len(found))
+                        chars.append(len(sentence))
+                terms.append(held)
+                counts.append(number)
+                sizes.append(chars)
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, ints) for c in (terms, counts, sizes))], names=["source_doc", "terms", "counts", "sizes"])
+
+    return chunks.select("source_doc", "text").mapInArrow(run, "source_doc string, terms array<int>, counts array<int>, sizes array<int>")
+
+
+#: Terms that are looked at together in a task; bounds its memory.
+BLOCK = 50_000
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(terms, first term of each sentence, characters of each, row of each)`` of a batch, about BLOCK terms at a time."""
+    terms, counts, sizes = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("terms", "counts", "sizes"))
+    rows = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(batch.column("counts")).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(counts, dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        first = ends[at] - counts[at]
+        stop = max(at + 1, int(np.searchsorted(ends, first + BLOCK, side="right")))
+        yield terms[first: ends[stop - 1]], (ends[at:stop] - counts[at:stop] - first), sizes[at:stop], rows[at:stop]
+        at = stop
+
+
+def infer(terms: np.ndarray, starts: np.ndarray, by_term: np.ndarray, alpha: float = 0.1, steps: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """``(expected terms of each topic in each sentence, topic shares of each term)``; ``by_term`` holds a term's probability in each topic."""
+    likely = by_term[terms]
+    sentence = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
+    share = likely / np.maximum(likely.sum(axis=1, keepdims=True), 1e-30)
+    for _ in range(steps):
+        theta = np.add.reduceat(share, starts, axis=0) + np.float32(alpha)
+        share = likely * theta[sentence]
+        share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-30)
+    return np.add.reduceat(share, starts, axis=0), share
+
+
+def begin_topics(counts: np.ndarray, topics: int, seed: int, spread: float = 0.5) -> np.ndarray:
+    """Topics near the subjects' own terms (counts by how far a term is the subject's alone), dealt in turn, and a tenth near the counts of all, for words of no subject; spread at random."""
+    fair, rng = fair_counts(counts), np.random.default_rng(seed)
+    own = fair * (fair / np.maximum(fair.sum(axis=1, keepdims=True), 1e-12)) ** 2
+    near = own.T[np.arange(topics) % counts.shape[1]] + 0.01 * fair.mean(axis=1) + 0.02
+    near[topics - max(1, topics // 10):] = fair.mean(axis=1) + 0.02
+    near = near * np.exp(spread * rng.normal(size=near.shape))
+    return near / near.sum(axis=1, keepdims=True)
+
+
+def fit_topics(held: DataFrame, begin: np.ndarray, rounds: int, eta: float = 0.02) -> np.ndarray:
+    """The topics (rows over terms, summing to one) after ``rounds`` passes over all sentences."""
+    spark, topics = held.sparkSession, begin
+    k, size = begin.shape
+    columns = [f"c{i}" for i in range(k)]
+    for _ in range(rounds):
+        known = spark.sparkContext.broadcast(np.ascontiguousarray(topics.T, np.float32))
+
+        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((size, k))
+            for batch in batches:
+                for terms, starts, _, _ in _blocks(batch):
+                    _, share = infer(terms, starts, known.value)
+                    order = np.argsort(terms, kind="stable")
+                    names, first = np.unique(terms[order], return_index=True)
+                    sums[names] += np.add.reduceat(share[order], first, axis=0)
+            at = np.flatnonzero(sums.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(sums[at, i]) for i in range(k))], names=["term", *columns])
+
+        summed = held.mapInArrow(run, "term int, " + ", ".join(f"{c} double" for c in columns)).groupBy("term").agg(
+            *[F.sum(c).alias(c) for c in columns]).toArrow()  # one row per term of the vocabulary
+        counts = np.full((k, size), eta)
+        counts[:, summed["term"].to_numpy()] += np.stack([summed[c].to_numpy() for c in columns])
+        topics = counts / counts.sum(axis=1, keepdims=True)
+        known.destroy()
+    return topics
+
+
+def proportions(held: DataFrame, topics: np.ndarray, by_topic: np.ndarray, subjects: list[str], least: float = 0.3) -> DataFrame:
+    """``source_doc, subject, share, chars``: the share of a document's characters, in sentences that say something.
+
+    A topic speaks for a subject as far as that goes beyond half as much again as an even share, so a general topic speaks for none. A sentence with less than
+    ``least`` terms (in expectation) that speak for some subject says nothing.
+    """
+    clear = np.maximum(by_topic - 1.5 / max(1, by_topic.shape[1]), 0)
+    known = held.sparkSession.sparkContext.broadcast(np.ascontiguousarray(topics.T, np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column("source_doc").dictionary_encode()
+            place = docs.indices.to_numpy(zero_copy_only=False)
+            sums = np.zeros((len(docs.dictionary), len(subjects)))
+            for terms, starts, sizes, rows in _blocks(batch):
+                theta, _ = infer(terms, starts, known.value)
+                said = theta @ clear
+                at = np.flatnonzero(said.max(axis=1) >= least)
+                np.add.at(sums, (place[rows[at]], said[at].argmax(axis=1)), sizes[at])
+            doc, subject = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([docs.dictionary.take(pa.array(doc)), pa.array(subjects).take(pa.array(subject)), pa.array(sums[doc, subject])],
+                                             names=["source_doc", "subject", "chars"])
+
+    parts = held.mapInArrow(run, "source_doc string, subject string, chars double")
     sums = parts.groupBy("source_doc", "subject").agg(F.sum("chars").alias("chars"))
     whole = sums.groupBy("source_doc").agg(F.sum("chars").alias("all_chars"))
     return sums.join(whole, "source_doc").select("source_doc", "subject", (F.col("chars") / F.col("all_chars")).alias("share"), "chars")
 
 
-def subject_shares(chunks: DataFrame, docs: DataFrame, labels: DataFrame, taxonomy: DataFrame, topics: int = 40, rounds: int = 40,
-                   vocabulary: int = 20_000, max_share: float = 1.0, min_chunks: int = 4, seed: int = 5) -> DataFrame:
+def subject_shares(chunks: DataFrame, docs: DataFrame, labels: DataFrame, taxonomy: DataFrame, topics: int = 40, rounds: int = 5,
+                   vocabulary: int = 100_000, min_chunks: int = 4, seed: int = 5) -> DataFrame:
     """``source_doc, subject, share, chars`` of every document with a subject-bearing sentence."""
     listed = taxonomy.where(F.col("canonical").isNotNull()).select("canonical", "parent", "label_fr", "synonyms").collect()  # a list kept by hand
     subject_of = {r.canonical: r.parent or r.canonical for r in listed}
     subjects = sorted(r.canonical for r in listed if r.parent is None)
     entries = [(r.canonical, [x for x in [r.label_fr, *(r.synonyms or [])] if x]) for r in sorted(listed)]
-    held = staged(chunks.where(F.col("source_doc").isNotNull() & F.col("text").isNotNull()).select("source_doc", "chunk_id", "text")
-                  .dropDuplicates(["chunk_id", "text"]).withColumn("terms", F.regexp_extract_all(F.lower("text"), F.lit(_TERM_SQL), F.lit(0))), "terms")
+    texts = staged(chunks.where(F.col("source_doc").isNotNull() & F.col("text").isNotNull()).select("source_doc", "chunk_id", "text")
+                   .dropDuplicates(["chunk_id", "text"]).withColumn("terms", F.regexp_extract_all(F.lower("text"), F.lit(_TERM_SQL), F.lit(0))), "terms")
+    none = chunks.sparkSession.createDataFrame([], "source_doc string, subject string, share double, chars double")
+    if not subjects:
+        return none
     # A tenth more than are kept, so that general words take no other's place.
-    words = vocabulary_of(held, vocabulary + vocabulary // 10, max_share, min_chunks)
-    if not words or not subjects:
-        return chunks.sparkSession.createDataFrame([], "source_doc string, subject string, share double, chars double")
-    counts = evidence(held, hinted(docs, labels, entries, subject_of), words, subjects)
-    kept = np.flatnonzero(specific(counts))[:vocabulary]
+    words, counts = term_counts(texts, hinted(docs, labels, entries, subject_of), subjects, vocabulary + vocabulary // 10, min_chunks)
+    kept = np.flatnonzero(specific(counts))[:vocabulary] if words else []
     if not len(kept):
-        return chunks.sparkSession.createDataFrame([], "source_doc string, subject string, share double, chars double")
+        return none
     words, counts = [words[i] for i in kept], counts[kept]
-    model = fit_topics(held.where(F.size("terms") > 0), words, topics, rounds, seed)
-    found = model.topicsMatrix().toArray().T
-    by_topic, weights = inspect(found, counts)
-    return proportions(with_topics(held, words, model), words, found, by_topic, weights, subjects)
+    held = staged(sentences(texts, words), "sentences")
+    found = fit_topics(held, begin_topics(counts, topics, seed), rounds)
+    return proportions(held, found, inspect(found, counts), subjects)
 
 
 def composition(shares: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def corpus(spark, docs=90):
 
 def test_planted_subjects(spark):
     chunks, docs, labels, taxonomy, truth = corpus(spark)
-    shares = subjects.subject_shares(chunks, docs, labels, taxonomy, topics=6, rounds=10, max_share=0.6, min_chunks=2)
+    shares = subjects.subject_shares(chunks, docs, labels, taxonomy, topics=6, rounds=10, min_chunks=2)
     rows = shares.collect()
     got = {}
     for r in rows:
@@ -56,11 +56,12 @@ def test_empty(spark):
     assert subjects.subject_shares(chunks, docs, labels, taxonomy.limit(0)).count() == 0
 
 
-def test_inspection_takes_a_mixed_topic_apart():
-    topics = np.array([[5.0, 5, 5, 5], [1, 1, 1, 1]])
-    counts = np.array([[90.0, 2], [80, 3], [1, 70], [0, 60]])
-    _, weights = subjects.inspect(topics, counts)
-    assert weights.argmax(axis=1).tolist() == [0, 0, 1, 1]
+def test_inspection_maps_topics_by_their_top_terms():
+    topics = np.array([[9.0, 9, 1, 0, 2], [0, 1, 9, 8, 2], [1, 1, 1, 1, 20]])
+    counts = np.array([[90.0, 2], [80, 3], [1, 70], [0, 60], [50, 50]])
+    by_topic = subjects.inspect(topics, counts)
+    assert by_topic.argmax(axis=1)[:2].tolist() == [0, 1] and by_topic[:2].max(axis=1).min() > .75
+    assert by_topic[2].max() < .6
 
 
 def test_core_terms_of_large_subjects_stay(spark):
@@ -76,17 +77,49 @@ def test_general_words_are_even_over_subjects():
     assert subjects.specific(counts).tolist() == [False, True, True, True, True, True, True]
 
 
-def test_topic_proportions_decide_whatever_the_evidence_grows_to(spark):
-    topics, by_topic = np.array([[5.0, 1, 5, 1, 1], [1, 5, 5, 1, 1]]), np.array([[.7, .1, .1, .1], [.1, .7, .1, .1]])
-    _, weights = subjects.inspect(topics, 1e6 * np.array([[9, 1, 0, 0], [1, 9, 0, 0], [5, 5.2, 0, 0], [0, 0, 15, 0], [0, 0, 0, 15]]))
-    rows = [("a", "The pitch again.", [.95, .05]), ("b", "The pitch again.", [.05, .95]), ("c", "A goalkeeper.", [0.0, 0.0]), ("d", "No such.", [.5, .5])]
-    chunks = spark.createDataFrame(rows, "source_doc string, text string, topics array<double>")
-    got = subjects.proportions(chunks, ["goalkeeper", "sonata", "pitch", "verdict", "kidney"], topics, by_topic, weights,
-                               ["Sport", "Music", "Law", "Medicine"]).collect()
-    assert {(r.source_doc, r.subject, r.share) for r in got} == {("a", "Sport", 1.0), ("b", "Music", 1.0), ("c", "Sport", 1.0)}
+def test_sentences_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "BLOCK", 3)
+    chunks = spark.createDataFrame([("a", "The pitch. No such. A goalkeeper and pitch!"), ("b", "Nothing here."), ("a", "Kidney kidney.")], "source_doc string, text string")
+    batch = subjects.sentences(chunks, ["pitch", "goalkeeper", "kidney"]).coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    assert batch.column("terms").to_pylist() == [[0, 1, 0], [], [2, 2]] and batch.column("counts").to_pylist() == [[1, 2], [], [2]]
+    got = [tuple(x.tolist() for x in block) for block in subjects._blocks(batch)]
+    assert got == [([0, 1, 0], [0, 1], [10, 23], [0, 0]), ([2, 2], [0], [14], [2])]
 
 
-def test_rounds_read_the_corpus_several_times_at_every_size():
-    for chunks in (0, 1, 5_000, 89_500, 895_000, 10 ** 9):
-        for rounds in (10, 40, 100):
-            assert 4 <= rounds * subjects.sampling_rate(chunks, rounds) and subjects.sampling_rate(chunks, rounds) <= 1
+def test_the_topics_decide(spark):
+    chunks, docs, labels, taxonomy, truth = corpus(spark)
+    held = {}
+
+    def found(topics, by_topic):
+        rows = subjects.proportions(held["sentences"], topics, by_topic, sorted(WORDS)).where("share >= 0.2").collect()
+        return {(r.source_doc, r.subject) for r in rows}
+
+    own = subjects.proportions
+
+    def spy(sentences, topics, by_topic, names, least=0.3):
+        held.update(sentences=sentences, topics=topics, by_topic=by_topic)
+        return own(sentences, topics, by_topic, names, least)
+
+    subjects.proportions = spy
+    try:
+        subjects.subject_shares(chunks, docs, labels, taxonomy, topics=6, rounds=5, min_chunks=2)
+    finally:
+        subjects.proportions = own
+    want = {(d, s) for d, subject in truth.items() for s in subject}
+    assert len(found(held["topics"], held["by_topic"]) & want) >= .97 * len(want)
+    flat = np.full_like(held["topics"], 1 / held["topics"].shape[1])
+    random = np.random.default_rng(2).dirichlet(np.full(flat.shape[1], .1), len(flat))
+    for other in (flat, random):
+        assert len(found(other, held["by_topic"]) & want) < .7 * len(want)
+
+
+def test_passes_sharpen_topics(spark):
+    """Terms that stand with a subject's terms join its topics, though no hint speaks of them."""
+    rows = [("d", "striker corner"), ("d", "striker whistle"), ("d", "tribunal corner"), ("d", "tribunal affidavit")] * 20
+    held = subjects.sentences(spark.createDataFrame(rows, "source_doc string, text string"), ["striker", "tribunal", "corner", "whistle", "affidavit"])
+    begin = subjects.begin_topics(np.array([[9.0, 0], [0, 9], [1, 1], [1, 1], [1, 1]]), 4, 1)
+    topics = subjects.fit_topics(held, begin, 4)
+    assert np.allclose(topics.sum(axis=1), 1)
+    by_term = topics / topics.sum(axis=0)
+    sport, law = by_term[:, 0], by_term[:, 1]
+    assert by_term[:, 3] @ sport > 3 * (by_term[:, 3] @ law) and by_term[:, 4] @ law > 3 * (by_term[:, 4] @ sport)
