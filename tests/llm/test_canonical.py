@@ -1,5 +1,6 @@
 import pytest
 
+from lodestrata.llm import canonical
 from lodestrata.llm.canonical import NONE, Canonicaliser, canonical_values, edits, entries_of, fold
 
 ENTRIES = [("Wound Care", ["Soin des plaies", "Dressing Practice"]), ("Medicine", ["Médecine"]), ("Law", []),
@@ -35,3 +36,54 @@ def test_frame(spark):
     assert {r.canonical for r in canonical_values(rows, "id", "value", []).collect()} == {None, NONE}
     listed = spark.createDataFrame([("A", ["b", None], None), (None, ["c"], "d")], "canonical string, synonyms array<string>, label_fr string")
     assert entries_of(listed, ["synonyms", "label_fr"]) == [("A", ["b"])]
+
+
+def _all_patterns(own, folded):
+    """The fallback without its index."""
+    words = folded.split()
+    meant = [w for w in words if w not in canonical.FILLER and not w.isdigit()] or words
+    together = "".join(words)
+    best, found = own.least, None
+    for n, (tokens, joined, _) in enumerate(own.patterns):
+        score = max(own._tokens(tokens, words, meant), own._joined(joined, together))
+        if score > best or (score == best and found is None):
+            best, found = score, n
+    return None if found is None else (best, found)
+
+
+def _made(seed):
+    import random
+
+    rng = random.Random(seed)
+    syllables = "ba co di fu ge hi jo ka lu me no pi qua re so tu".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 5)))
+    stock = [word() for _ in range(40)] + ["of", "and", "law"]
+    entries = [(" ".join(rng.choice(stock) for _ in range(rng.randint(1, 4))), []) for _ in range(150)]
+
+    def typed():
+        name = rng.choice(entries)[0] if rng.random() < .8 else f"{word()} {word()}"
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(name) + 1)
+            name = rng.choice([name[:i] + name[i + 1:], name[:i] + rng.choice("aeiou ") + name[i:], name[:i] + name[i:i + 2][::-1] + name[i + 2:], name[:-1]])
+        return name
+
+    return entries, [typed() for _ in range(400)]
+
+
+def test_the_index_leaves_out_no_entry():
+    for seed in range(4):
+        entries, values = _made(seed)
+        own = canonical.Canonicaliser(entries)
+        for v in values:
+            folded = canonical.fold(v)
+            assert own.scored(folded) == _all_patterns(own, folded), v
+
+
+def test_a_long_list_in_blocks_is_as_one_in_a_piece(spark):
+    entries, values = _made(9)
+    entries = sorted(dict(entries).items())
+    values += [entries[0][0], "", "  ", None, "see " + entries[3][0] + " and " + entries[70][0]]
+    listed = spark.createDataFrame([(c, None) for c, _ in entries] + [(None, None)], "canonical string, synonyms array<string>")
+    got = dict(map(tuple, canonical.by_blocks(spark.createDataFrame([(v,) for v in values], "value string"), listed, ["synonyms"], block=40).collect()))
+    own = canonical.Canonicaliser(entries)
+    assert got == {v: own(v) if v.strip() else None for v in values if v is not None}
