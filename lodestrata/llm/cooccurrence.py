@@ -9,8 +9,8 @@ its counted pairs on, so the shuffle carries pre-aggregated counts; the three ki
 Where a least cosine is asked for (``n_ab >= c * sqrt(n_a * n_b)``), a pair whose frequencies differ by more than
 ``1 / c**2`` cannot reach it, whatever it shares; such pairs are not counted. That bound drops no result.
 
-Baskets longer than ``long_basket`` never reach a Python block. They count through each item's list of long baskets:
-pairs known from other baskets add the size of the lists' intersection, and pairs that meet in long baskets only are
+Baskets longer than ``long_basket`` never reach a Python block. They count through each item's lists of long baskets, one a block of them:
+pairs known from other baskets add up the sizes of the lists' intersections, and pairs that meet in long baskets only are
 found by a prefix filter (two lists that share c entries share one among the first ``len - c + 1`` of each, in one common
 order). That is exact too, and no pair is emitted for the basket as a whole.
 """
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
@@ -167,21 +167,30 @@ def pair_counts(rows: DataFrame, basket_col: str, key: Column, min_pair: int = 5
     return scored
 
 
+#: Long baskets of one block; bounds the lists that are intersected.
+LONG_BLOCK = 1024
+
+
 def _with_long(pairs: DataFrame, long: DataFrame, min_pair: int, min_cosine: float, n_long: int) -> DataFrame:
-    """Adds what the long baskets contribute to the counted pairs, and the pairs that only meet there."""
-    long = staged(long, "long")
-    lists = long.groupBy("item").agg(F.collect_list("basket").alias("baskets"))  # at most one entry a long basket
+    """Adds what the long baskets contribute to the counted pairs, and the pairs that only meet there.
+
+    Long baskets are numbered in blocks of LONG_BLOCK; an item has one short list a block, and pairs add up the intersections of their
+    lists block by block. An item is in at most as many long baskets as there are rows over ``long_basket``.
+    """
+    names = staged(long.select("basket").distinct().withColumn("at", F.monotonically_increasing_id()), "numbered")
+    # Numbers are consecutive within a partition, so a block holds LONG_BLOCK of them at most.
+    long = staged(long.join(names, "basket").withColumn("block", F.floor(F.col("at") / LONG_BLOCK)), "long")
+    lists = staged(long.groupBy("item", "block").agg(F.collect_list("at").alias("own")), "lists")
+    pairs = pairs.select("a", "b", "n_ab")
     if n_long >= min_pair:
         least = F.greatest(F.lit(min_pair), F.ceil(F.lit(min_cosine**2) * F.col("n")))
-        ranked = (long.groupBy("item", "n").agg(F.sort_array(F.collect_list(F.struct("length", "basket"))).alias("own"))
-                  .withColumn("own", F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - least + 1).cast("int")))
-                  .select("item", F.explode("own.basket").alias("basket")))
-        only = (ranked.select(F.col("item").alias("a"), "basket").join(ranked.select(F.col("item").alias("b"), "basket"),
-                                                                       "basket").where("a < b").select("a", "b").distinct())
-        pairs = pairs.select("a", "b", "n_ab").unionByName(only.withColumn("n_ab", F.lit(0).cast("bigint"))).groupBy(
-            "a", "b").agg(F.sum("n_ab").alias("n_ab"))
-    left = lists.select(F.col("item").alias("a"), F.col("baskets").alias("la"))
-    right = lists.select(F.col("item").alias("b"), F.col("baskets").alias("lb"))
-    shared = F.coalesce(F.size(F.array_intersect("la", "lb")), F.lit(0))
-    shared = F.when(F.col("la").isNull() | F.col("lb").isNull(), 0).otherwise(shared)
-    return pairs.join(left, "a", "left").join(right, "b", "left").select("a", "b", (F.col("n_ab") + shared).alias("n_ab"))
+        order, whole = Window.partitionBy("item").orderBy("length", "at"), Window.partitionBy("item")
+        ranked = long.withColumn("rank", F.row_number().over(order)).withColumn("all", F.count("*").over(whole)).where(
+            F.col("rank") <= F.col("all") - least + 1).select("item", "at")
+        only = (ranked.select(F.col("item").alias("a"), "at").join(ranked.select(F.col("item").alias("b"), "at"), "at").where("a < b").select("a", "b").distinct())
+        pairs = pairs.unionByName(only.withColumn("n_ab", F.lit(0).cast("bigint"))).groupBy("a", "b").agg(F.sum("n_ab").alias("n_ab"))
+    pairs = staged(pairs, "pairs")
+    left = lists.select(F.col("item").alias("a"), "block", F.col("own").alias("la"))
+    right = lists.select(F.col("item").alias("b"), "block", F.col("own").alias("lb"))
+    shared = pairs.join(left, "a").join(right, ["b", "block"]).select("a", "b", F.size(F.array_intersect("la", "lb")).cast("bigint").alias("n_ab"))
+    return pairs.unionByName(shared).groupBy("a", "b").agg(F.sum("n_ab").alias("n_ab"))

@@ -41,3 +41,10 @@ def test_keys_and_empty(spark):
     assert [r[0] for r in df.select(entity_key()).collect()] == ["P::zoë", None, None, None, None]
     empty = spark.createDataFrame([], "basket string, key string")
     assert pair_counts(empty, "basket", F.col("key")).count() == 0
+
+
+def test_long_baskets_in_small_blocks(spark, monkeypatch):
+    from lodestrata.llm import cooccurrence
+
+    monkeypatch.setattr(cooccurrence, "LONG_BLOCK", 3)
+    test_against_brute_force(spark, 4, 6, 7, .3)
