@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import staged, table
 from . import canonical, cooccurrence, encoding, mixing, neighbours, repair, spans, splitting, subjects, variants
 
 
@@ -38,8 +38,7 @@ def p2_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     for origin, (key, value) in _P2.items():
         rows = table(spark, sf_dir, origin).select(F.col(key).alias("record_id"), F.col(value).alias("value"))
         mapped = canonical.canonical_values(rows, "record_id", "value", lists[origin], keep=("value",))
-        known = [c for c, _ in lists[origin]]
-        parts.append(mapped.where(F.col("canonical").isNotNull() & ~F.col("value").isin(known))
+        parts.append(mapped.where(F.col("canonical") != F.col("value"))  # a value that is an entry maps to itself; a blank one to null
                      .select(F.lit(origin).alias("origin"), "record_id", "value", "canonical"))
     return parts[0].unionByName(parts[1])
 
@@ -134,8 +133,10 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans.matches(table(spark, sf_dir, "documents"))
-    return spans.passages(found).drop("runs")
+    """The fuzzy passages with how far their two extents agree."""
+    docs = table(spark, sf_dir, "documents")
+    found = staged(spans.passages(spans.matches(docs)), "passages")
+    return spans.aligned(found, docs).drop("runs")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

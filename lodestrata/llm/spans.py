@@ -13,8 +13,9 @@
 3. Chains. The matches of a record with one witness are chained in order of both texts, by a Fenwick tree over the
    witness positions that holds the best score so far, with linear gap costs. Every match ends in one chain.
 4. Alignment. Along a chain overlapping matches on one diagonal are laid together; a chain is a fuzzy passage with its
-   two extents and the characters in which they agree exactly. The exact stretches of a record are the union of the
-   matches in its chains.
+   two extents and the characters in runs. The text between consecutive runs of a chain is aligned globally (longest common
+   subsequence, bit-parallel), which gives the characters in which the two extents agree in order (:func:`aligned`). The exact stretches of
+   a record are the union of the matches in its chains.
 
 Hashes are 64 bits of a polynomial over code points, finally mixed; equality of runs is equality of such hashes.
 
@@ -203,17 +204,24 @@ def _scan(docs: DataFrame, min_len: int, k: int, known=None) -> DataFrame:
 
 
 def _windows(docs: DataFrame, wanted: DataFrame, min_len: int) -> DataFrame:
-    """The windows of the wanted seeds, hashed one by one: ``hash, doc, start, doc2, shift, own``."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("position", "low", "high", "doc2", "shift", "own")).alias("w"))
+    """The windows of the wanted seeds, hashed one by one: ``hash, doc, start, doc2, shift, own``.
+
+    Texts are cut to the stretches that hold wanted windows, section by section, before they meet their wishes, so neither a text nor the wishes
+    of a record come to a worker whole.
+    """
+    reach = wanted.withColumn("section", F.floor(F.col("position") / SECTION))
+    lists = reach.groupBy("doc", "section").agg(
+        F.min(F.col("position") - F.col("high")).alias("from"), F.max(F.col("position") - F.col("low")).alias("to"),
+        F.collect_list(F.struct("position", "low", "high", "doc2", "shift", "own")).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = []
-            for doc, text, wishes in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc, base, text, wishes in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 hashed = Hashed(code_points(text))
                 for wish in wishes:
                     start = np.arange(wish["position"] - wish["high"], wish["position"] - wish["low"] + 1)
-                    columns.append((hashed.stretch(start, start + min_len).view(np.int64), np.full(len(start), doc), start,
+                    columns.append((hashed.stretch(start - base, start - base + min_len).view(np.int64), np.full(len(start), doc), start,
                                     np.full(len(start), wish["doc2"]), np.full(len(start), wish["shift"]),
                                     np.full(len(start), wish["own"])))
             if columns:
@@ -221,7 +229,8 @@ def _windows(docs: DataFrame, wanted: DataFrame, min_len: int) -> DataFrame:
                                                  names=["hash", "doc", "start", "doc2", "shift", "own"])
 
     joined = docs.withColumnRenamed("doc_id", "doc").join(lists, "doc")
-    return joined.select("doc", "text", "w").mapInArrow(
+    stretch = F.substring(F.col("text"), (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from") + min_len).cast("int"))
+    return joined.select("doc", "from", stretch.alias("stretch"), "w").mapInArrow(
         run, "hash bigint, doc bigint, start bigint, doc2 bigint, shift bigint, own boolean")
 
 
@@ -338,7 +347,7 @@ def chain(runs: list[tuple[int, int, int]], gap_cost: float = 0.5) -> list[list[
 
 
 def passages(found: DataFrame, gap_cost: float = 0.5) -> DataFrame:
-    """The fuzzy passages: ``doc, start, end, other, other_start, other_end, exact, runs array<struct<start,end>>``.
+    """The fuzzy passages: ``doc, start, end, other, other_start, other_end, exact, runs array<struct<start,end,other_start,other_end>>``.
 
     ``found`` is from :func:`matches`. The rows of a record come to one task, sorted by witness; they number at most one
     in ``(min_len - k) / 2`` characters of it plus its edges.
@@ -350,10 +359,10 @@ def passages(found: DataFrame, gap_cost: float = 0.5) -> DataFrame:
                 exact += max(0, b - max(a, reach))
                 reach = max(reach, b)
             yield (doc, links[0][0], max(x[1] for x in links), other, links[0][2],
-                   max(x[2] + x[1] - x[0] for x in links), exact, [{"start": a, "end": b} for a, b, _ in links])
+                   max(x[2] + x[1] - x[0] for x in links), exact, [{"start": a, "end": b, "other_start": c, "other_end": c + b - a} for a, b, c in links])
 
     names = ["doc", "start", "end", "other", "other_start", "other_end", "exact", "runs"]
-    kinds = [pa.int64()] * 7 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    kinds = [pa.int64()] * 7 + [pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "end", "other_start", "other_end")]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -377,7 +386,56 @@ def passages(found: DataFrame, gap_cost: float = 0.5) -> DataFrame:
     columns = found.select("doc", "other", "start", "end", "other_start")
     return columns.repartition("doc").sortWithinPartitions("doc", "other").mapInArrow(
         run, "doc bigint, start bigint, end bigint, other bigint, other_start bigint, other_end bigint, exact bigint, "
-             "runs array<struct<start:bigint,end:bigint>>")
+             "runs array<struct<start:bigint,end:bigint,other_start:bigint,other_end:bigint>>")
+
+
+def agreeing(a: str, b: str) -> int:
+    """The length of the longest common subsequence of two texts, a machine word of columns at a time."""
+    if len(a) > len(b):
+        a, b = b, a
+    start = 0
+    while start < len(a) and a[start] == b[start]:
+        start += 1
+    a, b = a[start:], b[start:]
+    if not a:
+        return start
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return start + len(a) - row.bit_count()
+
+
+def aligned(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The passages with ``agree`` (characters in which the extents agree in order: the runs and what the gaps between them align to) and
+    ``identity`` (of the longer extent).
+
+    Only the texts of records whose chains have gaps are joined, and only the gaps go on from there. Runs that overlap in one of the texts
+    leave no gap in it. A chain's gaps are bounded by its score.
+    """
+    found = found.withColumn("__p", F.xxhash64("doc", "other", "start", "end", "other_start", "other_end"))
+    ends = F.arrays_zip(F.slice("runs", 1, F.size("runs") - 1).alias("x"), F.slice("runs", 2, F.size("runs") - 1).alias("y"))
+    gaps = staged(found.where(F.size("runs") > 1).select("__p", "doc", "other", F.posexplode(ends).alias("n", "g")).select(
+        "__p", "n", "doc", "other", F.col("g.x.end").alias("a"), F.col("g.y.start").alias("b"),
+        F.col("g.x.other_end").alias("c"), F.col("g.y.other_start").alias("d")).where("b > a AND d > c"), "gaps")
+    texts = docs.where(F.length(text_col) > 0).select(F.col(id_col).cast("bigint").alias("__doc"), F.col(text_col).alias("__text"))
+    cut = lambda a, b: F.substring(F.col("__text"), (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int"))
+    own = gaps.join(texts.dropDuplicates(["__doc"]), F.col("doc") == F.col("__doc")).select("__p", "n", "other", "c", "d", cut("a", "b").alias("own"))
+    both = own.join(texts.dropDuplicates(["__doc"]), F.col("other") == F.col("__doc")).select("__p", "own", cut("c", "d").alias("theirs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [agreeing(x, y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.int64())], names=["__p", "same"])
+
+    sums = both.mapInArrow(run, "__p bigint, same bigint").groupBy("__p").agg(F.sum("same").alias("same"))
+    longer = F.greatest(F.col("end") - F.col("start"), F.col("other_end") - F.col("other_start"))
+    agree = F.least(longer, F.col("exact") + F.coalesce("same", F.lit(0)))
+    return found.join(sums, "__p", "left").withColumn("agree", agree).withColumn("identity", agree / longer).drop("__p", "same")
 
 
 def shared_spans(found: DataFrame) -> DataFrame:

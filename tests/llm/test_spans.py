@@ -87,3 +87,40 @@ def test_sections_give_the_same_windows():
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert spans.shared_spans(spans.passages(spans.matches(empty))).count() == 0
+
+
+def test_common_subsequence():
+    from lodestrata.llm.spans import agreeing
+
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        assert agreeing(a, b) == row[-1]
+
+
+def _next(row, x, b):
+    new = [0]
+    for j, y in enumerate(b):
+        new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+    return new
+
+
+def test_gaps_between_runs_are_aligned(spark):
+    from lodestrata.llm.spans import agreeing, aligned, matches, passages
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    first, gap, last = (" ".join(word() for _ in range(n)) for n in (80, 20, 80))
+    edited = gap[:30] + "XYZ" + gap[35:60] + gap[64:]
+    rows = [(1, "own start " + first + gap + last), (2, first + edited + last + " own end"), (3, None), (4, "x" * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "2 AS doc")
+    got = {r.doc: r for r in aligned(passages(matches(docs)), docs).collect()}
+    assert set(got) == {1, 2} and len(got[1].runs) == 2
+    left, right = got[1].runs
+    mid, other = rows[0][1][left.end: right.start], rows[1][1][left.other_end: right.other_start]
+    assert got[1].agree == got[1].exact + agreeing(mid, other) > got[1].exact + 20
+    assert .97 < got[1].identity < 1 and got[2].agree == got[1].agree
+    assert aligned(passages(matches(docs.limit(0))), docs).count() == 0
