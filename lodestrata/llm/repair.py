@@ -17,7 +17,7 @@ each, and their readings meet the lexicon in a join. Nothing of the size of the
 
 Defined results: null and blank texts change nothing; repeated rows of a chunk give the same rows once; a missing page,
 title or document only takes away evidence; very long texts are read whole; an empty table gives no rows; extra
-columns are not read.
+columns are not read. A token of more than ``LONGEST_WORD`` characters is no word (an address, a code): it stays as it stands.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
+#: Longer tokens are no words.
+LONGEST_WORD = 60
 #: Stands for a hyphen at a line end, inside a word.
 BREAK = "\u0001"
 
@@ -150,7 +152,7 @@ def _might_be(line: str, pairs: frozenset[tuple[str, str]]) -> bool:
 def running_header(line: str, title: str | None, slug: list[str], known: frozenset[str] | set[str], page: int | None) -> bool:
     """Whether a line is a running header of its document, with or without a number."""
     text = line.strip()
-    if len(text) > 160 or len(text) < 4:
+    if len(text) < 4:
         return False
     if not known and not _might_be(text, _shape_of(title or " ".join(slug))[1]):
         return False
@@ -381,6 +383,15 @@ def _with_pages(chunks: DataFrame, docs: DataFrame) -> DataFrame:
         "listed", F.coalesce(F.array_contains("ocr", F.col("page")), F.lit(False))).drop("ocr")
 
 
+#: What one task reads for furniture, and the words one task edits.
+TASK_CHARS, TASK_WORDS = 16_000_000, 5_000
+
+
+def _tasks(df: DataFrame, size: int, each: int) -> int:
+    """Tasks for work that is slow for its size: as many as its size asks for, and some per core, as the engine would pack these few bytes into one."""
+    return max(3 * df.sparkSession.sparkContext.defaultParallelism, -(-size // each))
+
+
 def _recurring(rows: DataFrame) -> DataFrame:
     """``source_doc, known``: shapes of short lines that recur on other pages of documents without a title."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +418,8 @@ def _recurring(rows: DataFrame) -> DataFrame:
 def prepared(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """``chunk_id, clean, body, dropped`` of every chunk: the running text and the furniture lines taken out of it."""
     rows = staged(_with_pages(chunks, docs), "pages")
-    width = 3 * chunks.sparkSession.sparkContext.defaultParallelism
+    whole = rows.agg(F.sum(F.length("text").cast("bigint"))).head()[0] or 0
+    width = _tasks(rows, whole, TASK_CHARS)
     rows = rows.join(_recurring(rows), "source_doc", "left").repartition(width, "chunk_id").select(
         "chunk_id", "source_doc", F.col("page").cast("int").alias("page"), F.col("page_count").cast("int").alias("page_count"), "title", "text", "listed", "known")
 
@@ -446,7 +458,7 @@ def lexicon_of(bodies: DataFrame, names: DataFrame | None = None) -> DataFrame:
             merged: dict[str, list[int]] = {}
             for token, n in whole.items():
                 word = forms(token)
-                if word and any(c.isalpha() for c in word) and len(word) <= 60:
+                if word and any(c.isalpha() for c in word) and len(word) <= LONGEST_WORD:
                     held = merged.setdefault(word, [0, 0])
                     held[0] += clean.get(token, 0)
                     held[1] += n
@@ -548,8 +560,7 @@ def corrections(lexicon: DataFrame, train_words: int = 3000, trusted: int = 4, o
     joined = unknown.where(F.contains("word", F.lit(BREAK))).select("word", F.explode(F.array(
         F.replace("word", F.lit(BREAK), F.lit("")), F.replace("word", F.lit(BREAK), F.lit("-")))).alias("right")).join(known, "right")
     plain = staged(joined.groupBy("word").agg(F.max_by("right", F.struct("seen", "right")).alias("right")), "joined")
-    # One task per core and more, or the engine packs these few bytes into one.
-    width = 3 * lexicon.sparkSession.sparkContext.defaultParallelism
+    width = _tasks(lexicon, unknown.count(), TASK_WORDS)
     readings = unknown.join(plain, "word", "left_anti").repartition(width, "word").mapInArrow(
         run, "word string, own bigint, right string, gain double")
     fit = readings.join(known, "right").where(F.col("seen") >= F.when(
