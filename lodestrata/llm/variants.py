@@ -2,14 +2,15 @@
 
 1. Reading. Each name is taken apart by its type into a *core* (the rare word that makes the name) and *roles* (given name,
    field and kind of an organisation, number of an event and so on); order, titles, brackets, case and accents go here.
-2. Sparse join. The distinct cores become vectors of character n-grams weighted by inverse frequency. N is about half the
-   length, the largest for which a single edit leaves a common n-gram in any case; neighbouring lengths share an n. Their
-   cosine comes from a distributed sparse product: n-grams are joined and the products summed per pair. Pairs over the
-   floor are checked exactly by edit distance. There is no top-n: every link over the thresholds is kept.
+2. Sparse join. The distinct names of a type (core and roles, their words in alphabetical order, so that reordered parts are the same) become
+   vectors of character n-grams weighted by inverse frequency, of length one. All pairs with a cosine of ``floor`` or more come from a distributed
+   join: n-grams are ordered from rare to frequent, and two vectors so alike share one among the first of each, before the rest of a vector
+   gets shorter than ``floor``. So frequent n-grams make no pairs, and no pair is lost. There is no top-n: every link over the
+   threshold is kept. Short names, in which one edit spoils most n-grams, meet through an equi-join on cores shortened by as many letters as edits are allowed.
 3. Components of linked cores, by rounds of joins whose state is written to the shared folder.
 4. Average-linkage clustering of the distinct readings of a component. The similarity compares cores by edits and roles by
-   equality, abbreviation, initial, nickname or edits; readings that contradict each other (roles, numbers, or
-   domains of different entries) are never merged.
+   equality, abbreviation, initial, nickname or edits, for persons also with family and given name changed over; readings that contradict
+   each other (roles, numbers, or domains of different entries) are never merged. Each merge costs the readings of the component once.
 
 Rows of one spelling, type and domain entry are one reading, so that copies cost nothing until the result is written.
 
@@ -24,9 +25,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import components
 from ..session import staged
@@ -258,6 +261,16 @@ def similarity(a: tuple, b: tuple, kind: str) -> float | None:
     """Of two readings ``(core, roles, entry)``: at most one, or None if they contradict each other."""
     if a[2] and b[2] and a[2] != b[2]:
         return None
+    straight = _similarity(a, b, kind)
+    if kind == "PERSON" and not straight and all(x[0] and x[1][0] and " " not in x[0] for x in (a, b)) and len(a[1][0]) > 1 and len(b[1][0]) > 1:
+        # Family and given name may have changed places without a comma; then both must fit.
+        crossed = _similarity((b[1][0], (b[0],), b[2]), a, kind)
+        if crossed:
+            return max(0.0, crossed - 0.1)
+    return straight
+
+
+def _similarity(a: tuple, b: tuple, kind: str) -> float | None:
     cost = 0.0
     for i, (x, y) in enumerate(zip(a[1], b[1])):
         if kind == "EVENT" and i == 1:
@@ -291,37 +304,44 @@ def average_linkage(nodes: list[tuple], weights: list[int], kind: str, least: fl
             barred[i, j] = barred[j, i] = s is None
             total[i, j] = total[j, i] = (s or 0.0) * weights[i] * weights[j]
     weight = np.array(weights, float)
-    label, alive = list(range(n)), np.ones(n, bool)
+    label, alive = np.arange(n), np.ones(n, bool)
     np.fill_diagonal(barred, True)
+    mean = np.where(barred, -1.0, total / (weight[:, None] * weight))
+    best = mean.max(axis=1) if n else np.zeros(0)
     while alive.sum() > 1:
-        mean = np.where(barred | ~alive | ~alive[:, None], -1.0, total / (weight[:, None] * weight))
-        top = mean.max()
+        top = best.max()
         if top < least:
             break
-        ties = np.argwhere(mean >= top - 1e-9)
-        i, j = max(((a, b) for a, b in ties if a < b), key=lambda p: (weight[p[0]] + weight[p[1]], -p[0], -p[1]))
+        rows = np.flatnonzero(best >= top - 1e-9)
+        ties = [(a, b) for a in rows for b in np.flatnonzero(mean[a] >= top - 1e-9) if a < b]
+        i, j = max(ties, key=lambda p: (weight[p[0]] + weight[p[1]], -p[0], -p[1]))
         total[i] += total[j]
-        total[:, i] += total[:, j]
+        total[:, i] = total[i]
         barred[i] |= barred[j]
-        barred[:, i] |= barred[:, j]
+        barred[:, i] = barred[i]
         barred[i, i] = True
         weight[i] += weight[j]
         alive[j] = False
-        label = [i if x == j else x for x in label]
-    return label
+        label[label == j] = i
+        stale = np.flatnonzero(np.isclose(mean[:, i], best) | np.isclose(mean[:, j], best))
+        mean[j], mean[:, j] = -1.0, -1.0
+        mean[i] = np.where(barred[i] | ~alive, -1.0, total[i] / (weight[i] * weight))
+        mean[:, i] = mean[i]
+        best[j] = -1.0
+        best = np.maximum(best, mean[:, i])
+        for row in {i, *stale.tolist()}:
+            best[row] = mean[row].max()
+    return label.tolist()
 
 
-def gram_sizes(length: int) -> tuple[int, ...]:
-    """The n of a core's n-grams: even lengths take two, so that lengths that differ by one share an n."""
-    if length < 6:
-        return (3,)
-    return (length // 2, length // 2 + 1) if length % 2 == 0 else ((length + 1) // 2,)
+def spelled(core: str, roles: str) -> str:
+    """The words of a reading in alphabetical order."""
+    return " ".join(sorted({w for w in f"{core} {roles}".replace("\x01", " ").replace(".", " ").split()}))
 
 
-def grams(core: str) -> list[str]:
-    padded = f"^{core}$"
-    out = {f"{n}{padded[i:i + n]}" for n in gram_sizes(len(core)) for i in range(max(1, len(padded) - n + 1))}
-    return sorted(out)
+def grams(name: str, n: int = 3) -> list[str]:
+    """The character n-grams of a name's words, each word with its ends marked."""
+    return sorted({w[i:i + n] for w in (f"^{x}$" for x in name.split()) for i in range(max(1, len(w) - n + 1))})
 
 
 def readings(rows: DataFrame, entries: list, id_col: str = "entity_id") -> DataFrame:
@@ -385,37 +405,48 @@ def near_cores(cores: DataFrame) -> DataFrame:
     return pairs.mapInArrow(check, "a bigint, b bigint")
 
 
-def linked_cores(cores: DataFrame, floor: float = 0.1) -> DataFrame:
-    """``a, b`` of cores of one type whose n-gram vectors have a cosine over ``floor`` and whose edit distance is small.
+def alike_names(names: DataFrame, floor: float = 0.6) -> DataFrame:
+    """``a, b, cosine`` of all names of one type whose weighted n-gram vectors have a cosine of ``floor`` or more.
 
-    ``cores`` has ``core_id, type, core``. The sparse product is a join on n-grams with the sums pre-aggregated.
+    ``names`` has ``name_id, type, name``, each name of a type once.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, f"{t}\x01{g}", len(c)) for i, t, c in zip(*(x.to_pylist() for x in batch.columns)) for g in grams(c)]
+            out = [(i, f"{t}\x01{g}") for i, t, name in zip(*(x.to_pylist() for x in batch.columns)) for g in grams(name)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.string()])], names=["name_id", "gram"])
+
+    posted = staged(names.select("name_id", "type", "name").mapInArrow(run, "name_id bigint, gram string").withColumn("gram", F.xxhash64("gram")), "grams")
+    total = F.lit(float(max(1, names.count())))
+    weights = posted.groupBy("gram").agg(F.count("*").alias("df")).withColumn("w", F.log1p(total / F.col("df")))
+    # A vector is bounded by its name's length: its n-grams, rare ones first (the same order everywhere), with their weights.
+    held = posted.join(weights, "gram").groupBy("name_id").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "w"))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    vectors = staged(held.withColumn("norm", norm).select("name_id", F.transform("v", lambda x: x["gram"]).alias("gram"),
+                                                          F.transform("v", lambda x: x["w"] / F.col("norm")).alias("w")), "vectors")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, found, w in zip(*(x.to_pylist() for x in batch.columns)):
+                rest = np.sqrt(np.cumsum(np.square(w[::-1]))[::-1])  # what is left from each n-gram on
+                out += [(i, g) for g, r in zip(found, rest) if r >= floor - 1e-9]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.string(), pa.int32()])],
-                                                 names=["core_id", "gram", "length"])
-
-    posted = staged(cores.select("core_id", "type", "core").mapInArrow(run, "core_id bigint, gram string, length int"), "grams")
-    total = F.lit(float(max(1, cores.count())))
-    weights = posted.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").withColumn("w", F.log1p(total / F.col("df")))
-    alone = posted.groupBy("gram").agg(F.count("*").alias("df")).withColumn("w", F.log1p(total / F.col("df")))
-    norms = posted.join(alone, "gram").groupBy("core_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    shared = staged(posted.join(weights, "gram").join(norms, "core_id").select("core_id", "gram", "length", (F.col("w") / F.col("norm")).alias("w")), "weights")
-    x, y = shared.alias("x"), shared.alias("y")
-    product = (x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.core_id") < F.col("y.core_id"))
-                      & (F.abs(F.col("x.length") - F.col("y.length")) <= 2))
-               .groupBy(F.col("x.core_id").alias("a"), F.col("y.core_id").alias("b"))
-               .agg(F.sum(F.col("x.w") * F.col("y.w")).alias("cosine")).where(F.col("cosine") >= floor))
-    names = cores.select("core_id", "core")
-    pairs = product.join(names.select(F.col("core_id").alias("a"), F.col("core").alias("ca")), "a").join(
-        names.select(F.col("core_id").alias("b"), F.col("core").alias("cb")), "b")
-    shorter = F.least(F.length("ca"), F.length("cb"))
-    # A swap of neighbours is two plain edits.
-    most = F.when(shorter < 4, 0).when(shorter < 7, 2).otherwise(3)
-    # n-grams of half a core miss pairs with two edits far apart.
-    return pairs.where(F.levenshtein("ca", "cb") <= most).select("a", "b").unionByName(near_cores(cores)).distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["name_id", "gram"])
+
+    keyed = staged(vectors.mapInArrow(first, "name_id bigint, gram bigint"), "first")
+    x, y = keyed.alias("x"), keyed.alias("y")
+    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.name_id") < F.col("y.name_id"))).select(
+        F.col("x.name_id").alias("a"), F.col("y.name_id").alias("b")).distinct()
+    left = vectors.select(F.col("name_id").alias("a"), F.map_from_arrays("gram", "w").alias("va"))
+    right = vectors.select(F.col("name_id").alias("b"), F.col("gram").alias("gb"), F.col("w").alias("wb"))
+    dot = F.aggregate(F.arrays_zip("gb", "wb"), F.lit(0.0), lambda s, e: s + F.coalesce(F.col("va")[e["gb"]], F.lit(0.0)) * e["wb"])
+    return pairs.join(left, "a").join(right, "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= floor)
+
+
+@F.pandas_udf(T.StringType())
+def _spelled(core: pd.Series, roles: pd.Series) -> pd.Series:
+    return pd.Series([spelled(c, r) for c, r in zip(core, roles)])
 
 
 def clusters(rows: DataFrame, entries: list, id_col: str = "entity_id", least: float = 0.5) -> DataFrame:
@@ -423,8 +454,16 @@ def clusters(rows: DataFrame, entries: list, id_col: str = "entity_id", least: f
     read_rows = staged(readings(rows, entries, id_col).dropDuplicates(["id"]), "readings")
     nodes = staged(read_rows.groupBy("type", "core", "roles", "entry").agg(F.min("id").alias("node"), F.count("*").alias("rows")), "nodes")
     cores = staged(nodes.groupBy("type", "core").agg(F.min("node").alias("core_id")), "cores")
-    groups = components(linked_cores(cores))
-    placed = nodes.join(cores, ["type", "core"]).join(groups, F.col("core_id") == groups["node"], "left").select(
+    placed = nodes.join(cores, ["type", "core"])
+    names = staged(placed.withColumn("name", _spelled("core", "roles")).groupBy("type", "name").agg(
+        F.min("node").alias("name_id"), F.array_distinct(F.collect_list("core_id")).alias("cores")), "names")
+    # The cores of one name are linked, and the first cores of names that are alike.
+    first = names.select(F.col("name_id"), F.col("cores")[0].alias("core_id"))
+    one = names.select(F.col("cores")[0].alias("a"), F.explode("cores").alias("b")).where("a <> b")
+    alike = alike_names(names).join(first.select(F.col("name_id").alias("a"), F.col("core_id").alias("ca")), "a").join(
+        first.select(F.col("name_id").alias("b"), F.col("core_id").alias("cb")), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    groups = components(near_cores(cores).unionByName(one).unionByName(alike))
+    placed = placed.join(groups, F.col("core_id") == groups["node"], "left").select(
         F.coalesce("component", "core_id").alias("component"), "type", nodes["node"], "core", "roles", "entry", "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,6 @@
 import pytest
 
-from lodestrata.llm.variants import average_linkage, clusters, components, gram_sizes, grams, linked_cores, read, same_pairs, similarity
+from lodestrata.llm.variants import alike_names, average_linkage, clusters, components, grams, near_cores, read, same_pairs, similarity, spelled
 
 ENTRIES = [("Law", ["Droit"]), ("Sport", []), ("Wound Care", ["Dressing Practice"])]
 
@@ -31,14 +31,63 @@ def test_similarity(kind, a, b, same):
     assert similarity((*read(a, kind), "Law"), (*read(a, kind), "Sport"), kind) is None
 
 
-def test_every_edit_leaves_a_common_gram():
-    word = "abcdefghijklmnop"
-    for n in range(6, 14):
-        core = word[:n]
-        for i in range(n):
-            for other in (core[:i] + core[i + 1:], core[:i] + "z" + core[i + 1:], core[:i] + "z" + core[i:]):
-                assert set(grams(core)) & set(grams(other)), (core, other)
-    assert gram_sizes(3) == (3,)
+def test_alike_names_against_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(6)
+    part = lambda: "".join(rng.choice(["ka", "lo", "mi", "ren", "tus", "vo"]) for _ in range(rng.randint(1, 3)))
+    names = sorted({" ".join(part() for _ in range(rng.randint(1, 3))) for _ in range(200)})
+    df = spark.createDataFrame([(i, "A", n) for i, n in enumerate(names)] + [(1000 + i, "B", n) for i, n in enumerate(names[:20])],
+                               "name_id long, type string, name string")
+    held = {i: {("A", g) for g in grams(n)} for i, n in enumerate(names)} | {1000 + i: {("B", g) for g in grams(n)} for i, n in enumerate(names[:20])}
+    often = {}
+    for v in held.values():
+        for g in v:
+            often[g] = often.get(g, 0) + 1
+    weight = {g: math.log1p(len(held) / n) for g, n in often.items()}
+    unit = {i: math.sqrt(sum(weight[g] ** 2 for g in v)) for i, v in held.items()}
+    want = {(a, b) for a in held for b in held if a < b and sum(weight[g] ** 2 for g in held[a] & held[b]) / unit[a] / unit[b] >= .6}
+    assert {(r.a, r.b) for r in alike_names(df, .6).collect()} == want and len(want) > 20
+
+
+def test_words_in_any_order_are_one_spelling():
+    assert spelled("smith", "john") == spelled("john", "smith") and spelled("a", "b.\x01c") == "a b c"
+
+
+def test_linkage_against_the_plain_way():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(30):
+        nodes = [(rng.choice(["abcdefgh", "abcdefgx", "abcdxfgh", "zzzdefgh"]), (rng.choice(["", "v", "vera", "victoria", "vic"]),), rng.choice([None, None, "Law", "Sport"]))
+                 for _ in range(9)]
+        weights = [rng.randint(1, 4) for _ in nodes]
+        assert average_linkage(nodes, weights, "PERSON", .5) == _plain_linkage(nodes, weights, "PERSON", .5)
+
+
+def _plain_linkage(nodes, weights, kind, least):
+    groups = {i: [i] for i in range(len(nodes))}
+    alike = lambda i, j: similarity(nodes[max(i, j)], nodes[min(i, j)], kind)
+    while True:
+        found = []
+        for i in groups:
+            for j in groups:
+                if i < j:
+                    s = [(alike(a, b), weights[a] * weights[b]) for a in groups[i] for b in groups[j]]
+                    if all(x is not None for x, _ in s):
+                        mass = [sum(weights[a] for a in groups[k]) for k in (i, j)]
+                        found.append((sum(x * w for x, w in s) / mass[0] / mass[1], sum(mass), -i, -j))
+        top = max(found, default=(0,))[0]
+        if not found or top < least:
+            break
+        _, _, i, j = max((f for f in found if f[0] >= top - 1e-9), key=lambda f: f[1:])
+        groups[-i] += groups.pop(-j)
+    out = [0] * len(nodes)
+    for k, members in groups.items():
+        for m in members:
+            out[m] = k
+    return out
 
 
 def test_average_linkage_keeps_contradictions_apart():
@@ -66,12 +115,14 @@ def test_clusters(spark):
     pairs = sorted(map(tuple, same_pairs(clusters(df, ENTRIES)).collect()))
     assert pairs == [(1, 2), (1, 3), (2, 3), (11, 12)]
     assert same_pairs(clusters(df.limit(0), ENTRIES)).count() == 0
+    rows = [(1, "John Truplinokuk", "PERSON", "Law"), (2, "Truplinokuk John", "PERSON", None), (3, "Truplinokku John", "PERSON", None)]
+    assert same_pairs(clusters(spark.createDataFrame(rows, df.select("entity_id", "name", "type", "domain").schema), ENTRIES)).count() == 3
     cores = spark.createDataFrame([(1, "A", "truplinokuk"), (2, "A", "truplinokku"), (3, "B", "truplinokuk"), (4, "A", "gestuvriyak")],
                                   "core_id long, type string, core string")
-    assert [tuple(r) for r in linked_cores(cores).collect()] == [(1, 2)]
+    assert [tuple(r) for r in near_cores(cores).collect()] == [(1, 2)]
 
 
 def test_two_edits_far_apart_are_linked(spark):
     pairs = [("birzoinuwi", "brizoinuuwi"), ("wifeikarren", "wyfeikraren"), ("abcdefg", "bacdegf")]
     cores = spark.createDataFrame([(2 * i + k, "PERSON", c) for i, p in enumerate(pairs) for k, c in enumerate(p)], "core_id long, type string, core string")
-    assert {tuple(r) for r in linked_cores(cores).collect()} == {(0, 1), (2, 3), (4, 5)}
+    assert {tuple(r) for r in near_cores(cores).collect()} == {(0, 1), (2, 3), (4, 5)}
