@@ -339,7 +339,7 @@ def spelled(core: str, roles: str) -> str:
     return " ".join(sorted({w for w in f"{core} {roles}".replace("\x01", " ").replace(".", " ").split()}))
 
 
-def grams(name: str, n: int = 3) -> list[str]:
+def grams(name: str, n: int = 4) -> list[str]:
     """The character n-grams of a name's words, each word with its ends marked."""
     return sorted({w[i:i + n] for w in (f"^{x}$" for x in name.split()) for i in range(max(1, len(w) - n + 1))})
 
@@ -405,7 +405,7 @@ def near_cores(cores: DataFrame) -> DataFrame:
     return pairs.mapInArrow(check, "a bigint, b bigint")
 
 
-def alike_names(names: DataFrame, floor: float = 0.6) -> DataFrame:
+def alike_names(names: DataFrame, floor: float = 0.7) -> DataFrame:
     """``a, b, cosine`` of all names of one type whose weighted n-gram vectors have a cosine of ``floor`` or more.
 
     ``names`` has ``name_id, type, name``, each name of a type once.
