@@ -119,7 +119,7 @@ def sentences(chunks: DataFrame, vocabulary: list[str]) -> DataFrame:
 
 
 #: Terms that are looked at together in a task; bounds its memory.
-BLOCK = 50_000
+BLOCK = 20_000
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -137,14 +137,22 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 
 def infer(terms: np.ndarray, starts: np.ndarray, by_term: np.ndarray, alpha: float = 0.1, steps: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """``(expected terms of each topic in each sentence, topic shares of each term)``; ``by_term`` holds a term's probability in each topic."""
-    likely = by_term[terms]
-    sentence = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
-    share = likely / np.maximum(likely.sum(axis=1, keepdims=True), 1e-30)
-    for _ in range(steps):
-        theta = np.add.reduceat(share, starts, axis=0) + np.float32(alpha)
-        share = likely * theta[sentence]
-        share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-30)
-    return np.add.reduceat(share, starts, axis=0), share
+    lengths = np.diff(np.append(starts, len(terms)))
+    shares = np.empty((len(terms), by_term.shape[1]), np.float32)
+    expected = np.empty((len(starts), by_term.shape[1]), np.float32)
+    for n in np.unique(lengths):  # sentences of one length are one array
+        at = np.flatnonzero(lengths == n)
+        place = starts[at][:, None] + np.arange(n)
+        likely = by_term[terms[place]]
+        share = likely / np.maximum(likely.sum(axis=2, keepdims=True), 1e-30)
+        for _ in range(steps):
+            theta = share.sum(axis=1)
+            theta += np.float32(alpha)
+            np.multiply(likely, theta[:, None, :], out=share)
+            scale = np.einsum("ijk->ij", share)
+            share *= np.reciprocal(np.maximum(scale, 1e-30))[:, :, None]
+        expected[at], shares[place] = share.sum(axis=1), share
+    return expected, shares
 
 
 def begin_topics(counts: np.ndarray, topics: int, seed: int, spread: float = 0.5) -> np.ndarray:
