@@ -78,7 +78,7 @@ def p4_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "vec_points")
-    return neighbours.close_pairs(neighbours.nearest(points, 10, least=0.90, relax=4.0))
+    return neighbours.close_pairs(neighbours.nearest(points, 10, least=0.90, relax=6.0))
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def test_recall_and_copies_at_the_settings_of_the_queries(spark, shards):
     x = like_embeddings()
     df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<float>, type string")
     asked = F.col("vec_id") % 5 == 0
-    for least, relax in ((.9, 4.0), (None, 8.0)):
+    for least, relax in ((.9, 6.0), (None, 8.0)):
         want = {p for p in brute(x, 10, -2 if least is None else least)[0] if p[0] % 5 == 0}
         got = {(r.id, r.other) for r in nearest(df, 10, least=least, relax=relax, shard_rows=len(x) // shards, queries=asked).collect()}
         recall = len(got & want) / len(want)
