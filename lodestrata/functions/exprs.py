@@ -24,6 +24,12 @@ HONORIFICS = ("dr.", "dr ", "prof.", "prof ", "mr.", "mr ", "ms.", "ms ", "mrs."
 # Confidence of an extraction by document tier.
 TIER_CONFIDENCE = {1: 0.95, 2: 0.85, 3: 0.70}
 
+# Words that tell the kind of a provider's error.
+DAILY_WORDS = ("tokens per day", "requests per day", "tpd", "rpd")
+DAILY_LIMITS = ("rate_limit", "quota")
+RATE_WORDS = ("429", "rate limit", "rate_limit", "resource_exhausted")
+NETWORK_WORDS = ("connection", "timeout", "network")
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -246,10 +252,9 @@ def json_strings(raw: Column | str) -> Column:
 def classify_error(message: Column | str) -> Column:
     """``daily_quota``, ``rate_limit``, ``network`` or ``unknown``."""
     m = F.lower(col(message))
-    any_of = lambda *words: F.greatest(*[m.contains(w).cast("int") for w in words], F.lit(0)) == 1
-    daily = any_of("tokens per day", "requests per day", "tpd", "rpd") | (m.contains("per day") & any_of("rate_limit", "quota"))
-    return (F.when(daily, "daily_quota").when(any_of("429", "rate limit", "rate_limit", "resource_exhausted"), "rate_limit")
-            .when(any_of("connection", "timeout", "network"), "network").otherwise("unknown"))
+    any_of = lambda words: F.greatest(*[m.contains(w).cast("int") for w in words], F.lit(0)) == 1
+    daily = any_of(DAILY_WORDS) | (m.contains("per day") & any_of(DAILY_LIMITS))
+    return F.when(daily, "daily_quota").when(any_of(RATE_WORDS), "rate_limit").when(any_of(NETWORK_WORDS), "network").otherwise("unknown")
 
 
 def backoff(kind: Column | str, attempt: Column | str, base: float = 2.0) -> Column:

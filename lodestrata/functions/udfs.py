@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import json
 import unicodedata
 from difflib import SequenceMatcher
@@ -60,3 +61,16 @@ def batch_results(raw: pd.Series, n: pd.Series) -> pd.Series:
         return [json.dumps(x, sort_keys=True) for x in items[: int(want)]]
 
     return pd.Series([shape(t, w) for t, w in zip(raw, n)])
+
+
+@F.pandas_udf(T.StringType())
+def safe_description(stored: pd.Series) -> pd.Series:
+    """The description in properties stored as a literal mapping; empty where there is none or the text cannot be read."""
+    def one(text: str | None) -> str:
+        try:
+            held = ast.literal_eval(text) if text else None
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            return ""
+        return str(held.get("description") or "") if isinstance(held, dict) else ""
+
+    return stored.map(one)

@@ -181,3 +181,13 @@ def degrees(rels: DataFrame) -> DataFrame:
     """How many relationship ends each name has."""
     return rels.select(F.explode(F.array("from_name", "to_name")).alias("name")).where("name IS NOT NULL").groupBy("name").agg(
         F.count("*").alias("degree"))
+
+
+def all_entities(entities: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Six columns of the first ``limit`` entities by name."""
+    return entities.orderBy(F.asc_nulls_last("name"), "type", "entity_id").limit(limit).select("name", "type", "domain", "confidence", "source_doc", "last_updated")
+
+
+def without_loops(edges: DataFrame) -> DataFrame:
+    """Edges between different nodes."""
+    return edges.where("src <> dst")

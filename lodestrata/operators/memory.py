@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import entity_key
+from ..session import staged
+
 
 def _history(rows: DataFrame, key: list[str], order: list[str], *fields: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("h"))
@@ -68,10 +71,11 @@ def entity_fold(mentions: DataFrame) -> DataFrame:
 
 
 def last_descriptions(mentions: DataFrame, n: int = 5) -> DataFrame:
-    """The last ``n`` distinct descriptions of each key, oldest first."""
+    """The last ``n`` distinct descriptions of each key, oldest first; no more of a key's history than those is gathered."""
     last = mentions.where("description IS NOT NULL").groupBy("key", "description").agg(F.min("seq").alias("seq"))
-    return last.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "description"))).alias("d")).select(
-        "key", F.slice("d.description", F.greatest(F.lit(1), F.size("d") - n + 1), n).alias("descriptions"))
+    w = Window.partitionBy("key").orderBy(F.desc("seq"))
+    kept = last.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n)
+    return kept.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "description"))).alias("d")).select("key", F.col("d.description").alias("descriptions"))
 
 
 def reliability_seed(quality: Column) -> Column:
@@ -122,8 +126,13 @@ def review(friction: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFr
     return after.drop("decision", "canonical"), synonyms
 
 
-def friction_summary(friction: DataFrame) -> DataFrame:
-    return friction.groupBy("status").agg(F.count("*").alias("patterns"), F.sum("count").alias("events"))
+def friction_summary(friction: DataFrame, top: int = 5) -> DataFrame:
+    """``status, patterns, events, top``: counts by status, and the most frequent patterns (``key:count``) that await review."""
+    first = friction.where("status = 'pending_review'").orderBy(F.desc("count"), "key").limit(top).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "key"))).alias("f")).select(
+        F.transform("f", lambda x: F.concat(x["key"], F.lit(":"), (-x["n"]).cast("string"))).alias("top"))
+    sums = friction.groupBy("status").agg(F.count("*").alias("patterns"), F.sum("count").alias("events"))
+    return sums.join(F.broadcast(first), F.col("status") == "pending_review", "left")  # one row
 
 
 def evidence_merge(rows: DataFrame, most: int = 50) -> DataFrame:
@@ -141,13 +150,32 @@ def reinforced(rows: DataFrame, bump: float = 0.05) -> DataFrame:
         "target", "records", F.least(F.lit(1.0), F.col("first") + bump * (F.col("records") - 1)).alias("confidence"))
 
 
-def pair_counts(mentions: DataFrame) -> DataFrame:
-    """``key_a, key_b, count, docs`` of entities listed in one chunk, from ``chunk_id, key, source_doc``; for reports over few entities a chunk."""
-    once = mentions.where("key IS NOT NULL").groupBy("chunk_id", "key").agg(F.min("source_doc").alias("source_doc"))
-    a, b = once.alias("a"), once.alias("b")
-    pairs = a.join(b, (F.col("a.chunk_id") == F.col("b.chunk_id")) & (F.col("a.key") < F.col("b.key")))
-    return pairs.groupBy(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).agg(
-        F.count("*").alias("count"), F.count_distinct("a.source_doc").alias("docs"))
+def pair_counts(mentions: DataFrame, least: int = 1, crowd: int = 200) -> DataFrame:
+    """``key_a, key_b, count, docs`` of entities listed in one chunk, from ``chunk_id, key, source_doc``.
+
+    Keys in fewer than ``least`` chunks can be in no pair that counts and go first. In chunks of at most ``crowd`` keys a chunk's pairs are made from its
+    sorted list, which that bounds, inside one stage, and are combined before the shuffle. Longer chunks are counted by joining their rows, so no list of
+    theirs is ever gathered.
+    """
+    once = mentions.where("key IS NOT NULL AND chunk_id IS NOT NULL").groupBy("chunk_id", "key").agg(F.min("source_doc").alias("source_doc"))
+    if least > 1:
+        once = staged(once, "mentions")
+        often = once.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key")
+        once = once.join(often, "key", "left_semi")
+    once = staged(once, "listed")
+    sizes = once.groupBy("chunk_id").agg(F.count("*").alias("n"))
+    long = staged(sizes.where(F.col("n") > crowd).select("chunk_id"), "crowds")
+    lists = once.join(long, "chunk_id", "left_anti").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("key", "source_doc"))).alias("k")).where(F.size("k") > 1)
+    first = lists.select("chunk_id", "k", F.posexplode("k").alias("i", "a"))
+    pairs = first.select("a", F.explode(F.slice("k", F.col("i") + 2, F.size("k"))).alias("b")).select(
+        F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), F.col("a.source_doc").alias("source_doc"))
+    crowded = once.join(long, "chunk_id", "left_semi")
+    a, b = crowded.alias("a"), crowded.alias("b")
+    pairs = pairs.unionByName(a.join(b, (F.col("a.chunk_id") == F.col("b.chunk_id")) & (F.col("a.key") < F.col("b.key"))).select(
+        F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), F.col("a.source_doc").alias("source_doc")))
+    by_doc = pairs.groupBy("key_a", "key_b", "source_doc").agg(F.count("*").alias("n"))
+    out = by_doc.groupBy("key_a", "key_b").agg(F.sum("n").alias("count"), F.count("source_doc").alias("docs"))
+    return out.where(F.col("count") >= least) if least > 1 else out
 
 
 def unlinked_pairs(pairs: DataFrame, edges: DataFrame, least: int = 4) -> DataFrame:
@@ -155,3 +183,26 @@ def unlinked_pairs(pairs: DataFrame, edges: DataFrame, least: int = 4) -> DataFr
     linked = edges.select(F.least("src", "dst").alias("name_a"), F.greatest("src", "dst").alias("name_b")).distinct()
     often = pairs.where(F.col("count") >= least).select(F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"), "count")
     return often.join(linked, ["name_a", "name_b"], "left_anti").orderBy(F.desc("count"), "name_a", "name_b")
+
+
+def alias_audit(aliases: DataFrame, below: float = 0.95) -> DataFrame:
+    """Aliases under a confidence, the least sure first; one row an alias."""
+    return aliases.where(F.col("confidence") < below).groupBy("alias_key").agg(F.min_by("canonical", "confidence").alias("canonical"), F.min("confidence").alias("confidence")).orderBy(
+        "confidence", "alias_key")
+
+
+def hydrate(entities: DataFrame) -> DataFrame:
+    """Entity memories from stored nodes: ``key, confidence, occurrences, description``; a missing or zero confidence is 0.7."""
+    held = entities.where("name IS NOT NULL AND type IS NOT NULL").withColumn("key", entity_key("type", "name"))
+    return held.groupBy("key").agg(F.max(F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(0.7))).alias("confidence"), F.count("*").alias("occurrences"),
+                                   F.max(F.coalesce("description", F.lit(""))).alias("description"))
+
+
+def reliability_of(asked: DataFrame, known: DataFrame, default: float = 0.7) -> DataFrame:
+    """``source_doc, reliability`` of every document asked for; unknown ones have the default."""
+    return asked.select("source_doc").distinct().join(known, "source_doc", "left").select("source_doc", F.coalesce("reliability", F.lit(default)).alias("reliability"))
+
+
+def top_unlinked(unlinked: DataFrame, n: int = 20) -> DataFrame:
+    """The pairs seen together most often without an edge."""
+    return unlinked.orderBy(F.desc("count"), "name_a", "name_b").limit(n)

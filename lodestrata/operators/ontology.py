@@ -10,34 +10,81 @@ from ..functions.udfs import domain_name, fuzzy_ratio
 
 # Relation types by category.
 CATEGORIES = {
-    "STRUCTURAL": "IS_A SUBSET_OF PART_OF BELONGS_TO CONTAINS",
-    "AUTHORSHIP": "CREATED_BY DEVELOPED_BY AUTHORED_BY EMPLOYED_BY WORKED_AT CONTRIBUTED_TO COLLABORATED_WITH MENTORED",
-    "FUNCTIONAL": "USES USED_FOR USED_IN USED_BY USED_WITH APPLIES_TO APPLICABLE_TO ENABLES MEASURES EVALUATES REQUIRES CREATES GENERATES ADDRESSES",
-    "REFERENTIAL": "REFERENCES PRECEDES FOLLOWS AFFECTS INFLUENCES TARGETS COMPATIBLE_WITH",
-    "SEMANTIC": "SUPPORTS CONTRADICTS RELATED_TO SIMILAR_TO SAME_AS DIFFERENT_FROM",
+    "STRUCTURAL": ["IS_A", "SUBSET_OF", "PART_OF", "BELONGS_TO", "CONTAINS"],
+    "AUTHORSHIP": ["CREATED_BY", "DEVELOPED_BY", "AUTHORED_BY", "EMPLOYED_BY", "WORKED_AT", "CONTRIBUTED_TO", "COLLABORATED_WITH", "MENTORED"],
+    "FUNCTIONAL": ["USES", "USED_FOR", "USED_IN", "USED_BY", "USED_WITH", "APPLIES_TO", "APPLICABLE_TO", "ENABLES", "MEASURES", "EVALUATES",
+                   "REQUIRES", "CREATES", "GENERATES", "ADDRESSES"],
+    "REFERENTIAL": ["REFERENCES", "PRECEDES", "FOLLOWS", "AFFECTS", "INFLUENCES", "TARGETS", "COMPATIBLE_WITH"],
+    "SEMANTIC": ["SUPPORTS", "CONTRADICTS", "RELATED_TO", "SIMILAR_TO", "SAME_AS", "DIFFERENT_FROM"],
 }
 # Spellings of relations and the type each stands for.
-SYNONYMS = """SUBFIELD_OF SUBSET_OF, IS_RELATED_TO RELATED_TO, ARE_RELATED_TO RELATED_TO, PROVIDES_ACCESS_TO ENABLES, USED_TO_CONVERT USED_FOR,
-USED_TO_EVALUATE USED_FOR, SHOWS_CHANGE REFERENCES, SHOWS REFERENCES, SUMMARIZES REFERENCES, ADDRESS ADDRESSES, DOES_NOT_SUPPORT CONTRADICTS,
-DEVELOPED DEVELOPED_BY, SELECTED USED_FOR, PROVIDES_INFORMATION REFERENCES, FORCES REQUIRES, RELATES_TO RELATED_TO, WRAPPED USES,
-BEHAVES_AS SIMILAR_TO, IMPLEMENTED_IN USED_IN, DIFFERS_FROM DIFFERENT_FROM, INTEGRATES USES, INTEGRATES_WITH USES, EXPORTS_TO USED_FOR, RUNS USES,
-ENHANCES AFFECTS, COMMISSIONED CREATED_BY, IS_ABOUT RELATED_TO, IS_SIMILAR_TO SIMILAR_TO, AUTHORED AUTHORED_BY, SOLVED_BY USED_FOR,
-ENHANCED_BY AFFECTS, OBJECTIVE TARGETS, HAS_PHASE PART_OF, COMPARISON SIMILAR_TO, TOPIC RELATED_TO, OPERATES_IN USED_IN, IS_PART_OF PART_OF,
-IS_USED_BY USED_BY, IS_CHARACTERISTIC_OF BELONGS_TO, MEASURED_BY MEASURES, HAS CONTAINS, MARKS RELATED_TO, HANDLED USES, DEALS_WITH RELATED_TO,
-COMBINED_WITH RELATED_TO, REPRESENTS RELATED_TO, INPUT_FOR USED_IN, OUTPUT_OF GENERATES, INVOLVES CONTAINS, WORKED_WITH COLLABORATED_WITH,
-PURSUING TARGETS, ASSOCIATED_WITH RELATED_TO, OCCURRED_IN RELATED_TO, DEDICATED_TO RELATED_TO, PRAYED_TO RELATED_TO"""
-
-SYNONYM_PAIRS = tuple(tuple(p.split()) for p in SYNONYMS.split(","))
+SYNONYMS = {
+    "SUBFIELD_OF": "SUBSET_OF",
+    "IS_RELATED_TO": "RELATED_TO",
+    "ARE_RELATED_TO": "RELATED_TO",
+    "PROVIDES_ACCESS_TO": "ENABLES",
+    "USED_TO_CONVERT": "USED_FOR",
+    "USED_TO_EVALUATE": "USED_FOR",
+    "SHOWS_CHANGE": "REFERENCES",
+    "SHOWS": "REFERENCES",
+    "SUMMARIZES": "REFERENCES",
+    "ADDRESS": "ADDRESSES",
+    "DOES_NOT_SUPPORT": "CONTRADICTS",
+    "DEVELOPED": "DEVELOPED_BY",
+    "SELECTED": "USED_FOR",
+    "PROVIDES_INFORMATION": "REFERENCES",
+    "FORCES": "REQUIRES",
+    "RELATES_TO": "RELATED_TO",
+    "WRAPPED": "USES",
+    "BEHAVES_AS": "SIMILAR_TO",
+    "IMPLEMENTED_IN": "USED_IN",
+    "DIFFERS_FROM": "DIFFERENT_FROM",
+    "INTEGRATES": "USES",
+    "INTEGRATES_WITH": "USES",
+    "EXPORTS_TO": "USED_FOR",
+    "RUNS": "USES",
+    "ENHANCES": "AFFECTS",
+    "COMMISSIONED": "CREATED_BY",
+    "IS_ABOUT": "RELATED_TO",
+    "IS_SIMILAR_TO": "SIMILAR_TO",
+    "AUTHORED": "AUTHORED_BY",
+    "SOLVED_BY": "USED_FOR",
+    "ENHANCED_BY": "AFFECTS",
+    "OBJECTIVE": "TARGETS",
+    "HAS_PHASE": "PART_OF",
+    "COMPARISON": "SIMILAR_TO",
+    "TOPIC": "RELATED_TO",
+    "OPERATES_IN": "USED_IN",
+    "IS_PART_OF": "PART_OF",
+    "IS_USED_BY": "USED_BY",
+    "IS_CHARACTERISTIC_OF": "BELONGS_TO",
+    "MEASURED_BY": "MEASURES",
+    "HAS": "CONTAINS",
+    "MARKS": "RELATED_TO",
+    "HANDLED": "USES",
+    "DEALS_WITH": "RELATED_TO",
+    "COMBINED_WITH": "RELATED_TO",
+    "REPRESENTS": "RELATED_TO",
+    "INPUT_FOR": "USED_IN",
+    "OUTPUT_OF": "GENERATES",
+    "INVOLVES": "CONTAINS",
+    "WORKED_WITH": "COLLABORATED_WITH",
+    "PURSUING": "TARGETS",
+    "ASSOCIATED_WITH": "RELATED_TO",
+    "OCCURRED_IN": "RELATED_TO",
+    "DEDICATED_TO": "RELATED_TO",
+    "PRAYED_TO": "RELATED_TO",
+}
 
 
 def relation_types(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
     """``canonical, category`` of all types, approved extensions included."""
-    own = spark.createDataFrame([(t, c) for c, ts in CATEGORIES.items() for t in ts.split()], "canonical string, category string")
+    own = spark.createDataFrame([(t, c) for c, ts in CATEGORIES.items() for t in ts], "canonical string, category string")
     return own if extra is None else own.unionByName(extra.select("canonical", "category")).distinct()
 
 
 def synonyms(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
-    own = spark.createDataFrame(list(SYNONYM_PAIRS), "raw string, canonical string")
+    own = spark.createDataFrame(list(SYNONYMS.items()), "raw string, canonical string")
     return own if extra is None else own.unionByName(extra.select("raw", "canonical"))
 
 
@@ -132,3 +179,10 @@ def similar_domain(raw: DataFrame, domains: DataFrame, least: float = 0.85) -> D
 def learn_relation(learned: DataFrame, batch: DataFrame) -> DataFrame:
     """Learned spellings with a batch's; the first learned stays."""
     return learned.unionByName(batch.join(learned.select("raw"), "raw", "left_anti"))
+
+
+def taxonomy_lists(domains: DataFrame, n: int = 10) -> DataFrame:
+    """``list, name, times_seen``: top-level domains, niche ones and the ``n`` most popular."""
+    columns = lambda name: [F.lit(name).alias("list"), "name", "times_seen"]
+    return domains.where("parent IS NULL").select(*columns("top_level")).unionByName(niche(domains).select(*columns("niche"))).unionByName(
+        popular(domains, n).select(*columns("popular")))

@@ -37,7 +37,7 @@ def strip_honorific(c):
     return F.trim(F.regexp_replace(F.lower(F.trim(F.col(c))), pattern, ""))
 
 
-def substring_match(new: DataFrame, entities: DataFrame) -> DataFrame:
+def substring_match(new: DataFrame, entities: DataFrame, exclude_self: bool = False) -> DataFrame:
     """The first entity of the same type whose name holds the new name or is held in it, by confidence.
 
     Contained names share a word: names are joined on words and the containment is then checked, so that no pair without a common word is met.
@@ -49,6 +49,8 @@ def substring_match(new: DataFrame, entities: DataFrame) -> DataFrame:
     left = a.withColumn("w", F.explode(words("n")))
     right = b.withColumn("w", F.explode(words("m")))
     hits = left.join(right, ["type", "w"]).where(F.col("m").contains(F.col("n")) | F.col("n").contains(F.col("m")))
+    if exclude_self:
+        hits = hits.where("new_id <> entity_id")
     hits = hits.select("new_id", "new_name", "type", "entity_id", "match", "confidence").distinct()
     w = Window.partitionBy("new_id").orderBy(F.desc_nulls_last("confidence"), "match", "entity_id")
     return hits.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")

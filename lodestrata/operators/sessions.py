@@ -36,3 +36,10 @@ def rolling_calls(calls: DataFrame, seconds: int = 60) -> DataFrame:
 def quota(calls: DataFrame, per_minute: int, share: float = 0.85) -> DataFrame:
     """Calls beyond the share of the provider's limit that is used."""
     return rolling_calls(calls).where(F.col("in_window") > int(per_minute * share))
+
+
+def quota_stats(calls: DataFrame, per_minute: int, share: float = 0.85, seconds: int = 60) -> DataFrame:
+    """``provider, calls, over, over_percent``: how many calls went over the share of the limit that is used."""
+    over = F.count(F.when(F.col("in_window") > int(per_minute * share), 1))
+    return rolling_calls(calls, seconds).groupBy("provider").agg(F.count("*").alias("calls"), over.alias("over")).withColumn(
+        "over_percent", 100.0 * F.col("over") / F.col("calls"))

@@ -118,3 +118,13 @@ def source_exists(points: DataFrame, sources: DataFrame) -> DataFrame:
 def reinsert(points: DataFrame, batch: DataFrame) -> DataFrame:
     """Points after a document's are taken out and put in again: running it twice changes nothing."""
     return delete_by_source(points, batch).unionByName(batch)
+
+
+def collection_stats(points: DataFrame) -> DataFrame:
+    """Points by type."""
+    return points.groupBy("type").agg(F.count("*").alias("points"))
+
+
+def peek(points: DataFrame, n: int = 3, id_col: str = "vec_id") -> DataFrame:
+    """The first payloads, without their vectors."""
+    return points.drop("embedding").orderBy(id_col).limit(n)

@@ -22,7 +22,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
@@ -243,13 +243,13 @@ def b1(s, d):
     FROM entities WHERE entity_id % 20 = 0 AND name IS NOT NULL),
 w AS (SELECT new_id, type, n, unnest(list_distinct(list_filter(regexp_split_to_array(n, '[^\p{L}\p{N}]+'), lambda x: length(x) > 2))) AS w FROM n),
 e AS (SELECT entity_id, name, type, lower(name) AS m, confidence, unnest(list_distinct(list_filter(regexp_split_to_array(lower(name), '[^\p{L}\p{N}]+'), lambda x: length(x) > 2))) AS w
-    FROM entities WHERE name IS NOT NULL AND entity_id % 20 <> 0),
-h AS (SELECT DISTINCT w.new_id, e.entity_id, e.name, e.confidence FROM w JOIN e ON w.type = e.type AND w.w = e.w WHERE contains(m, n) OR contains(n, m))
+    FROM entities WHERE name IS NOT NULL),
+h AS (SELECT DISTINCT w.new_id, e.entity_id, e.name, e.confidence FROM w JOIN e ON w.type = e.type AND w.w = e.w WHERE w.new_id <> e.entity_id AND (contains(m, n) OR contains(n, m)))
 SELECT new_id, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY confidence DESC NULLS LAST, name, entity_id) AS rn FROM h) WHERE rn = 1""")
 def b3(s, d):
     e = table(s, d, "entities")
     new = e.where("entity_id % 20 = 0 AND name IS NOT NULL").withColumnRenamed("entity_id", "new_id")
-    return resolve.substring_match(new, e.where("entity_id % 20 <> 0")).select("new_id", "entity_id")
+    return resolve.substring_match(new, e, exclude_self=True).select("new_id", "entity_id")
 
 
 @query("b4_stale_entities", "SELECT entity_id, round(confidence, 6) AS confidence FROM entities WHERE confidence < 0.35")
@@ -286,7 +286,13 @@ def b12(s, d):
 
 @query("b18_f1_self_reference", f"WITH {_REL_EDGES} SELECT src, dst FROM g WHERE src <> dst")
 def b18(s, d):
-    return _rel_edges(s, d).where("src <> dst").select("src", "dst")
+    return graph.without_loops(_rel_edges(s, d)).select("src", "dst")
+
+
+@query("h38_description", """SELECT entity_id, coalesce(description, '') AS description FROM entities""")
+def h38(s, d):
+    stored = F.concat(F.lit("{'name': 'x', 'description': "), F.when(F.col("description").isNull(), "None").otherwise(F.concat(F.lit("'"), F.regexp_replace("description", r"([\\\\'])", r"\\\\$1"), F.lit("'"))), F.lit("}"))
+    return table(s, d, "entities").select("entity_id", udfs.safe_description(stored).alias("description"))
 
 
 @query("b23_niche", "SELECT domain AS name, count(*) AS times_seen FROM entities WHERE domain IS NOT NULL GROUP BY 1 HAVING count(*) < 3")
@@ -297,7 +303,8 @@ def b23(s, d):
 
 @query("b21_alias_audit", "SELECT name, round(min(confidence), 6) AS confidence FROM entities WHERE confidence < 0.5 AND name IS NOT NULL GROUP BY 1")
 def b21(s, d):
-    return table(s, d, "entities").where("confidence < 0.5 AND name IS NOT NULL").groupBy("name").agg(r6(F.min("confidence")).alias("confidence")).orderBy("confidence")
+    aliases = table(s, d, "entities").where("name IS NOT NULL").select(F.col("name").alias("alias_key"), F.col("name").alias("canonical"), "confidence")
+    return memory.alias_audit(aliases, 0.5).select(F.col("alias_key").alias("name"), r6("confidence").alias("confidence"))
 
 
 # ------------------------------------------------------------------ vectors
@@ -372,7 +379,17 @@ def j19(s, d):
 
 @query("a21_collection_stats", "SELECT type, count(*) AS points FROM vec_points GROUP BY 1")
 def a21(s, d):
-    return table(s, d, "vec_points").groupBy("type").agg(F.count("*").alias("points"))
+    return vector.collection_stats(table(s, d, "vec_points"))
+
+
+@query("a22_peek", "SELECT vec_id, type, source_doc FROM vec_points ORDER BY vec_id LIMIT 3")
+def a22(s, d):
+    return vector.peek(table(s, d, "vec_points")).select("vec_id", "type", "source_doc")
+
+
+@query("a14_all_entities", "SELECT name, type, domain, confidence, source_doc, last_updated FROM entities ORDER BY name NULLS LAST, type, entity_id LIMIT 10000")
+def a14(s, d):
+    return graph.all_entities(table(s, d, "entities"))
 
 
 # ------------------------------------------------------------------ scalar functions
@@ -385,36 +402,34 @@ def h1(s, d):
     return table(s, d, "part").select(F.col("p_name").alias("name"), exprs.normalize_name("p_name").alias("key")).distinct()
 
 
-def _texts(s) -> DataFrame:
-    return s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TEXT_PAIRS)], "n int, a string, b string")
+def _texts(s, d) -> DataFrame:
+    """The two ends of every relationship as pairs of names."""
+    return table(s, d, "relationships").where("from_name IS NOT NULL AND to_name IS NOT NULL").select(F.col("from_name").alias("a"), F.col("to_name").alias("b")).distinct()
 
 
-TEXT_PAIRS = [("GPT 4", "GPT 3"), ("version 2", "version 2.0"), ("model 1", "model 01"), ("stable", "unstable"), ("linear", "nonlinear"), ("regular", "irregular"),
-              ("Paris", "London"), ("phase 1 of 3", "phase 3 of 1"), ("mature", "immature"), ("color", "colour"), ("normal", "denormal"), ("use", "misuse"),
-              ("in", "inin"), ("legal", "illegal"), ("2020", "twenty"), ("Deep Learning", "deep learning"), ("abcd", "abdc"), ("kitten", "sitting")]
-_PAIRS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(TEXT_PAIRS)) + ") AS v(n, a, b)"
+_PAIRS_SQL = "SELECT DISTINCT from_name AS a, to_name AS b FROM relationships WHERE from_name IS NOT NULL AND to_name IS NOT NULL"
 _NUMS = r"list_sort(list_distinct(regexp_extract_all({0}, '(\d+(?:\.\d+)?)', 1)))"
 _STRIP = "CASE " + " ".join(f"WHEN starts_with({{0}}, '{p}') AND length({{0}}) > {len(p) + 2} THEN substr({{0}}, {len(p) + 1})" for p in exprs.NEGATION_PREFIXES) + " END"
 _LET = "regexp_replace(lower({0}), '[^a-z]', '', 'g')"
 
 
-@query("h6_numeric_conflict", f"""WITH v AS ({_PAIRS_SQL}) SELECT CAST(n AS BIGINT) AS n, len({_NUMS.format('a')}) > 0 AND len({_NUMS.format('b')}) > 0
+@query("h6_numeric_conflict", f"""WITH v AS ({_PAIRS_SQL}) SELECT a, b, len({_NUMS.format('a')}) > 0 AND len({_NUMS.format('b')}) > 0
     AND {_NUMS.format('a')} <> {_NUMS.format('b')} AS conflict FROM v""")
 def h6(s, d):
-    return _texts(s).select(n64("n"), exprs.numeric_conflict("a", "b").alias("conflict"))
+    return _texts(s, d).select("a", "b", exprs.numeric_conflict("a", "b").alias("conflict"))
 
 
-@query("h8_negation_pair", f"""WITH v AS ({_PAIRS_SQL}), l AS (SELECT n, {_LET.format('a')} AS a, {_LET.format('b')} AS b FROM v)
-    SELECT CAST(n AS BIGINT) AS n, coalesce({_STRIP.format('a')} = b, false) OR coalesce({_STRIP.format('b')} = a, false) AS negation FROM l""")
+@query("h8_negation_pair", f"""WITH v AS ({_PAIRS_SQL}), l AS (SELECT a AS ra, b AS rb, {_LET.format('a')} AS a, {_LET.format('b')} AS b FROM v)
+    SELECT ra AS a, rb AS b, coalesce({_STRIP.format('l.a')} = l.b, false) OR coalesce({_STRIP.format('l.b')} = l.a, false) AS negation FROM l""")
 def h8(s, d):
-    return _texts(s).select(n64("n"), exprs.negation_pair("a", "b").alias("negation"))
+    return _texts(s, d).select("a", "b", exprs.negation_pair("a", "b").alias("negation"))
 
 
-@query("h10_disqualified", f"""WITH v AS ({_PAIRS_SQL}), l AS (SELECT n, a AS ra, b AS rb, {_LET.format('a')} AS a, {_LET.format('b')} AS b FROM v)
-    SELECT CAST(n AS BIGINT) AS n, CASE WHEN coalesce({_STRIP.format('a')} = b, false) OR coalesce({_STRIP.format('b')} = a, false) THEN 'negation'
+@query("h10_disqualified", f"""WITH v AS ({_PAIRS_SQL}), l AS (SELECT a AS ra, b AS rb, {_LET.format('a')} AS a, {_LET.format('b')} AS b FROM v)
+    SELECT ra AS a, rb AS b, CASE WHEN coalesce({_STRIP.format('l.a')} = l.b, false) OR coalesce({_STRIP.format('l.b')} = l.a, false) THEN 'negation'
     WHEN len({_NUMS.format('ra')}) > 0 AND len({_NUMS.format('rb')}) > 0 AND {_NUMS.format('ra')} <> {_NUMS.format('rb')} THEN 'numbers' END AS reason FROM l""")
 def h10(s, d):
-    return _texts(s).select(n64("n"), exprs.disqualified("a", "b").alias("reason"))
+    return _texts(s, d).select("a", "b", exprs.disqualified("a", "b").alias("reason"))
 
 
 @query("h5_typo_candidates", f"""WITH p AS ({_PN}) SELECT a.name AS a, b.name AS b FROM p a JOIN p b ON a.name < b.name
@@ -428,11 +443,7 @@ def h5(s, d):
 
 @query("h2_fuzzy_ratio")
 def h2(s, d):
-    p = table(s, d, "part").select(F.lower("p_name").alias("name")).distinct()
-    a, b = p.alias("a"), p.alias("b")
-    pairs = a.join(b, (F.substring("a.name", 1, 3) == F.substring("b.name", 1, 3)) & (F.col("a.name") < F.col("b.name")))
-    return pairs.select(F.col("a.name").alias("a"), F.col("b.name").alias("b")).select(
-        "a", "b", r6(udfs.fuzzy_ratio("a", "b")).alias("ratio"), udfs.safe_fuzzy_match("a", "b").alias("safe"))
+    return _texts(s, d).select("a", "b", r6(udfs.fuzzy_ratio("a", "b")).alias("ratio"), udfs.safe_fuzzy_match("a", "b").alias("safe"))
 
 
 @query("h11_combine_confidence", """SELECT entity_id, round(greatest(0E0, least(1E0, coalesce(confidence, 0))) * 0.9E0 * 0.8E0, 6) AS confidence FROM entities""")
@@ -464,25 +475,36 @@ def h30(s, d):
     return table(s, d, "documents").where("text IS NOT NULL").groupBy(F.md5("text").alias("md5")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
 
 
-ACRONYMS = [("Machine Learning (ML)", "ML"), ("ML", "Machine Learning"), ("Bureau of Labor Statistics", "BLS"), ("B.L.S.", "Bureau of Labor Statistics"), ("Deep Nets", "DNN"),
-            ("Gradient (GD)", "Gradient"), ("(X)", "X"), ("support-vector machine", "SVM"), ("ml", "Machine Learning"), ("Résumé (R-1)", "r-1")]
-_ACR_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(ACRONYMS)) + ") AS v(n, a, b)"
 _PB = r"CASE WHEN trim(regexp_extract(trim({0}), '^(.*?)\s*\(([A-Za-z0-9][A-Za-z0-9.\-]{{0,7}})\)\s*$', 1)) <> '' THEN trim(regexp_extract(trim({0}), '^(.*?)\s*\(([A-Za-z0-9][A-Za-z0-9.\-]{{0,7}})\)\s*$', 1)) ELSE trim({0}) END"
 _PA = r"CASE WHEN trim(regexp_extract(trim({0}), '^(.*?)\s*\(([A-Za-z0-9][A-Za-z0-9.\-]{{0,7}})\)\s*$', 1)) <> '' THEN regexp_extract(trim({0}), '^(.*?)\s*\(([A-Za-z0-9][A-Za-z0-9.\-]{{0,7}})\)\s*$', 2) END"
 _INI = r"""array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(trim({0}), '[\s\-]+'), lambda w: regexp_replace(w, '[^A-Za-z]', '', 'g')),
     lambda w: w <> '' AND lower(w) NOT IN ('of','the','and','for','in','on','a','an','to','with')), lambda w: upper(substr(w, 1, 1))), '')"""
 
 
-@query("h16_h17_parenthetical", f"WITH v AS ({_ACR_SQL}) SELECT CAST(n AS BIGINT) AS n, {_PB.format('a')} AS base, {_PA.format('a')} AS abbreviation, {_INI.format('a')} AS initials FROM v")
+_TOKEN = r"""coalesce(length(replace(trim({0}), '.', '')) BETWEEN 2 AND 6 AND regexp_full_match(replace(trim({0}), '.', ''), '\\p{{L}}+')
+    AND replace(trim({0}), '.', '') = upper(replace(trim({0}), '.', '')) AND replace(trim({0}), '.', '') <> lower(replace(trim({0}), '.', '')), false)"""
+
+
+def _acronym_sql(a: str, b: str) -> str:
+    """Whether two names abbreviate each other; the parts are computed once a name, see ``_PARTS``."""
+    return f"""(coalesce({a}.par = lower(trim({b}.name)), false) OR coalesce({b}.par = lower(trim({a}.name)), false) OR coalesce({a}.par = {b}.base, false)
+        OR coalesce({b}.par = {a}.base, false) OR {a}.base = {b}.base OR ({a}.token AND {b}.ini = {a}.plain) OR ({b}.token AND {a}.ini = {b}.plain))"""
+
+
+@query("h16_h17_parenthetical", f"WITH v AS (SELECT entity_id, name AS a FROM entities WHERE name IS NOT NULL) SELECT entity_id, {_PB.format('a')} AS base, {_PA.format('a')} AS abbreviation, {_INI.format('a')} AS initials FROM v")
 def h16(s, d):
-    rows = s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ACRONYMS)], "n int, a string, b string")
-    return rows.select(n64("n"), exprs.paren_base("a").alias("base"), exprs.paren_abbreviation("a").alias("abbreviation"), exprs.initials("a").alias("initials"))
+    rows = table(s, d, "entities").where("name IS NOT NULL")
+    return rows.select("entity_id", exprs.paren_base("name").alias("base"), exprs.paren_abbreviation("name").alias("abbreviation"), exprs.initials("name").alias("initials"))
+
+
+_PARTS = (f"SELECT name, lower({_PB.format('name')}) AS base, lower({_PA.format('name')}) AS par, {_TOKEN.format('name')} AS token, {_INI.format(_PB.format('name'))} AS ini, "
+          "upper(replace(name, '.', '')) AS plain")
 
 
-@query("h19_acronym_match")
+@query("h19_acronym_match", f"""WITH v AS ({_PAIRS_SQL}), p AS ({_PARTS} FROM (SELECT a AS name FROM v UNION SELECT b FROM v))
+    SELECT v.a, v.b, x.token, {_acronym_sql('x', 'y')} AS matched FROM v JOIN p x ON x.name = v.a JOIN p y ON y.name = v.b""")
 def h19(s, d):
-    rows = s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ACRONYMS)], "n int, a string, b string")
-    return rows.select(n64("n"), exprs.acronym_token("a").alias("token"), exprs.acronym_match("a", "b").alias("matched"))
+    return _texts(s, d).select("a", "b", exprs.acronym_token("a").alias("token"), exprs.acronym_match("a", "b").alias("matched"))
 
 
 @query("h22_h25_folded_names")
@@ -491,10 +513,10 @@ def h22(s, d):
     return rows.select("entity_id", udfs.embedding_key("name").alias("key"), udfs.domain_name("domain").alias("domain"))
 
 
-@query("h28_h29_labels_and_keys", r"""SELECT entity_id, type || '::' || lower(trim(name)) AS key FROM entities WHERE type IS NOT NULL AND name IS NOT NULL""")
+@query("h28_h29_labels_and_keys", r"""SELECT entity_id, type || '::' || lower(trim(name)) AS key, upper(substr(type, 1, 1)) || lower(substr(type, 2)) AS label FROM entities WHERE type IS NOT NULL AND name IS NOT NULL""")
 def h29(s, d):
     rows = table(s, d, "entities").where("type IS NOT NULL AND name IS NOT NULL")
-    return rows.select("entity_id", exprs.entity_key("type", "name").alias("key"))
+    return rows.select("entity_id", exprs.entity_key("type", "name").alias("key"), exprs.safe_label("type").alias("label"))
 
 
 @query("h45_alias_curve", """SELECT entity_id, round(greatest(confidence, least(0.97E0, 0.97E0 - (0.97E0 - confidence) * exp(-0.08E0 * greatest(0, entity_id % 20 - 1)))), 6) AS confidence
@@ -504,10 +526,19 @@ def h45(s, d):
     return rows.select("entity_id", r6(exprs.alias_curve("confidence", F.col("entity_id") % 20)).alias("confidence"))
 
 
-@query("h43_h44_errors")
+ERRORS = ["HTTP 429", "Rate limit: tokens per day", "Connection reset", "boom", "quota of 5 per day", "RPD exceeded", "read timeout", "rate_limit per day", "RESOURCE_EXHAUSTED", ""]
+_ERR = "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(ERRORS)) + " END"
+_ANY = lambda ws: "(" + " OR ".join(f"contains(e, '{w}')" for w in ws) + ")"
+
+
+@query("h43_h44_errors", f"""WITH m AS (SELECT event_id, lower({_ERR}) AS e FROM events), k AS (SELECT event_id, CASE
+    WHEN {_ANY(exprs.DAILY_WORDS)} OR (contains(e, 'per day') AND {_ANY(exprs.DAILY_LIMITS)}) THEN 'daily_quota' WHEN {_ANY(exprs.RATE_WORDS)} THEN 'rate_limit'
+    WHEN {_ANY(exprs.NETWORK_WORDS)} THEN 'network' ELSE 'unknown' END AS kind FROM m)
+    SELECT event_id, kind, CASE kind WHEN 'rate_limit' THEN 2E0 * pow(2E0, event_id % 4) WHEN 'network' THEN 2E0 * (event_id % 4 + 1) ELSE 2E0 END AS wait FROM k""")
 def h43(s, d):
-    rows = s.createDataFrame([(0, "HTTP 429"), (1, "Rate limit: tokens per day"), (2, "Connection reset"), (3, "boom"), (4, "quota of 5 per day")], "n int, e string")
-    return rows.withColumn("kind", exprs.classify_error("e")).select(n64("n"), "kind", exprs.backoff("kind", "n").alias("wait"))
+    message = F.element_at(F.array(*[F.lit(t) for t in ERRORS]), (F.col("event_id") % 10 + 1).cast("int"))
+    rows = table(s, d, "events").select("event_id", exprs.classify_error(message).alias("kind"))
+    return rows.select("event_id", "kind", exprs.backoff("kind", F.col("event_id") % 4).cast("double").alias("wait"))
 
 
 @query("h48_backend", """SELECT s.source_doc, CAST(n * 1300 AS BIGINT) AS tokens, CASE WHEN s.tier = 3 OR n > 250 THEN 'large' ELSE 'small' END AS backend
@@ -552,14 +583,9 @@ def t18(s, d):
     return k.groupBy(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).agg(F.sum("n").alias("count"))
 
 
-@query("c14_unlinked_pairs", """WITH m AS (SELECT DISTINCT chunk_id, trim(name) AS name FROM mentions WHERE trim(name) <> ''),
-p AS (SELECT a.name AS name_a, b.name AS name_b, count(*) AS count FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.name < b.name GROUP BY 1, 2 HAVING count(*) >= 4)
-SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM relationships r WHERE least(r.from_name, r.to_name) = name_a AND greatest(r.from_name, r.to_name) = name_b)""")
+@query("c14_unlinked_pairs", lambda: f"WITH {_UNLINKED} SELECT * FROM u")
 def c14(s, d):
-    m = table(s, d, "mentions").select("chunk_id", F.trim("name").alias("key"), "source_doc").where("key <> ''")
-    pairs = memory.pair_counts(m).select(F.col("key_a").alias("name_a"), F.col("key_b").alias("name_b"), "count")
-    linked = table(s, d, "relationships").where("from_name IS NOT NULL AND to_name IS NOT NULL").select(F.col("from_name").alias("src"), F.col("to_name").alias("dst"))
-    return memory.unlinked_pairs(pairs, linked)
+    return _unlinked(s, d)
 
 
 def _ent_aliases(s, d) -> DataFrame:
@@ -567,18 +593,61 @@ def _ent_aliases(s, d) -> DataFrame:
     return e.groupBy(F.lower(F.trim("name")).alias("alias_key")).agg(F.max("confidence").alias("confidence"), F.count("*").alias("times_seen"), F.min("name").alias("canonical"))
 
 
-@query("n28_learning_report", """WITH a AS (SELECT lower(trim(name)) AS k, max(confidence) AS c, count(*) AS n FROM entities WHERE name IS NOT NULL GROUP BY 1),
+@query("n28_learning_report", lambda: f"""WITH {_UNLINKED}, a AS (SELECT lower(trim(name)) AS k, max(confidence) AS c, count(*) AS n FROM entities WHERE name IS NOT NULL GROUP BY 1),
 l AS (SELECT c, CASE WHEN n > 1 THEN greatest(c, least(0.97E0, 0.97E0 - (0.97E0 - c) * exp(-0.08E0 * greatest(0, n - 1)))) ELSE c END AS g FROM a)
-SELECT (SELECT count(*) FROM l WHERE g > c) AS aliases_reinforced, (SELECT count(DISTINCT coalesce(type, 'UNKNOWN')) FROM entities) AS types, (SELECT count(*) FROM entities) AS entities""")
+SELECT (SELECT count(*) FROM l WHERE g > c) AS aliases_reinforced, (SELECT count(*) FROM u) AS unlinked_pairs, (SELECT count(DISTINCT coalesce(type, 'UNKNOWN')) FROM entities) AS types,
+    (SELECT count(*) FROM entities) AS entities""")
 def n28(s, d):
     e = table(s, d, "entities")
-    none = s.createDataFrame([], "name_a string")
-    return curate.learning_report(_ent_aliases(s, d), none, graph.type_stats(e)).select("aliases_reinforced", "types", "entities")
+    return curate.learning_report(_ent_aliases(s, d), _unlinked(s, d), graph.type_stats(e)).select("aliases_reinforced", "unlinked_pairs", "types", "entities")
+
+
+_UNLINKED = """m AS (SELECT DISTINCT chunk_id, trim(name) AS name FROM mentions WHERE trim(name) <> ''),
+p AS (SELECT a.name AS name_a, b.name AS name_b, count(*) AS count FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.name < b.name GROUP BY 1, 2 HAVING count(*) >= 4),
+u AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM relationships r WHERE least(r.from_name, r.to_name) = name_a AND greatest(r.from_name, r.to_name) = name_b))"""
 
 
-@query("l8_h49_digest")
+def _unlinked(s, d) -> DataFrame:
+    m = table(s, d, "mentions").select("chunk_id", F.trim("name").alias("key"), "source_doc").where("key <> ''")
+    pairs = memory.pair_counts(m, 4).select(F.col("key_a").alias("name_a"), F.col("key_b").alias("name_b"), "count")
+    linked = table(s, d, "relationships").where("from_name IS NOT NULL AND to_name IS NOT NULL").select(F.col("from_name").alias("src"), F.col("to_name").alias("dst"))
+    return memory.unlinked_pairs(pairs, linked)
+
+
+@query("f6_top_unlinked", f"WITH {_UNLINKED} SELECT * FROM u ORDER BY count DESC, name_a, name_b LIMIT 20")
+def f6(s, d):
+    return memory.top_unlinked(_unlinked(s, d))
+
+
+_AT = "2025-09-02 00:00:00"
+
+
+@query("l8_curate", f"""WITH {_REL_EDGES}, {_UNLINKED}, c AS (SELECT count(*) AS n FROM g JOIN entities a ON a.name = g.src JOIN entities b ON b.name = g.dst WHERE g.rel_type = 'DISPUTES'),
+    d AS (SELECT entity_id, last_updated < TIMESTAMP '{_AT}' - INTERVAL 24 HOURS AND confidence > 0.3 AS hit, CASE WHEN last_updated < TIMESTAMP '{_AT}' - INTERVAL 24 HOURS AND confidence > 0.3
+        THEN confidence * 0.95E0 ELSE confidence END AS confidence FROM entities),
+    k AS (SELECT max(confidence) AS c, count(*) AS n FROM entities WHERE name IS NOT NULL GROUP BY lower(trim(name)))
+    SELECT (SELECT count(*) FROM d) AS entities, (SELECT count(*) FROM g) AS relationships, (SELECT count(*) FROM d WHERE hit) AS decayed, (SELECT count(*) FROM d WHERE confidence < 0.3) AS stale,
+    (SELECT n FROM c) AS conflicts, (SELECT count(*) FROM u) AS unlinked_pairs,
+    (SELECT count(*) FROM k WHERE n > 1 AND least(0.97E0, 0.97E0 - (0.97E0 - c) * exp(-0.08E0 * greatest(0, n - 1))) > c) AS aliases_reinforced""")
 def l8(s, d):
-    return curate.digest_lines(table(s, d, "entities"), _rel_edges(s, d), "2026-01-01")
+    return curate.run(table(s, d, "entities"), _rel_edges(s, d), _ent_aliases(s, d), _unlinked(s, d), _AT, "DISPUTES").summary
+
+
+@query("l8_h49_digest", f"""WITH {_REL_EDGES}, {_UNLINKED}, d AS (SELECT * REPLACE (CASE WHEN last_updated < TIMESTAMP '{_AT}' - INTERVAL 24 HOURS AND confidence > 0.3 THEN confidence * 0.95E0 ELSE confidence END AS confidence) FROM entities),
+    c AS (SELECT a.type, g.src, a.source_doc AS d1, b.source_doc AS d2 FROM g JOIN entities a ON a.name = g.src JOIN entities b ON b.name = g.dst WHERE g.rel_type = 'DISPUTES'),
+    s AS (SELECT * FROM d WHERE confidence < 0.3)
+    SELECT 'statistics' AS part, 'Total Entities: ' || (SELECT count(*) FROM d) AS line UNION ALL SELECT 'statistics', 'Total Relationships: ' || (SELECT count(*) FROM g)
+    UNION ALL SELECT 'statistics', 'Average Confidence: ' || printf('%.2f', avg(confidence)) FROM d
+    UNION ALL SELECT 'sources', '- ' || source_doc || ' (' || count(*) || ' entities)' FROM d WHERE source_doc IS NOT NULL GROUP BY source_doc
+    UNION ALL SELECT 'conflicts', '- [' || coalesce(type, 'UNKNOWN') || '] ' || src || ': ' || coalesce(d1, 'unknown') || ' vs ' || coalesce(d2, 'unknown') FROM c
+    UNION ALL SELECT 'conflicts', 'None' WHERE NOT EXISTS (SELECT 1 FROM c)
+    UNION ALL SELECT 'stale', '- ' || coalesce(name, '') || ' (' || coalesce(type, 'UNKNOWN') || ') confidence:' || printf('%.2f', confidence) FROM s UNION ALL SELECT 'stale', 'None' WHERE NOT EXISTS (SELECT 1 FROM s)
+    UNION ALL SELECT 'top', line FROM (SELECT '- [' || type || '] ' || name || ' (confidence:' || printf('%.2f', confidence) || ', source:' || source_doc || ')' AS line FROM d WHERE confidence IS NOT NULL ORDER BY confidence DESC, name, entity_id LIMIT 10)
+    UNION ALL SELECT 'unlinked', line FROM (SELECT '- ' || name_a || ' <-> ' || name_b || ' (seen together ' || count || 'x)' AS line FROM u ORDER BY count DESC, name_a, name_b LIMIT 5)
+    UNION ALL SELECT 'unlinked', 'None' WHERE NOT EXISTS (SELECT 1 FROM u)
+    UNION ALL SELECT 'types', '- ' || coalesce(type, 'UNKNOWN') || ': ' || count(*) || ' entities, avg confidence ' || printf('%.4f', avg(coalesce(confidence, 0))) FROM d GROUP BY coalesce(type, 'UNKNOWN')""")
+def l8d(s, d):
+    return curate.run(table(s, d, "entities"), _rel_edges(s, d), _ent_aliases(s, d), _unlinked(s, d), _AT, "DISPUTES").digest.select("part", "line")
 
 
 # ------------------------------------------------------------------ memories
@@ -634,7 +703,11 @@ def j11(s, d):
     return memory.alias_remove(_ent_aliases(s, d), bad).select("alias_key")
 
 
-@query("n14_entity_fold")
+@query("n14_entity_fold", """WITH RECURSIVE e AS (SELECT type || '::' || lower(trim(name)) AS k, trim(name) AS name, coalesce(extraction_confidence, 0.7E0) AS c,
+    row_number() OVER (PARTITION BY type, lower(trim(name)) ORDER BY extracted_at NULLS FIRST, mention_id) AS n FROM mentions WHERE name IS NOT NULL AND type IS NOT NULL AND trim(name) <> ''),
+f AS (SELECT k, c AS conf, [name] AS names, n FROM e WHERE n = 1
+    UNION ALL SELECT f.k, CAST(round(CAST(0.7E0 * f.conf + 0.3E0 * e.c AS DECIMAL(30, 16)), 4) AS DOUBLE), CASE WHEN list_contains(f.names, e.name) THEN f.names ELSE list_append(f.names, e.name) END, e.n FROM f JOIN e ON f.k = e.k AND e.n = f.n + 1)
+SELECT k AS key, n AS occurrences, round(conf, 6) AS confidence, array_to_string(names, ' | ') AS aliases FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC) AS r FROM f) WHERE r = 1""")
 def n14(s, d):
     m = table(s, d, "mentions").withColumn("key", exprs.entity_key("type", "name")).where("name IS NOT NULL AND type IS NOT NULL AND trim(name) <> ''")
     rows = m.select("key", F.trim("name").alias("name"), F.col("extraction_confidence").alias("confidence"), F.lit(None).cast("string").alias("domain"), F.struct("extracted_at", "mention_id").alias("seq"))
@@ -653,16 +726,27 @@ e AS (SELECT source_doc AS k, entity_id % 3 <> 0 AS won, row_number() OVER (PART
 f AS (SELECT k, s AS r, CAST(0 AS BIGINT) AS wins, CAST(0 AS BIGINT) AS losses, CAST(0 AS BIGINT) AS n FROM seeds
     UNION ALL SELECT f.k, round(CASE WHEN e.won THEN least(0.99E0, f.r + 0.03E0) ELSE greatest(0.2E0, f.r - 0.03E0) END, 4), f.wins + CASE WHEN e.won THEN 1 ELSE 0 END,
     f.losses + CASE WHEN e.won THEN 0 ELSE 1 END, e.n FROM f JOIN e ON f.k = e.k AND e.n = f.n + 1)
-SELECT k AS source_doc, wins, losses FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC) AS x FROM f) WHERE x = 1""")
+SELECT k AS source_doc, round(r, 6) AS reliability, wins, losses FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC) AS x FROM f) WHERE x = 1""")
 def n18(s, d):
     seeds = table(s, d, "source_docs").groupBy("source_doc").agg(memory.reliability_seed(F.max("quality_score")).alias("seed"))
     events = table(s, d, "entities").select("source_doc", (F.col("entity_id") % 3 != 0).alias("won"), F.col("entity_id").alias("seq"))
-    return memory.reliability_fold(events, seeds).select("source_doc", "wins", "losses")
+    return memory.reliability_fold(events, seeds).select("source_doc", r6("reliability").alias("reliability"), "wins", "losses")
 
 
-@query("n16_friction_fold")
+_FALLBACK = r"""WITH RECURSIVE t AS ({0}), y AS ({1}), r AS (SELECT DISTINCT rel_id, relation, {2} AS k FROM relationships WHERE trim(relation) <> ''),
+b AS (SELECT lower(k) AS k, relation AS raw, row_number() OVER (PARTITION BY lower(k) ORDER BY rel_id) AS n FROM r WHERE coalesce(k, '') <> '' AND k NOT IN (SELECT canonical FROM t) AND k NOT IN (SELECT raw FROM y)),
+f AS (SELECT k, [raw] AS ex, n FROM b WHERE n = 1 UNION ALL SELECT f.k, CASE WHEN len(f.ex) < 5 AND NOT list_contains(f.ex, b.raw) THEN list_append(f.ex, b.raw) ELSE f.ex END, b.n FROM f JOIN b ON f.k = b.k AND b.n = f.n + 1),
+z AS (SELECT k, ex, n, CASE WHEN n >= 4 THEN 'pending_review' ELSE 'collecting' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC) AS x FROM f) WHERE x = 1)
+"""
+
+
+def _fallback() -> str:
+    return _FALLBACK.format(_TYPES_SQL, _SYN_SQL, _OKEY)
+
+
+@query("n16_friction_fold", lambda: _fallback() + """SELECT k AS key, n AS count, 0.3E0 AS avg_confidence, 'RELATED_TO' AS landing, array_to_string(ex, ' | ') AS examples, status FROM z""")
 def n16(s, d):
-    return _friction(s, d).select("key", "count", "avg_confidence", "landing", F.array_join("raw_examples", " | ").alias("examples"), "status")
+    return _friction(s, d).select("key", "count", r6("avg_confidence").alias("avg_confidence"), "landing", F.array_join("raw_examples", " | ").alias("examples"), "status")
 
 
 def _friction(s, d) -> DataFrame:
@@ -671,12 +755,13 @@ def _friction(s, d) -> DataFrame:
                                             F.col("canonical").alias("landing"), F.col("rel_id").alias("seq")))
 
 
-@query("n17_friction_summary")
+@query("n17_friction_summary", lambda: _fallback() + """SELECT status, count(*) AS patterns, CAST(sum(n) AS BIGINT) AS events, CASE WHEN status = 'pending_review' THEN
+    (SELECT string_agg(k || ':' || n, ', ' ORDER BY n DESC, k) FROM (SELECT * FROM z WHERE status = 'pending_review' ORDER BY n DESC, k LIMIT 5)) END AS top FROM z GROUP BY 1""")
 def n17(s, d):
-    return memory.friction_summary(_friction(s, d))
+    return memory.friction_summary(_friction(s, d)).select("status", "patterns", "events", F.array_join("top", ", ").alias("top"))
 
 
-@query("j13_review")
+@query("j13_review", lambda: _fallback() + """SELECT DISTINCT unnest(ex) AS raw, upper(k) AS canonical FROM z WHERE status = 'pending_review' AND length(k) % 2 = 0""")
 def j13(s, d):
     f = _friction(s, d)
     decided = f.where("status = 'pending_review'").select("key", F.when(F.length("key") % 2 == 0, "approve").otherwise("reject").alias("decision"), F.upper("key").alias("canonical"))
@@ -686,8 +771,8 @@ def j13(s, d):
 # ------------------------------------------------------------------ ontology and domains
 
 _OKEY = r"regexp_replace(regexp_replace(upper(regexp_replace(trim(relation), '[^A-Za-z0-9_]', '_', 'g')), '_+', '_', 'g'), '^_|_$', '', 'g')"
-_TYPES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}')" for c, ts in ontology.CATEGORIES.items() for t in ts.split()) + ") AS t(canonical, category)"
-_SYN_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ontology.SYNONYM_PAIRS) + ") AS y(raw, canonical)"
+_TYPES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}')" for c, ts in ontology.CATEGORIES.items() for t in ts) + ") AS t(canonical, category)"
+_SYN_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ontology.SYNONYMS.items()) + ") AS y(raw, canonical)"
 
 
 @query("c18_ontology_resolve", f"""WITH t AS ({_TYPES_SQL}), y AS ({_SYN_SQL}), r AS (SELECT DISTINCT rel_id, relation, {_OKEY} AS k FROM relationships)
@@ -734,12 +819,19 @@ def n21(s, d):
     return ontology.taxonomy_report(_tree(s, d))
 
 
+@query("n21_taxonomy_lists", f"""WITH {_TREE} SELECT 'top_level' AS list, name, times_seen FROM w WHERE parent IS NULL UNION ALL SELECT 'niche', name, times_seen FROM w WHERE times_seen < 3
+    UNION ALL SELECT * FROM (SELECT 'popular', name, times_seen FROM w ORDER BY times_seen DESC, name LIMIT 10)""")
+def n21l(s, d):
+    return ontology.taxonomy_lists(_tree(s, d))
+
+
 @query("f7_popular_domains", f"WITH {_TREE} SELECT name, times_seen FROM w ORDER BY times_seen DESC, name LIMIT 10")
 def f7(s, d):
     return ontology.popular(_tree(s, d)).select("name", "times_seen")
 
 
-@query("n22_explain_domains")
+@query("n22_explain_domains", f"""WITH {_TREE} SELECT a.name, a.times_seen, a.times_seen < 3 AS niche, a.name || coalesce(' > ' || b.name, '') AS path,
+    coalesce((SELECT string_agg(c.name, ' | ' ORDER BY c.name) FROM w c WHERE lower(c.parent) = lower(a.parent) AND c.name <> a.name), '') AS siblings FROM w a LEFT JOIN w b ON a.parent = b.name""")
 def n22(s, d):
     out = ontology.explain_domains(_tree(s, d))
     return out.select("name", "times_seen", "niche", F.array_join("path", " > ").alias("path"), F.array_join("siblings", " | ").alias("siblings"))
@@ -841,10 +933,10 @@ def n3(s, d):
     return documents.summaries(table(s, d, "entities").select(F.col("source_doc").alias("filename"), F.col("description").alias("summary"), F.col("entity_id").alias("seq")))
 
 
-@query("g3_vector_rows", """SELECT type, count(*) AS n FROM (SELECT 'chunk' AS type, text FROM chunks UNION ALL SELECT 'claim', description FROM entities) WHERE trim(text) <> '' GROUP BY 1""")
+@query("g3_vector_rows", """SELECT type, source_doc, page, md5(text) AS digest FROM (SELECT 'chunk' AS type, source_doc, CAST(page AS BIGINT) AS page, text FROM chunks UNION ALL SELECT 'claim', source_doc, 0, description FROM entities) WHERE trim(text) <> ''""")
 def g3(s, d):
     claims = table(s, d, "entities").select(F.col("description").alias("text"), "source_doc", F.lit(0).alias("page"))
-    return documents.vector_rows(table(s, d, "chunks"), claims).groupBy("type").agg(F.count("*").alias("n"))
+    return documents.vector_rows(table(s, d, "chunks"), claims).select("type", "source_doc", n64("page"), F.md5("text").alias("digest"))
 
 
 @query("n20_n26_ingest_report", """WITH e AS (SELECT source_doc, count(*) AS entities, count(*) FILTER (confidence IS NOT NULL) AS w FROM entities GROUP BY 1), r AS (SELECT source_doc, count(*) AS relationships FROM relationships GROUP BY 1),
@@ -894,27 +986,31 @@ def e5(s, d):
     return sessions.rolling_calls(calls, 600).select("event_id", "in_window")
 
 
-@query("n24_quota_stats", "SELECT event_type, count(*) AS calls, round(100E0 * count(*) FILTER (value > 50) / count(*), 6) AS hit_percent FROM events GROUP BY 1")
+@query("n24_quota_stats", """WITH c AS (SELECT event_type AS provider, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM events),
+w AS (SELECT a.provider, a.event_id, count(*) AS n FROM c a JOIN c b ON a.provider = b.provider AND b.at BETWEEN a.at - 599 AND a.at GROUP BY 1, 2)
+SELECT provider, count(*) AS calls, count(*) FILTER (n > 4) AS over, round(100E0 * count(*) FILTER (n > 4) / count(*), 6) AS over_percent FROM w GROUP BY 1""")
 def n24(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("calls"), r6(100.0 * F.count(F.when(F.col("value") > 50, 1)) / F.count("*")).alias("hit_percent"))
+    calls = table(s, d, "events").select("event_id", F.col("event_type").alias("provider"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    return sessions.quota_stats(calls, 5, seconds=600).withColumn("over_percent", r6("over_percent"))
 
 
 # ------------------------------------------------------------------ registry
 
 def _registry(s, d) -> DataFrame:
-    docs = table(s, d, "documents").where("text IS NOT NULL AND doc_id % 2 = 0")
+    docs = table(s, d, "documents").where("text IS NOT NULL")
     return docs.select(F.col("doc_id").cast("string").alias("filename"), F.md5("text").alias("md5"), F.lit("processed").alias("status"), F.lit(None).cast("string").alias("error"),
                        F.col("created_at").cast("timestamp").alias("at"))
 
 
-@query("c24_registry_antijoin", """SELECT min(path) AS path, md5 FROM (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, md5(text) AS md5 FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 1)
+@query("c24_registry_antijoin", """SELECT min(path) AS path, md5 FROM (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, md5(text) AS md5 FROM documents WHERE text IS NOT NULL)
     WHERE md5 NOT IN (SELECT md5(text) FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0) GROUP BY md5""")
 def c24(s, d):
-    files = table(s, d, "documents").where("text IS NOT NULL AND doc_id % 2 = 1").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.md5("text").alias("md5"))
-    return store.unseen(files, _registry(s, d)).select("path", "md5")
+    files = table(s, d, "documents").where("text IS NOT NULL").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.md5("text").alias("md5"))
+    # Every file against a registry that holds what was there before: the even ones.
+    return store.unseen(files, _registry(s, d).where("filename % 2 = 0")).select("path", "md5")
 
 
-@query("n23_registry_stats", "SELECT count(*) AS processed, CAST(0 AS BIGINT) AS failed, count(DISTINCT md5(text)) AS fingerprints FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0")
+@query("n23_registry_stats", "SELECT count(*) AS processed, CAST(0 AS BIGINT) AS failed, count(DISTINCT md5(text)) AS fingerprints FROM documents WHERE text IS NOT NULL")
 def n23(s, d):
     return store.registry_stats(_registry(s, d))
 
@@ -934,11 +1030,11 @@ def c16(s, d):
     return resolve.link_mentions(asked, table(s, d, "entities"), none).select("mention_id", "entity", "link_source")
 
 
-@query("c10_acronym_pairs")
+@query("c10_acronym_pairs", f"""WITH p AS ({_PARTS}, entity_id, type, domain FROM entities WHERE name IS NOT NULL) SELECT a.entity_id AS new_id, b.entity_id FROM p a JOIN p b ON a.type = b.type
+    WHERE a.entity_id <> b.entity_id AND (a.domain IS NULL OR b.domain IS NULL OR a.domain = b.domain) AND lower(a.name) <> lower(b.name) AND {_acronym_sql('a', 'b')}""")
 def c10(s, d):
     e = table(s, d, "entities")
-    new = e.where("entity_id % 2 = 0").withColumnRenamed("entity_id", "new_id")
-    return resolve.acronym_pairs(new, e.where("entity_id % 2 = 1")).select("new_id", "entity_id")
+    return resolve.acronym_pairs(e.withColumnRenamed("entity_id", "new_id"), e).where("new_id <> entity_id").select("new_id", "entity_id")
 
 
 @query("l5_resolution_cascade")
@@ -960,27 +1056,25 @@ def h47(s, d):
     return resolve.pick_canonical(resolve.duplicate_groups(table(s, d, "entities")))
 
 
-@query("c2_conflict_candidates", """SELECT a.entity_id AS new_id, b.entity_id AS old_id FROM entities a JOIN entities b ON a.name = b.name AND a.type = b.type WHERE a.entity_id % 2 = 0 AND b.entity_id % 2 = 1
-    AND a.source_doc IS DISTINCT FROM b.source_doc AND (coalesce(a.description, '') <> '' OR coalesce(b.description, '') <> '')""")
+@query("c2_conflict_candidates", """SELECT a.entity_id AS new_id, b.entity_id AS old_id FROM entities a JOIN entities b ON a.name = b.name AND a.type = b.type WHERE a.source_doc IS DISTINCT FROM b.source_doc AND (coalesce(a.description, '') <> '' OR coalesce(b.description, '') <> '')""")
 def c2(s, d):
     e = table(s, d, "entities")
-    return reconcile.candidates(e.where("entity_id % 2 = 0"), e.where("entity_id % 2 = 1")).select("new_id", "old_id")
+    return reconcile.candidates(e, e).select("new_id", "old_id")
 
 
-@query("n25_reconcile_outcomes", """WITH c AS (SELECT coalesce(a.description, '') AS n, coalesce(b.description, '') AS o FROM entities a JOIN entities b ON a.name = b.name AND a.type = b.type WHERE a.entity_id % 2 = 0 AND b.entity_id % 2 = 1
-    AND a.source_doc IS DISTINCT FROM b.source_doc AND (coalesce(a.description, '') <> '' OR coalesce(b.description, '') <> ''))
+@query("n25_reconcile_outcomes", """WITH c AS (SELECT coalesce(a.description, '') AS n, coalesce(b.description, '') AS o FROM entities a JOIN entities b ON a.name = b.name AND a.type = b.type WHERE a.source_doc IS DISTINCT FROM b.source_doc AND (coalesce(a.description, '') <> '' OR coalesce(b.description, '') <> ''))
 SELECT count(*) AS found, count(*) FILTER (n = '' OR o = '') AS resolved, count(*) FILTER (n <> '' AND o <> '') AS flagged, CAST(0 AS BIGINT) AS unverified FROM c""")
 def n25(s, d):
     e = table(s, d, "entities")
-    return reconcile.outcomes(providers.judge(reconcile.candidates(e.where("entity_id % 2 = 0"), e.where("entity_id % 2 = 1"))))
+    return reconcile.outcomes(providers.judge(reconcile.candidates(e, e)))
 
 
-@query("c22_claims_or_any", """WITH p AS (SELECT v.* FROM vec_points v WHERE source_doc IN (SELECT source_doc FROM source_docs WHERE tier = 1)),
+@query("c22_claims_or_any", """WITH p AS (SELECT v.* FROM vec_points v WHERE source_doc IN (SELECT source_doc FROM source_docs)),
 o AS (SELECT source_doc, vec_id, row_number() OVER (PARTITION BY source_doc ORDER BY confidence DESC NULLS LAST, vec_id) AS rank FROM p WHERE type = 'claim'),
 a AS (SELECT source_doc, vec_id, row_number() OVER (PARTITION BY source_doc ORDER BY confidence DESC NULLS LAST, vec_id) AS rank FROM p WHERE source_doc NOT IN (SELECT source_doc FROM o))
 SELECT source_doc, vec_id, rank FROM o WHERE rank <= 10 UNION ALL SELECT source_doc, vec_id, rank FROM a WHERE rank <= 8""")
 def c22(s, d):
-    out = reconcile.claims_or_any(table(s, d, "source_docs").where("tier = 1"), table(s, d, "vec_points"))
+    out = reconcile.claims_or_any(table(s, d, "source_docs"), table(s, d, "vec_points"))
     return out.select("source_doc", "vec_id", n64("rank"))
 
 
@@ -994,9 +1088,11 @@ def c23(s, d):
     return reconcile.rank_claims(first, p.where("type = 'claim'").select("source_doc", "vec_id", "embedding")).select("entity_id", "vec_id", r6("score").alias("score"), n64("rank"))
 
 
-@query("h39_format_facts")
+@query("h39_format_facts", _HOPS + f"""SELECT row_number() OVER (ORDER BY score DESC, hops, anchor, related) AS number, '[G' || row_number() OVER (ORDER BY score DESC, hops, anchor, related) || ']'
+    || CASE WHEN contains('>' || chain || '>', '>CONTRADICTS>') THEN ' [CONFLICT SIGNAL]' ELSE '' END || ' ' || anchor || ' --' || replace(chain, '>', ' -> ') || '--> ' || related || ' ('
+    || CASE WHEN related = 'S1' THEN 'SUPPLIER' ELSE 'UNKNOWN' END || ', confidence ' || printf('%.2f', score) || ')' AS line FROM (SELECT * FROM ({_BEST.format(2)}) ORDER BY score DESC, hops, anchor, related LIMIT 20)""")
 def h39(s, d):
-    facts = graph.top_facts(graph.best_paths(_trails(s, d, 2)), 20)
+    facts = graph.top_facts(graph.best_paths(_trails(s, d, 2)).withColumn("score", r6("score")), 20)
     types = s.createDataFrame([("S1", "SUPPLIER")], "name string, type string")
     return retrieve.numbered_facts(facts, types).select(n64("number"), "line")
 
@@ -1046,16 +1142,17 @@ def j18(s, d):
     return out.select("alias_key", "canonical", r6("confidence").alias("confidence"))
 
 
-@query("a15_hydrate", """SELECT entity_id, coalesce(nullif(confidence, 0), 0.7) AS confidence, greatest(1, 0) AS occurrences FROM entities""")
+@query("a15_hydrate", """SELECT type || '::' || lower(trim(name)) AS key, max(coalesce(nullif(confidence, 0), 0.7)) AS confidence, count(*) AS occurrences,
+    max(coalesce(description, '')) AS description FROM entities WHERE name IS NOT NULL AND type IS NOT NULL GROUP BY 1""")
 def a15(s, d):
-    return table(s, d, "entities").select("entity_id", F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(0.7)).alias("confidence"), F.lit(1).alias("occurrences"))
+    return memory.hydrate(table(s, d, "entities")).select("key", "confidence", "occurrences", "description")
 
 
 @query("a30_reliability_get", """SELECT DISTINCT m.source_doc, coalesce(r.reliability, 0.7) AS reliability FROM mentions m
     LEFT JOIN (SELECT source_doc, max(quality_score) AS reliability FROM source_docs WHERE tier = 1 GROUP BY 1) r USING (source_doc)""")
 def a30(s, d):
     known = table(s, d, "source_docs").where("tier = 1").groupBy("source_doc").agg(F.max("quality_score").alias("reliability"))
-    return table(s, d, "mentions").select("source_doc").distinct().join(known, "source_doc", "left").select("source_doc", F.coalesce("reliability", F.lit(0.7)).alias("reliability"))
+    return memory.reliability_of(table(s, d, "mentions"), known)
 
 
 @query("n19_reliability_seed", """SELECT source_doc, round(greatest(0E0, least(1E0, 0.7E0 * (0.7E0 + 0.3E0 * coalesce(max(quality_score), 1E0)))), 6) AS reliability FROM source_docs GROUP BY 1""")
@@ -1065,14 +1162,17 @@ def n19(s, d):
 
 @query("h42_reconcile_prompt", """SELECT a.entity_id AS new_id, b.entity_id AS old_id, 'Entity: ' || a.name || ' (type: ' || a.type || ')' || chr(10) || chr(10) || 'Source 1 - ' || coalesce(b.source_doc, 'unknown') || ':' || chr(10)
     || 'Description: "' || coalesce(b.description, '') || '"' || chr(10) || chr(10) || 'Source 2 - ' || coalesce(a.source_doc, 'unknown') || ':' || chr(10) || 'Description: "' || coalesce(a.description, '') || '"' AS prompt
-    FROM entities a JOIN entities b ON a.name = b.name AND a.type = b.type WHERE a.entity_id % 2 = 0 AND b.entity_id % 2 = 1 AND a.source_doc IS DISTINCT FROM b.source_doc
+    FROM entities a JOIN entities b ON a.name = b.name AND a.type = b.type WHERE a.source_doc IS DISTINCT FROM b.source_doc
     AND (coalesce(a.description, '') <> '' OR coalesce(b.description, '') <> '')""")
 def h42(s, d):
     e = table(s, d, "entities")
-    return reconcile.prompt(reconcile.candidates(e.where("entity_id % 2 = 0"), e.where("entity_id % 2 = 1"))).select("new_id", "old_id", "prompt")
+    return reconcile.prompt(reconcile.candidates(e, e)).select("new_id", "old_id", "prompt")
 
 
 @query("h40_format_hits", "SELECT vec_id, '[C' || CAST(vec_id % 9 + 1 AS VARCHAR) || '] (' || source_doc || ', p.0): ' || coalesce(domain, '-') AS line FROM vec_points WHERE source_doc IS NOT NULL")
 def h40(s, d):
     rows = table(s, d, "vec_points").where("source_doc IS NOT NULL")
     return rows.select("vec_id", exprs.format_hit((F.col("vec_id") % 9 + 1).cast("int"), "source_doc", F.lit(0), F.coalesce("domain", F.lit("-"))).alias("line"))
+
+
+SQL.update({name: sql() for name, sql in SQL.items() if callable(sql)})

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions.exprs import DAILY_LIMITS, DAILY_WORDS, NETWORK_WORDS, RATE_WORDS
+
 
 class QuotaExhausted(RuntimeError):
     """A daily limit is used up: no retry helps."""
@@ -96,12 +98,9 @@ class Retry:
     @staticmethod
     def kind(error: str) -> str:
         e = error.lower()
-        if "exhausted" in e and "daily" in e or any(w in e for w in ("tokens per day", "requests per day", "tpd", "rpd")) or (
-                "per day" in e and ("rate_limit" in e or "quota" in e)):
+        if "exhausted" in e and "daily" in e or any(w in e for w in DAILY_WORDS) or ("per day" in e and any(w in e for w in DAILY_LIMITS)):
             return "daily_quota"
-        if any(w in e for w in ("429", "rate limit", "rate_limit", "resource_exhausted")):
-            return "rate_limit"
-        return "network" if any(w in e for w in ("connection", "timeout", "network")) else "unknown"
+        return "rate_limit" if any(w in e for w in RATE_WORDS) else "network" if any(w in e for w in NETWORK_WORDS) else "unknown"
 
     def __call__(self, call: Callable, *args):
         for attempt in range(self.attempts):

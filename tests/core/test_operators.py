@@ -138,7 +138,7 @@ def test_ontology(spark):
     paths = {r.name: r.path for r in ontology.lineage(tree).collect()}
     assert paths == {"a": ["a", "b", "c"], "b": ["b", "c", "a"], "c": ["c", "a", "b"], "d": ["d"], "e": ["e", "z"]}
     assert ontology.siblings(tree).count() == 0
-    assert len(ontology.SYNONYM_PAIRS) == 55 and sum(len(v.split()) for v in ontology.CATEGORIES.values()) == 40
+    assert len(ontology.SYNONYMS) == 55 and sum(len(v) for v in ontology.CATEGORIES.values()) == 40
 
 
 def test_resolution(spark):
