@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 MOST_HOPS = 3
 
 
@@ -26,26 +28,47 @@ def usable_edges(edges: DataFrame, least: float = 0.0, exclude: list[str] | None
     return kept.where(~F.col("rel_type").isin(exclude)) if exclude else kept
 
 
-def neighbors(edges: DataFrame, anchors: DataFrame, hops: int = 2, least: float = 0.0, exclude: list[str] | None = None) -> DataFrame:
+def neighbors(edges: DataFrame, anchors: DataFrame, hops: int = 2, least: float = 0.0, exclude: list[str] | None = None,
+              trails: int | None = None, facts: int | None = None) -> DataFrame:
     """``anchor, related, chain array<string>, score, hops`` of every trail of 1 to ``hops`` edges from each anchor, either direction.
 
     ``anchors`` has a column ``anchor``; hops are clamped to 1..3. The score is the product of the edges' confidences.
+
+    Where only the best are asked for, ``trails`` (the best trails of an anchor) or ``facts`` (the best related nodes of an anchor) says how many; then a trail is followed no
+    further once it cannot come among them: longer trails score no higher (times the largest confidence, should one exceed 1), and of equals the shorter goes
+    first. All trails that do come among them are in the result, so the best of it are the best of all.
     """
     hops = max(1, min(MOST_HOPS, hops))
-    kept = usable_edges(edges, least, exclude).select("edge_id", "src", "dst", "rel_type", "confidence")
+    kept = usable_edges(edges, least, exclude).select(F.col("edge_id").cast("string").alias("edge_id"), "src", "dst", "rel_type", "confidence")
     ways = kept.select("edge_id", F.col("src").alias("a"), F.col("dst").alias("b"), "rel_type", "confidence").unionByName(
         kept.where("src <> dst").select("edge_id", F.col("dst").alias("a"), F.col("src").alias("b"), "rel_type", "confidence"))
     front = anchors.select("anchor").distinct().select(
         "anchor", F.col("anchor").alias("at"), F.array().cast("array<string>").alias("used"), F.array().cast("array<string>").alias("chain"),
         F.lit(1.0).alias("score"))
+    pruned = hops > 1 and (trails is not None or facts is not None)
+    if pruned:
+        ways = staged(ways, "ways")
+        most = max(1.0, ways.agg(F.max("confidence")).head()[0] or 1.0)
     found = None
     for n in range(1, hops + 1):
-        step = front.join(ways, front["at"] == ways["a"]).where(~F.array_contains("used", F.col("edge_id").cast("string")))
-        front = step.select("anchor", F.col("b").alias("at"), F.concat("used", F.array(F.col("edge_id").cast("string"))).alias("used"),
+        step = front.join(ways, front["at"] == ways["a"]).where(~F.array_contains("used", F.col("edge_id")))
+        front = step.select("anchor", F.col("b").alias("at"), F.concat("used", F.array("edge_id")).alias("used"),
                             F.concat("chain", F.array("rel_type")).alias("chain"), (F.col("score") * F.col("confidence")).alias("score"))
-        here = front.select("anchor", F.col("at").alias("related"), "chain", "score", F.lit(n).alias("hops"))
+        if pruned and n < hops:
+            front = staged(front, "trails")
+        here = front.select("anchor", F.col("at").alias("related"), "chain", "score", F.lit(n).alias("hops")).where("related <> anchor")
         found = here if found is None else found.unionByName(here)
-    return found.where("related <> anchor").distinct()
+        if pruned and n < hops:
+            front = front.join(_floors(found, trails, facts), "anchor", "left").where(
+                F.col("floor").isNull() | (F.col("score") * most ** (hops - n) >= F.col("floor") - 1e-9)).drop("floor")
+    return found.distinct()
+
+
+def _floors(found: DataFrame, trails: int | None, facts: int | None) -> DataFrame:
+    """``anchor, floor``: the score of the last that would count so far, for anchors that have so many."""
+    rows, n = (found.distinct(), trails) if trails is not None else (found.groupBy("anchor", "related").agg(F.max("score").alias("score")), facts)
+    order = Window.partitionBy("anchor").orderBy(F.desc("score"))
+    return rows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") == n).select("anchor", F.col("score").alias("floor"))
 
 
 def top_paths(found: DataFrame, limit: int = 50) -> DataFrame:
@@ -91,23 +114,21 @@ def upsert_entities(old: DataFrame, batch: DataFrame, key: tuple[str, ...] = ("n
 
     A known node seen with new evidence (another source) gains ``bump`` up to 1; with known evidence it keeps its confidence. A new one has the
     batch's. Keys compare null-safely. Of several rows of a key the first by source counts; each source of a batch bumps once.
+
+    Rows are combined by key and source, then by key: no node gathers its sources, however many it has.
     """
-    held = old.groupBy(*key).agg(F.max("confidence").alias("confidence"), F.collect_set("source_doc").alias("sources"))
-    new = batch.groupBy(*key).agg(F.max("confidence").alias("batch_confidence"), F.collect_set("source_doc").alias("batch_sources"),
-                                  F.max("source_doc").alias("batch_doc"))
-    new = new.withColumnsRenamed({k: f"b_{k}" for k in key})
-    same = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in key]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    fresh = F.size(F.array_except("batch_sources", F.coalesce("sources", F.array().cast("array<string>"))))
-    both = held.join(new, cond, "full_outer")
-    confidence = (F.when(F.col("confidence").isNull(), F.col("batch_confidence"))
-                  .when(F.col("batch_confidence").isNull(), F.col("confidence"))
-                  .otherwise(F.least(F.lit(1.0), F.col("confidence") + bump * fresh)))
-    seen = F.size(F.array_union(F.coalesce("sources", F.array().cast("array<string>")), F.coalesce("batch_sources", F.array().cast("array<string>"))))
-    return both.select(*[F.coalesce(k, f"b_{k}").alias(k) for k in key], confidence.alias("confidence"),
-                       F.coalesce("batch_doc", F.array_max("sources")).alias("source_doc"), seen.alias("seen"))
+    side = lambda df, new: df.select(*key, "source_doc", "confidence", F.lit(new).alias("__new"))
+    of = lambda new, c: F.max(F.when(F.col("__new") == new, c))
+    by_source = side(old, False).unionByName(side(batch, True)).groupBy(*key, "source_doc").agg(
+        F.bool_or(~F.col("__new")).alias("__had"), F.bool_or("__new").alias("__got"), of(False, F.col("confidence")).alias("__oc"), of(True, F.col("confidence")).alias("__bc"))
+    known = F.col("source_doc").isNotNull()
+    whole = by_source.groupBy(*key).agg(
+        F.max("__oc").alias("__oc"), F.max("__bc").alias("__bc"), F.count(F.when(known & F.col("__got") & ~F.col("__had"), 1)).alias("__fresh"),
+        F.count(F.when(known, 1)).cast("int").alias("seen"), F.max(F.when(F.col("__got"), F.col("source_doc"))).alias("__bd"),
+        F.max(F.when(F.col("__had"), F.col("source_doc"))).alias("__od"))
+    confidence = F.when(F.col("__oc").isNull(), F.col("__bc")).when(F.col("__bc").isNull(), F.col("__oc")).otherwise(
+        F.least(F.lit(1.0), F.col("__oc") + bump * F.col("__fresh")))
+    return whole.select(*key, confidence.alias("confidence"), F.coalesce("__bd", "__od").alias("source_doc"), "seen")
 
 
 def upsert_edges(old: DataFrame, batch: DataFrame, first_bump: bool = True, bump: float = 0.05) -> DataFrame:

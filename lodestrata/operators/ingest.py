@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import providers
-from ..functions.exprs import extraction_confidence
+from ..functions.exprs import entity_key, extraction_confidence
 from ..session import staged
 from . import documents, graph, ontology, resolve
 
@@ -26,6 +26,7 @@ class Knowledge:
     entities: DataFrame
     relationships: DataFrame
     claims: DataFrame
+    failed: DataFrame
 
 
 def chunked(parsed: DataFrame) -> DataFrame:
@@ -34,18 +35,20 @@ def chunked(parsed: DataFrame) -> DataFrame:
     return documents.with_ids(documents.priority_order(documents.chunk_windows(pages)))
 
 
-def extracted(chunks: DataFrame, extractor: Callable[[str], dict] = providers.extract) -> DataFrame:
-    """One row per entity, relationship and claim that the provider finds; a chunk it fails on gives none."""
+def extracted(chunks: DataFrame, extractor: Callable[[str], dict] = providers.extract, again: providers.Retry = providers.Retry(attempts=3)) -> DataFrame:
+    """One row per entity, relationship and claim that the provider finds. It is asked again after errors that may pass; a chunk it fails on for good
+    gives one row of kind ``failed`` with the error as its text."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in EXTRACTED.replace("\n", " ").split(",")]
         for batch in batches:
             rows = []
             for doc, cid, page, index, text in zip(batch["filename"], batch["chunk_id"], batch["page"], batch["chunk_index"], batch["text"]):
+                base, n = {"filename": doc, "chunk_id": cid, "page": page}, 0
                 try:
-                    found = extractor(text)
-                except Exception:
+                    found = again(extractor, text)
+                except Exception as e:
                     found = {}
-                base, n = {"filename": doc, "chunk_id": cid, "page": page}, 0
+                    rows.append(base | {"kind": "failed", "seq": int(index) * 10_000, "text": str(e)[:500]})
                 for e in found.get("entities", []):
                     if isinstance(e, dict):
                         rows.append(base | {"kind": "entity", "seq": int(index) * 10_000 + n, "name": e.get("name"), "type": e.get("type")})
@@ -59,7 +62,7 @@ def extracted(chunks: DataFrame, extractor: Callable[[str], dict] = providers.ex
                     if isinstance(c, str):
                         rows.append(base | {"kind": "claim", "seq": int(index) * 10_000 + n, "text": c.strip()})
                         n += 1
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names})
 
     return chunks.select("filename", "chunk_id", "page", "chunk_index", "text").mapInPandas(run, EXTRACTED)
 
@@ -80,7 +83,8 @@ def extract_knowledge(parsed: DataFrame, extractor: Callable[[str], dict] = prov
         rels = rels.join(voted_type, (F.col("filename") == F.col("__f")) & (F.lower(F.trim(f"{end}_name")) == F.col("__k")), "left").withColumn(
             f"{end}_type", F.coalesce("__t", f"{end}_type")).drop("__f", "__k", "__t")
     claims = documents.well_formed(rows.where("kind = 'claim'"), "text").select("filename", "chunk_id", "page", "seq", "text")
-    return Knowledge(chunks, entities, rels.select("filename", "chunk_id", "page", "seq", "from_name", "from_type", "to_name", "to_type", "relation"), claims)
+    return Knowledge(chunks, entities, rels.select("filename", "chunk_id", "page", "seq", "from_name", "from_type", "to_name", "to_type", "relation"), claims,
+                     rows.where("kind = 'failed'").select("filename", "chunk_id", "page", F.col("text").alias("error")))
 
 
 def ingest(known: Knowledge, nodes: DataFrame, edges: DataFrame, aliases: DataFrame, confirm=providers.referee) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -109,3 +113,32 @@ def rewrite_aliases(aliases: DataFrame, groups: DataFrame, canonical: DataFrame)
         F.col("alias_key") != F.lower("canonical")).groupBy("alias_key").agg(F.min("canonical").alias("canonical"))
     fresh = merged.select("alias_key", "canonical", F.lit(1.0).alias("confidence"))
     return aliases.select("alias_key", "canonical", "confidence").join(fresh.select("alias_key"), "alias_key", "left_anti").unionByName(fresh)
+
+
+@dataclass
+class Merged:
+    """Graph and memories after duplicates are merged; with a dry run they are as before."""
+
+    groups: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+    aliases: DataFrame
+    memory: DataFrame
+
+
+def merge_duplicates(entities: DataFrame, edges: DataFrame, aliases: DataFrame, memory: DataFrame, dry_run: bool = True) -> Merged:
+    """Names that abbreviate each other merged under the longest base: nodes, edges, aliases and entity memory (``key, confidence, occurrences``).
+
+    ``groups`` says what is (or with ``dry_run`` would be) merged: ``group_id, type, entity_id, name, canonical``. Memories that fall under one key add their
+    occurrences and keep the higher confidence.
+    """
+    found = resolve.duplicate_groups(entities)
+    canonical = resolve.pick_canonical(found)
+    groups = staged(found.join(canonical.select("group_id", "canonical"), "group_id").select("group_id", "type", "entity_id", "name", "canonical"), "groups")
+    if dry_run:
+        return Merged(groups, entities, edges, aliases, memory)
+    mapping = groups.select("name", "canonical").distinct()
+    nodes, moved = graph.merge_nodes(entities, edges, mapping)
+    keys = groups.select(entity_key("type", "name").alias("key"), entity_key("type", "canonical").alias("to")).groupBy("key").agg(F.min("to").alias("to"))
+    kept = memory.join(keys, "key", "left").groupBy(F.coalesce("to", "key").alias("key")).agg(F.max("confidence").alias("confidence"), F.sum("occurrences").alias("occurrences"))
+    return Merged(groups, nodes, moved, rewrite_aliases(aliases, groups.drop("canonical"), canonical), kept)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ontology_key
+from ..functions.exprs import doc_hash
 from ..functions.udfs import domain_name, fuzzy_ratio
+from ..session import staged
 
 # Relation types by category.
 CATEGORIES = {
@@ -88,6 +92,21 @@ def synonyms(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
     return own if extra is None else own.unionByName(extra.select("raw", "canonical"))
 
 
+def resolve_with_model(rows: DataFrame, classify, raw: str = "relation", learned: DataFrame | None = None, fallback: str = "RELATED_TO") -> DataFrame:
+    """:func:`resolve_relations` with a model for what neither list nor memory knows.
+
+    ``classify`` takes the distinct unknown spellings (``key``) and adds ``canonical`` and ``confidence``; an answer outside the types does not count.
+    """
+    first = staged(resolve_relations(rows, raw, learned, fallback).withColumn("__key", ontology_key(raw)), "relations")
+    valid = relation_types(rows.sparkSession).select("canonical").distinct()
+    said = classify(first.where("method = 'fallback'").select(F.col("__key").alias("key")).distinct()).where("canonical IS NOT NULL").join(valid, "canonical", "left_semi").select(
+        F.col("key").alias("__key"), F.col("canonical").alias("__said"), F.col("confidence").alias("__c"))
+    hit = (F.col("method") == "fallback") & F.col("__said").isNotNull()
+    return (first.join(said, "__key", "left").withColumn("canonical", F.when(hit, F.col("__said")).otherwise(F.col("canonical")))
+            .withColumn("confidence", F.when(hit, F.col("__c")).otherwise(F.col("confidence")))
+            .withColumn("method", F.when(hit, "model").otherwise(F.col("method"))).drop("__key", "__said", "__c"))
+
+
 def resolve_relations(rows: DataFrame, raw: str = "relation", learned: DataFrame | None = None, fallback: str = "RELATED_TO") -> DataFrame:
     """Adds ``canonical, confidence, method``: exact type, else synonym, else learned spelling, else the fallback at 0.3.
 
@@ -123,17 +142,23 @@ def without_types(edges: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def lineage(tree: DataFrame, most: int = 20) -> DataFrame:
-    """``name, path, depth``: each domain with its ancestors; a cycle ends where it would repeat, an unknown parent is the last step."""
+    """``name, path, depth``: each domain with its ancestors; a cycle ends where it would repeat, an unknown parent is the last step.
+
+    A tree deeper than ``most`` levels raises an error. The state of a level is written, so the plan does not grow.
+    """
     edges = tree.where("name IS NOT NULL").groupBy("name").agg(F.min("parent").alias("parent"))
     done = edges.select("name", F.array("name").alias("path"), F.col("parent").alias("up"))
-    for _ in range(most):
+    for n in range(most):
         up = edges.select(F.col("name").alias("up"), F.col("parent").alias("next"))
         step = done.join(up, "up", "left")
         fresh = F.col("up").isNotNull() & ~F.array_contains("path", F.col("up"))
         done = step.select("name", F.when(fresh, F.concat("path", F.array("up"))).otherwise(F.col("path")).alias("path"),
                            F.when(fresh, F.col("next")).alias("up"))
-        if most > 3 and done.where("up IS NOT NULL").limit(1).count() == 0:
+        done = staged(done, "lineage")
+        if done.where("up IS NOT NULL").limit(1).count() == 0:
             break
+    else:
+        raise RuntimeError(f"lineages are not done after {most} steps")
     return done.select("name", "path", F.size("path").alias("depth"))
 
 
@@ -186,3 +211,47 @@ def taxonomy_lists(domains: DataFrame, n: int = 10) -> DataFrame:
     columns = lambda name: [F.lit(name).alias("list"), "name", "times_seen"]
     return domains.where("parent IS NULL").select(*columns("top_level")).unionByName(niche(domains).select(*columns("niche"))).unionByName(
         popular(domains, n).select(*columns("popular")))
+
+
+@dataclass
+class Classified:
+    """The domains of a batch of documents, and the tree and the memory of documents after it."""
+
+    labels: DataFrame
+    tree: DataFrame
+    cache: DataFrame
+
+
+def classify_domains(docs: DataFrame, tree: DataFrame, cache: DataFrame, classify, parent_of=None) -> Classified:
+    """Domains of ``doc_id, title, text``: a document seen before keeps its domain (0.95, ``cache``); else the model's answer is taken for a known domain
+    like it (0.85 at least, ``fuzzy``) or becomes a new one (``model``); without an answer it is General at 0.3 (``fallback``).
+
+    ``tree`` has ``name, parent, times_seen``, ``cache`` has ``doc_hash, domain``. ``classify`` adds ``said`` and ``said_confidence`` to the documents that are not
+    known; ``parent_of(name, known names)`` places a new domain. Documents of one batch do not see each other; new domains of a batch are few and come to the driver
+    (``MOST_NEW``, checked).
+    """
+    hashed = staged(docs.withColumn("doc_hash", doc_hash(F.trim("title"), "text")), "documents")
+    known = cache.groupBy("doc_hash").agg(F.min("domain").alias("cached")).join(tree.select(F.col("name").alias("cached")).distinct(), "cached", "left_semi")
+    seen = hashed.join(known, "doc_hash", "left")
+    asked = staged(classify(seen.where("cached IS NULL").drop("cached")), "asked")
+    like = similar_domain(asked.where("said IS NOT NULL").select(F.col("said").alias("raw")), tree.select("name", F.col("name").alias("seq")))
+    told = asked.join(like.select(F.col("raw").alias("said"), F.col("domain").alias("__like")), "said", "left").withColumn("__name", domain_name("said"))
+    status = F.when(F.col("said").isNull(), "fallback").when(F.col("__like").isNotNull(), "fuzzy").otherwise("model")
+    labels = told.select("doc_id", "doc_hash", F.coalesce("__like", "__name", F.lit("General")).alias("domain"), F.when(F.col("said").isNull(), 0.3).when(
+        F.col("__like").isNotNull(), F.greatest("said_confidence", F.lit(0.85))).otherwise(F.col("said_confidence")).alias("confidence"), status.alias("status"))
+    labels = staged(labels.unionByName(seen.where("cached IS NOT NULL").select(
+        "doc_id", "doc_hash", F.col("cached").alias("domain"), F.lit(0.95).alias("confidence"), F.lit("cache").alias("status"))), "labels")
+    counted = labels.where("status <> 'fallback'").groupBy(F.col("domain").alias("name")).agg(F.count("*").alias("n"))
+    new = counted.join(tree.select("name"), "name", "left_anti").orderBy("name").limit(MOST_NEW + 1).collect()
+    if len(new) > MOST_NEW:
+        raise ValueError(f"more than {MOST_NEW} new domains in one batch")
+    names = [r.name for r in tree.select("name").orderBy("name").limit(30).collect()]
+    placed = tree.sparkSession.createDataFrame([(r.name, parent_of(r.name, names) if parent_of and len(names) > 1 else None, r.n) for r in new],
+                                               "name string, parent string, times_seen bigint")
+    after = tree.join(counted, "name", "left").select("name", "parent", (F.col("times_seen") + F.coalesce("n", F.lit(0))).alias("times_seen")).unionByName(placed)
+    fresh = labels.where("status IN ('fuzzy', 'model')").groupBy("doc_hash").agg(F.min("domain").alias("domain"))
+    return Classified(labels, after, cache.select("doc_hash", "domain").join(fresh.select("doc_hash"), "doc_hash", "left_anti").unionByName(fresh))
+
+
+#: New domains of one batch.
+MOST_NEW = 10_000

@@ -1,7 +1,6 @@
 """Exact vector search for a stated query set: one pass over the points, top-k per batch, then one rank per query.
 
-Queries are shipped to the points, so at most ``MOST_QUERIES`` go at once; a larger set goes in blocks, each with its own pass and its result
-written before the next begins.
+At most ``MOST_QUERIES`` queries are shipped to the points; a larger set is dealt to blocks and meets the shards of the points in one job.
 """
 
 from __future__ import annotations
@@ -13,9 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import staged
-
+#: Queries that are shipped to every task; more meet the points in cells.
 MOST_QUERIES = 20_000
+#: Rows of each side of a cell.
+CELL = 20_000
 
 
 def payload_filter(source_doc: str | None = None, type: str | None = None, domain: str | None = None) -> Column:  # noqa: A002
@@ -42,57 +42,81 @@ def topk(points: DataFrame, queries: DataFrame, k: int, group: str | None = None
     0; points whose length differs from a query's are not compared. ``least`` is a floor, ``strict`` leaves out the floor itself. Ties by id.
     """
     fields = ["query_id", vector] + ([group] if group else [])
-    queries = queries.where(F.col(vector).isNotNull()).select(*fields)
+    queries = queries.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(*fields)
+    found = points.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector).alias("v"), *([F.col(group).alias("g")] if group else []))
     asked = queries.limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        # Blocks of half the size on average, so that none goes over by chance.
-        blocks = -(-2 * queries.count() // MOST_QUERIES)
-        parts = [staged(topk(points, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k, group, least, strict, id_col, vector, exclude_self), "topk")
-                 for b in range(blocks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    by_length: dict[int, list] = {}
-    for r in asked:
-        by_length.setdefault(len(r[vector]), []).append(r)
-    packed = {n: ([r.query_id for r in rows], _unit(np.array([r[vector] for r in rows], float).reshape(len(rows), n)),
-                  np.array([r[group] if group else None for r in rows], object)) for n, rows in by_length.items() if n}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            lists = batch.column(1)
-            groups = np.array(batch.column(2).to_pylist(), object) if group else None
-            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
-            for n, (names, unit, wanted) in packed.items():
-                at = np.flatnonzero(sizes == n)
-                if not len(at):
-                    continue
-                flat = lists.take(pa.array(at)).flatten().cast(pa.float64())
-                own = _unit(np.nan_to_num(flat.to_numpy(zero_copy_only=False)).reshape(-1, n))
-                for start in range(0, len(names), 512):
-                    scores = unit[start:start + 512] @ own.T
-                    if group:
-                        scores = np.where(wanted[start:start + 512, None] == groups[at][None, :], scores, -np.inf)
-                    if exclude_self:
-                        scores = np.where(np.array(names[start:start + 512])[:, None] == ids[at][None, :], -np.inf, scores)
-                    if least is not None:
-                        scores = np.where(scores > least if strict else scores >= least, scores, -np.inf)
-                    order = np.lexsort((np.broadcast_to(ids[at], scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
-                    row = np.repeat(np.arange(len(scores)), order.shape[1])
-                    column = order.ravel()
-                    good = np.isfinite(scores[row, column])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([names[start + i] for i in row[good]], pa.int64()), pa.array(ids[at][column[good]], pa.int64()),
-                         pa.array(scores[row[good], column[good]])], names=["query_id", "vec_id", "score"])
-
-    columns = [F.col(id_col).cast("bigint"), F.col(vector)] + ([F.col(group)] if group else [])
-    part = points.where(F.col(vector).isNotNull()).select(*columns).mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+
+    def best(packed: dict, ids: np.ndarray, lists: pa.Array, groups) -> Iterator[pa.RecordBatch]:
+        """The best of some points for each query, ``packed`` by length of the vectors."""
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+        for n, (names, unit, wanted) in packed.items():
+            at = np.flatnonzero(sizes == n)
+            if not len(at):
+                continue
+            flat = lists.take(pa.array(at)).flatten().cast(pa.float64())
+            own = _unit(np.nan_to_num(flat.to_numpy(zero_copy_only=False)).reshape(-1, n))
+            for start in range(0, len(names), 512):
+                scores = unit[start:start + 512] @ own.T
+                if group:
+                    scores = np.where(wanted[start:start + 512, None] == groups[at][None, :], scores, -np.inf)
+                if exclude_self:
+                    scores = np.where(np.array(names[start:start + 512])[:, None] == ids[at][None, :], -np.inf, scores)
+                if least is not None:
+                    scores = np.where(scores > least if strict else scores >= least, scores, -np.inf)
+                order = np.lexsort((np.broadcast_to(ids[at], scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
+                row = np.repeat(np.arange(len(scores)), order.shape[1])
+                column = order.ravel()
+                good = np.isfinite(scores[row, column])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[start + i] for i in row[good]], pa.int64()), pa.array(ids[at][column[good]], pa.int64()),
+                     pa.array(scores[row[good], column[good]])], names=["query_id", "vec_id", "score"])
+
+    schema = "query_id bigint, vec_id bigint, score double"
+    if len(asked) <= MOST_QUERIES:
+        packed = _packed([r.query_id for r in asked], [r[vector] for r in asked], [r[group] if group else None for r in asked])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                groups = np.array(batch.column(2).to_pylist(), object) if group else None
+                yield from best(packed, batch.column(0).to_numpy(), batch.column(1), groups)
+
+        part = found.mapInArrow(run, schema)
+    else:
+        part = _in_cells(found, queries, vector, group, best, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _packed(names: list, vectors: list, wanted: list) -> dict:
+    by_length: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        by_length.setdefault(len(v), []).append(i)
+    return {n: ([names[i] for i in at], _unit(np.array([vectors[i] for i in at], float).reshape(len(at), n)), np.array([wanted[i] for i in at], object))
+            for n, at in by_length.items() if n}
+
+
+def _in_cells(found: DataFrame, queries: DataFrame, vector: str, group: str | None, best, schema: str) -> DataFrame:
+    """Many queries: both sides are dealt, and each block of queries meets each shard of points in a task of its own; nothing comes to the driver."""
+    blocks, shards = -(-queries.count() // CELL), -(-found.count() // CELL)
+    g = F.col(group) if group else F.lit(None).cast("string")
+    row = F.monotonically_increasing_id()  # deals repeated ids apart; any dealing gives the same result
+    asked = queries.withColumn("block", F.pmod(F.xxhash64(row), F.lit(blocks)).cast("int")).withColumn(
+        "shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1))))).select(
+        "block", "shard", F.lit(True).alias("asks"), F.col("query_id").cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), g.alias("g"))
+    own = found.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, shards))).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        "block", "shard", F.lit(False).alias("asks"), F.col("vec_id").alias("id"), F.col("v").cast("array<double>").alias("v"), (F.col("g") if group else g).alias("g"))
+
+    def task(data: pa.Table) -> pa.Table:
+        asks = data["asks"].to_numpy(zero_copy_only=False)
+        q, p = data.filter(pa.array(asks)), data.filter(pa.array(~asks))
+        packed = _packed(q["id"].to_pylist(), q["v"].to_pylist(), q["g"].to_pylist())
+        out = list(best(packed, p["id"].to_numpy(), p["v"].combine_chunks(), np.array(p["g"].to_pylist(), object)))
+        return pa.Table.from_batches(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    return asked.unionByName(own).groupBy("block", "shard").applyInArrow(task, schema)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)

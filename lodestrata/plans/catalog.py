@@ -58,9 +58,9 @@ t3 AS (SELECT * FROM t2 UNION ALL SELECT DISTINCT anchor, related, chain, score,
 """
 
 
-def _trails(spark: SparkSession, sf_dir: str, hops: int) -> DataFrame:
+def _trails(spark: SparkSession, sf_dir: str, hops: int, **only: int) -> DataFrame:
     anchors = spark.createDataFrame([(a,) for a in ANCHORS], "anchor string")
-    return graph.neighbors(edges(spark, sf_dir), anchors, hops, 0.4, ["AUTHORED_BY"])
+    return graph.neighbors(edges(spark, sf_dir), anchors, hops, 0.4, ["AUTHORED_BY"], **only)
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def _shown(df: DataFrame) -> DataFrame:
 for _h in (1, 2, 3):
     query(f"c15_neighbors_h{_h}", _HOPS + f"""SELECT anchor, related, chain, round(score, 6) AS score, CAST(hops AS BIGINT) AS hops FROM (
         SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, hops, related, chain) AS rn FROM t{_h}) WHERE rn <= 50""")(
-        lambda s, d, h=_h: _shown(graph.top_paths(_trails(s, d, h), 50)))
+        lambda s, d, h=_h: _shown(graph.top_paths(_trails(s, d, h, trails=50), 50)))
 
 _BEST = """SELECT anchor, related, chain, round(score, 6) AS score, CAST(hops AS BIGINT) AS hops FROM (
     SELECT *, row_number() OVER (PARTITION BY anchor, related ORDER BY round(score, 12) DESC, hops, chain) AS rn FROM t{0}) WHERE rn = 1"""
@@ -83,7 +83,7 @@ def n12(s, d):
 
 @query("retrieve_graph_facts", _HOPS + f"SELECT * FROM ({_BEST.format(2)}) ORDER BY score DESC, hops, anchor, related LIMIT 20")
 def flagship(s, d):
-    best = _shown(graph.best_paths(_trails(s, d, 2)))
+    best = _shown(graph.best_paths(_trails(s, d, 2, facts=20)))
     return graph.top_facts(best, 20)
 
 
@@ -706,7 +706,7 @@ def j11(s, d):
 @query("n14_entity_fold", """WITH RECURSIVE e AS (SELECT type || '::' || lower(trim(name)) AS k, trim(name) AS name, coalesce(extraction_confidence, 0.7E0) AS c,
     row_number() OVER (PARTITION BY type, lower(trim(name)) ORDER BY extracted_at NULLS FIRST, mention_id) AS n FROM mentions WHERE name IS NOT NULL AND type IS NOT NULL AND trim(name) <> ''),
 f AS (SELECT k, c AS conf, [name] AS names, n FROM e WHERE n = 1
-    UNION ALL SELECT f.k, CAST(round(CAST(0.7E0 * f.conf + 0.3E0 * e.c AS DECIMAL(30, 16)), 4) AS DOUBLE), CASE WHEN list_contains(f.names, e.name) THEN f.names ELSE list_append(f.names, e.name) END, e.n FROM f JOIN e ON f.k = e.k AND e.n = f.n + 1)
+    UNION ALL SELECT f.k, CAST(round(CAST(CAST(0.7E0 * f.conf + 0.3E0 * e.c AS VARCHAR) AS DECIMAL(30, 20)), 4) AS DOUBLE), CASE WHEN list_contains(f.names, e.name) THEN f.names ELSE list_append(f.names, e.name) END, e.n FROM f JOIN e ON f.k = e.k AND e.n = f.n + 1)
 SELECT k AS key, n AS occurrences, round(conf, 6) AS confidence, array_to_string(names, ' | ') AS aliases FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC) AS r FROM f) WHERE r = 1""")
 def n14(s, d):
     m = table(s, d, "mentions").withColumn("key", exprs.entity_key("type", "name")).where("name IS NOT NULL AND type IS NOT NULL AND trim(name) <> ''")
@@ -805,7 +805,7 @@ _TREE = """w AS (SELECT t.canonical AS name, t.parent, coalesce(n, 0) AS times_s
 
 @query("c25_lineage", f"""WITH {_TREE} SELECT a.name, a.name || coalesce(' > ' || b.name, '') AS path, CASE WHEN b.name IS NULL THEN 1 ELSE 2 END::BIGINT AS depth FROM w a LEFT JOIN w b ON a.parent = b.name""")
 def c25(s, d):
-    return ontology.lineage(_tree(s, d), 3).select("name", F.array_join("path", " > ").alias("path"), n64("depth"))
+    return ontology.lineage(_tree(s, d)).select("name", F.array_join("path", " > ").alias("path"), n64("depth"))
 
 
 @query("c26_siblings", f"WITH {_TREE} SELECT a.name, b.name AS sibling FROM w a JOIN w b ON lower(a.parent) = lower(b.parent) AND a.name <> b.name")
@@ -1092,7 +1092,7 @@ def c23(s, d):
     || CASE WHEN contains('>' || chain || '>', '>CONTRADICTS>') THEN ' [CONFLICT SIGNAL]' ELSE '' END || ' ' || anchor || ' --' || replace(chain, '>', ' -> ') || '--> ' || related || ' ('
     || CASE WHEN related = 'S1' THEN 'SUPPLIER' ELSE 'UNKNOWN' END || ', confidence ' || printf('%.2f', score) || ')' AS line FROM (SELECT * FROM ({_BEST.format(2)}) ORDER BY score DESC, hops, anchor, related LIMIT 20)""")
 def h39(s, d):
-    facts = graph.top_facts(graph.best_paths(_trails(s, d, 2)).withColumn("score", r6("score")), 20)
+    facts = graph.top_facts(graph.best_paths(_trails(s, d, 2, facts=20)).withColumn("score", r6("score")), 20)
     types = s.createDataFrame([("S1", "SUPPLIER")], "name string, type string")
     return retrieve.numbered_facts(facts, types).select(n64("number"), "line")
 
@@ -1160,13 +1160,117 @@ def n19(s, d):
     return table(s, d, "source_docs").groupBy("source_doc").agg(r6(memory.reliability_seed(F.max("quality_score"))).alias("reliability"))
 
 
-@query("h42_reconcile_prompt", """SELECT a.entity_id AS new_id, b.entity_id AS old_id, 'Entity: ' || a.name || ' (type: ' || a.type || ')' || chr(10) || chr(10) || 'Source 1 - ' || coalesce(b.source_doc, 'unknown') || ':' || chr(10)
-    || 'Description: "' || coalesce(b.description, '') || '"' || chr(10) || chr(10) || 'Source 2 - ' || coalesce(a.source_doc, 'unknown') || ':' || chr(10) || 'Description: "' || coalesce(a.description, '') || '"' AS prompt
-    FROM entities a JOIN entities b ON a.name = b.name AND a.type = b.type WHERE a.source_doc IS DISTINCT FROM b.source_doc
-    AND (coalesce(a.description, '') <> '' OR coalesce(b.description, '') <> '')""")
+_CLAIMS = """v AS (SELECT source_doc, min(vec_id) AS id FROM vec_points WHERE type = 'entity' AND len(embedding) = 64 GROUP BY 1),
+q AS (SELECT DISTINCT e.name, e.source_doc, CAST(x.embedding AS DOUBLE[]) AS ve FROM entities e JOIN v USING (source_doc) JOIN vec_points x ON x.vec_id = v.id WHERE e.name IS NOT NULL),
+pool AS (SELECT *, 10 AS most FROM vec_points WHERE type = 'claim' UNION ALL SELECT *, 8 FROM vec_points WHERE source_doc IS NOT NULL AND source_doc NOT IN (SELECT source_doc FROM vec_points WHERE type = 'claim' AND source_doc IS NOT NULL)),
+sc AS (SELECT q.name, q.source_doc, p.vec_id, most, list_dot_product(ve, CAST(embedding AS DOUBLE[])) / (sqrt(list_dot_product(ve, ve)) * sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) + 1E-8) AS score
+    FROM q JOIN pool p ON p.source_doc = q.source_doc AND len(p.embedding) = 64),
+rk AS (SELECT *, row_number() OVER (PARTITION BY name, source_doc ORDER BY round(score, 12) DESC, vec_id) AS rank FROM sc),
+cl AS (SELECT name, source_doc, string_agg('- text ' || vec_id, chr(10) ORDER BY rank) AS claims FROM rk WHERE rank <= most GROUP BY 1, 2)"""
+_CONFLICTS = """c AS (SELECT a.entity_id AS new_id, b.entity_id AS old_id, a.name, a.type, a.source_doc AS nd, b.source_doc AS od, coalesce(a.description, '') AS n, coalesce(b.description, '') AS o
+    FROM entities a JOIN entities b ON a.name = b.name AND a.type = b.type WHERE a.source_doc IS DISTINCT FROM b.source_doc AND (coalesce(a.description, '') <> '' OR coalesce(b.description, '') <> ''))"""
+
+
+def _entity_claims(s, d) -> DataFrame:
+    points = table(s, d, "vec_points").withColumn("text", F.concat(F.lit("text "), F.col("vec_id").cast("string")))
+    first = points.where("type = 'entity' AND size(embedding) = 64").groupBy("source_doc").agg(F.min_by("embedding", "vec_id").alias("vector"))
+    asked = table(s, d, "entities").where("name IS NOT NULL").select("name", "source_doc").distinct().join(first, "source_doc")
+    return reconcile.claims_for(asked, points)
+
+
+@query("h42_reconcile_prompt", f"""WITH {_CLAIMS}, {_CONFLICTS} SELECT new_id, old_id, 'Entity: ' || c.name || ' (type: ' || type || ')' || chr(10) || chr(10) || 'Source 1 - ' || coalesce(od, 'unknown') || ':' || chr(10)
+    || 'Description: "' || o || '"' || chr(10) || 'Relevant claims:' || chr(10) || coalesce(x.claims, '{reconcile.NO_CLAIMS}') || chr(10) || chr(10) || 'Source 2 - ' || coalesce(nd, 'unknown') || ':' || chr(10)
+    || 'Description: "' || n || '"' || chr(10) || 'Relevant claims:' || chr(10) || coalesce(y.claims, '{reconcile.NO_CLAIMS}') || chr(10) || chr(10) || '{reconcile.INSTRUCTION}' AS prompt
+    FROM c LEFT JOIN cl x ON x.name = c.name AND x.source_doc = od LEFT JOIN cl y ON y.name = c.name AND y.source_doc = nd""")
 def h42(s, d):
     e = table(s, d, "entities")
-    return reconcile.prompt(reconcile.candidates(e, e)).select("new_id", "old_id", "prompt")
+    return reconcile.prompt(reconcile.with_claims(reconcile.candidates(e, e), _entity_claims(s, d))).select("new_id", "old_id", "prompt")
+
+
+_VERDICT = f"""CASE WHEN n = '' THEN 'KEEP_DOC1' WHEN o = '' THEN 'KEEP_DOC2' WHEN len({_NUMS.format('n')}) > 0 AND len({_NUMS.format('o')}) > 0 AND {_NUMS.format('n')} <> {_NUMS.format('o')} THEN 'KEEP_DOC2' ELSE 'KEEP_BOTH' END"""
+
+
+@query("l7_reconcile", f"""WITH {_CONFLICTS}, j AS (SELECT *, {_VERDICT} AS v FROM c), l AS (SELECT name, type, od AS doc, min(nd) AS by_doc FROM j WHERE v = 'KEEP_DOC2' AND od IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT e.entity_id, round(CASE WHEN l.by_doc IS NULL THEN confidence ELSE confidence * 0.6E0 END, 6) AS confidence, l.by_doc AS superseded_by,
+    (SELECT count(*) FROM (SELECT DISTINCT name, nd, od FROM j WHERE v = 'KEEP_BOTH')) AS open_conflicts,
+    (SELECT count(*) FROM j WHERE v <> 'KEEP_BOTH' AND (CASE WHEN v = 'KEEP_DOC2' THEN nd ELSE od END) IS NOT NULL) AS wins
+    FROM entities e LEFT JOIN l ON l.name = e.name AND l.type = e.type AND l.doc = e.source_doc""")
+def l7(s, d):
+    e = table(s, d, "entities")
+    done = reconcile.reconcile(e, e, _entity_claims(s, d), providers.judge)
+    counts = done.edges.agg(F.count("*").alias("open_conflicts")).join(F.broadcast(done.reliability.agg(F.count(F.when(F.col("won"), 1)).alias("wins"))), F.lit(True))
+    return done.entities.select("entity_id", r6("confidence").alias("confidence"), "superseded_by").join(F.broadcast(counts), F.lit(True))
+
+
+_QUESTION = "Which metrology institute with a gradient"
+
+
+@query("l4_analyst_context", f"""WITH {_REL_EDGES}, {_COS}, one AS (SELECT s.*, v.source_doc FROM s JOIN vec_points v USING (vec_id) WHERE query_id = (SELECT min(query_id) FROM q)),
+ch AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, vec_id) AS rank FROM one), km AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, vec_id) AS rank FROM one WHERE type = 'claim'),
+w AS (SELECT * FROM (VALUES (0, 'metrology'), (1, 'institute'), (2, 'gradient')) AS v(n, word)),
+h AS (SELECT * FROM (SELECT w.n, w.word, e.entity_id, e.name, e.type, e.source_doc, e.confidence, row_number() OVER (PARTITION BY w.n
+    ORDER BY e.confidence DESC NULLS LAST, e.name, e.type, coalesce(e.domain, ''), e.entity_id) AS rn FROM w JOIN entities e ON contains(lower(e.name), w.word)) WHERE rn <= 5),
+x AS (SELECT h.*, coalesce(array_to_string(list_slice(list_sort(list(DISTINCT g.rel_type || ' -> ' || g.dst) FILTER (g.rel_type IS NOT NULL)), 1, 3), ', '), '') AS rels FROM h LEFT JOIN g ON g.src = h.name GROUP BY ALL)
+SELECT 1 AS section, '[' || coalesce(source_doc, 'unknown') || ' p.0 | score:' || printf('%.2f', score) || '] text ' || vec_id AS line FROM km WHERE rank <= 5
+UNION ALL SELECT 2, '[' || coalesce(source_doc, 'unknown') || ' p.0 | score:' || printf('%.2f', score) || '] text ' || vec_id FROM ch WHERE rank <= 5
+UNION ALL SELECT 3, '[' || type || '] ' || name || ' (from ' || coalesce(source_doc, 'unknown') || ', confidence:' || printf('%.1f', coalesce(confidence, 0)) || ') -> ' || rels FROM x
+UNION ALL SELECT 4, 'CONFLICT: ' || chr(39) || g.src || chr(39) || ' is described differently in ' || coalesce(a.source_doc, 'unknown') || ' vs ' || coalesce(b.source_doc, 'unknown')
+    FROM g JOIN entities a ON a.name = g.src JOIN entities b ON b.name = g.dst WHERE g.rel_type = 'DISPUTES'""")
+def l4(s, d):
+    points = table(s, d, "vec_points").select("*", F.lit(0).alias("page"), F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"))
+    first = _asked(s, d).orderBy("query_id").limit(1)  # one question
+    return retrieve.analyst(_QUESTION, first, points, table(s, d, "entities"), _rel_edges(s, d).where("rel_type IS NOT NULL"), 5, "DISPUTES").select("section", "line")
+
+
+@query("l3_conversation")
+def l3(s, d):
+    """Two turns of a conversation about the table's entities; the second names nothing and takes the first one's."""
+    nodes, points = table(s, d, "entities"), table(s, d, "vec_points").select("*", F.lit(0).alias("page"), F.lit("text").alias("text"))
+    links = _rel_edges(s, d).withColumn("edge_id", F.concat_ws("|", "src", "dst", "rel_type"))
+    top = links.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").head()
+    none = s.createDataFrame([], "alias_key string, canonical string, confidence double")
+    turns = s.createDataFrame([], "session_id bigint, turn int, question string, mentions array<string>, linked array<string>, answer string")
+    _, turns = retrieve.converse(f'What about "{top.src if top else "x"}"?', turns, 1, links, points, nodes, none)
+    _, turns = retrieve.converse("and its limits?", turns, 1, links, points, nodes, none)
+    return turns
+
+
+@query("l10_classify_domains", """WITH x AS (SELECT source_doc, max(coalesce(title, '')) AS title, max(coalesce(domain, '')) AS text, max(tier) AS tier FROM source_docs GROUP BY 1),
+k AS (SELECT source_doc, title, text, tier, substr(sha256(lower(trim(title)) || '::' || substr(lower(text), 1, 1200)), 1, 16) AS hash FROM x),
+m AS (SELECT k.source_doc, t.canonical, row_number() OVER (PARTITION BY k.source_doc ORDER BY t.canonical) AS r FROM k JOIN domain_taxonomy t ON contains(lower(k.title || ' ' || k.text), lower(t.canonical)))
+SELECT k.source_doc, CASE WHEN k.hash IN (SELECT hash FROM k WHERE tier = 1) THEN 'Law' ELSE coalesce(m.canonical, 'General') END AS domain,
+    CASE WHEN k.hash IN (SELECT hash FROM k WHERE tier = 1) THEN 0.95E0 WHEN m.canonical IS NULL THEN 0.7E0 ELSE 0.85E0 END AS confidence,
+    CASE WHEN k.hash IN (SELECT hash FROM k WHERE tier = 1) THEN 'cache' WHEN m.canonical IS NULL THEN 'model' ELSE 'fuzzy' END AS status FROM k LEFT JOIN m ON m.source_doc = k.source_doc AND m.r = 1""")
+def l10(s, d):
+    docs = table(s, d, "source_docs").groupBy(F.col("source_doc").alias("doc_id")).agg(F.max(F.coalesce("title", F.lit(""))).alias("title"), F.max(F.coalesce("domain", F.lit(""))).alias("text"), F.max("tier").alias("tier"))
+    names = sorted(r.canonical for r in table(s, d, "domain_taxonomy").select("canonical").collect())
+    cache = docs.where("tier = 1").select(exprs.doc_hash(F.trim("title"), "text").alias("doc_hash"), F.lit("Law").alias("domain"))
+    said = lambda df: df.withColumn("said", providers.classify_domain(F.col("title"), F.col("text"), names)).withColumn("said_confidence", F.lit(0.7))
+    out = ontology.classify_domains(docs.drop("tier"), _tree(s, d), cache, said, providers.infer_parent)
+    return out.labels.select(F.col("doc_id").alias("source_doc"), "domain", "confidence", "status")
+
+
+@query("l9_relations_with_model", f"""WITH t AS ({_TYPES_SQL}), y AS ({_SYN_SQL}), r AS (SELECT DISTINCT rel_id, relation, {_OKEY} AS k FROM relationships),
+m AS (SELECT k, arg_max(canonical, (length(canonical), canonical)) AS said FROM (SELECT DISTINCT k FROM r) x JOIN t ON contains(x.k, t.canonical) GROUP BY 1)
+SELECT r.rel_id, CASE WHEN coalesce(r.k, '') = '' THEN NULL WHEN t.canonical IS NOT NULL THEN t.canonical WHEN y.canonical IS NOT NULL THEN y.canonical ELSE coalesce(m.said, 'RELATED_TO') END AS canonical,
+    CASE WHEN coalesce(r.k, '') = '' THEN 'invalid' WHEN t.canonical IS NOT NULL THEN 'exact' WHEN y.canonical IS NOT NULL THEN 'synonym' WHEN m.said IS NOT NULL THEN 'model' ELSE 'fallback' END AS method
+FROM r LEFT JOIN t ON r.k = t.canonical LEFT JOIN y ON r.k = y.raw LEFT JOIN m ON m.k = r.k""")
+def l9(s, d):
+    types = [t for ts in ontology.CATEGORIES.values() for t in ts]
+    rows = table(s, d, "relationships").select("rel_id", "relation").distinct()
+    return ontology.resolve_with_model(rows, lambda unknown: providers.classify_relations(unknown, types)).select("rel_id", "canonical", "method")
+
+
+@query("k5_proposals", lambda: _fallback() + r"""SELECT k AS key, upper(regexp_replace(k, '[^a-zA-Z0-9]+', '_', 'g')) AS suggested_canonical, 'SEMANTIC' AS suggested_category FROM z WHERE status = 'pending_review'""")
+def k5(s, d):
+    return providers.propose_types(_friction(s, d)).select("key", "suggested_canonical", "suggested_category")
+
+
+@query("l11_merge_duplicates")
+def l11(s, d):
+    e = table(s, d, "entities")
+    out = ingest.merge_duplicates(e, _rel_edges(s, d), _ent_aliases(s, d), memory.hydrate(e), dry_run=False)
+    return out.nodes.select("name", "type", r6("confidence").alias("confidence"), "merged")
 
 
 @query("h40_format_hits", "SELECT vec_id, '[C' || CAST(vec_id % 9 + 1 AS VARCHAR) || '] (' || source_doc || ', p.0): ' || coalesce(domain, '-') AS line FROM vec_points WHERE source_doc IS NOT NULL")

@@ -58,12 +58,41 @@ def extract(chunk: str) -> dict[str, list]:
             "relationships": [{"from": a, "to": b, "relation": "RELATED_TO"} for a, b in zip(names, names[1:])], "claims": claims}
 
 
-def mentions(question: str) -> list[str]:
-    """The stand-in mention extractor: capitalised words and quoted parts."""
+def mentions(question: str, context: str = "") -> list[str]:
+    """The stand-in mention extractor: capitalised words and quoted parts; the context of earlier questions is for real ones."""
     found = re.findall(r"\"([^\"]+)\"|((?:[A-Z][\w-]*)(?: [A-Z][\w-]*)*)", question or "")
     return [a or b for a, b in found if (a or b).lower() not in {"what", "who", "why", "how", "when", "where", "does", "is", "the", "which"}]
 
 
+def answer(question: str, context: str) -> str:
+    """The stand-in answerer: the first lines of the context that share a long word with the question, else its first line."""
+    words = {w for w in re.findall(r"\w{5,}", question.lower())}
+    lines = [x for x in context.split("\n") if x]
+    hits = [x for x in lines if words & set(re.findall(r"\w{5,}", x.lower()))]
+    return "\n".join((hits or lines)[:3])
+
+
+def classify_relations(unknown: DataFrame, types: list[str]) -> DataFrame:
+    """The stand-in relation classifier: of ``key`` the longest known type that stands in it, at 0.6; ``canonical`` is null where none does."""
+    out = F.lit(None).cast("string")
+    for t in sorted(types, key=lambda t: (len(t), t), reverse=False):
+        out = F.when(F.contains(F.col("key"), F.lit(t)), t).otherwise(out)
+    return unknown.withColumn("canonical", out).withColumn("confidence", F.lit(0.6))
+
+
+def propose_types(friction: DataFrame) -> DataFrame:
+    """The stand-in proposal for patterns that await review: the pattern itself as a new semantic type."""
+    waits = friction.where("status = 'pending_review'")
+    return waits.select("key", F.upper(F.regexp_replace("key", r"[^a-zA-Z0-9]+", "_")).alias("suggested_canonical"), F.lit("SEMANTIC").alias("suggested_category"),
+                        F.lit(0.5).alias("suggestion_confidence"))
+
+
+def infer_parent(name: str, known: list[str]) -> str | None:
+    """The stand-in for placing a domain: the known domain, of the first thirty, with which it shares a long word."""
+    words = set(re.findall(r"\w{4,}", name.lower()))
+    return next((k for k in known[:30] if words & set(re.findall(r"\w{4,}", k.lower()))), None)
+
+
 def referee(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The stand-in referee: adds ``accepted`` and ``score`` by edit distance relative to length; accepts over 0.8."""
     score = 1 - F.levenshtein(F.lower(a), F.lower(b)) / F.greatest(F.length(a), F.length(b))

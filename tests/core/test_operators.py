@@ -43,6 +43,20 @@ def test_trails_against_brute_force(spark):
     assert graph.neighbors(spark.createDataFrame(rows, EDGES), spark.createDataFrame([("a",)], "anchor string"), 9).agg(F.max("hops")).head()[0] == 3
 
 
+def test_pruned_trails_give_the_same_best(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(str(i), f"n{rng.randrange(12)}", f"n{rng.randrange(12)}", rng.choice("XYZ"), rng.choice([.3, .5, .8, .8, 1.0])) for i in range(60)]
+    edges, anchors = spark.createDataFrame(rows, EDGES), spark.createDataFrame([("n0",), ("n5",)], "anchor string")
+    shown = lambda df: sorted((r.anchor, r.related, ">".join(r.chain), round(r.score, 9), r.hops) for r in df.collect())
+    for n in (1, 7, 40):
+        whole = graph.neighbors(edges, anchors, 3, .4)
+        assert shown(graph.top_paths(graph.neighbors(edges, anchors, 3, .4, trails=n), n)) == shown(graph.top_paths(whole, n))
+        facts = graph.best_paths(graph.neighbors(edges, anchors, 3, .4, facts=n))
+        assert shown(graph.top_facts(facts, n)) == shown(graph.top_facts(graph.best_paths(whole), n))
+
+
 def test_upserts(spark):
     schema = "name string, type string, domain string, confidence double, source_doc string"
     old = spark.createDataFrame([("n", "T", None, .5, "d1"), ("m", "T", "L", .99, "d1")], schema)
@@ -102,6 +116,7 @@ def test_vectors(spark, monkeypatch):
     many = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], "query_id long, embedding array<double>")
     whole = sorted(map(tuple, vector.topk(pts, many, 2).collect()))
     monkeypatch.setattr(vector, "MOST_QUERIES", 20)
+    monkeypatch.setattr(vector, "CELL", 3)
     assert sorted(map(tuple, vector.topk(pts, many, 2).collect())) == whole and len(whole) == 100
     assert vector.topk(pts, q, 3, least=1.0, strict=True).count() == 0 and vector.topk(pts, q.limit(0), 3).count() == 0
 
@@ -176,7 +191,19 @@ def test_reconcile(spark):
     judged = providers.judge(found).withColumn("seq", F.lit(1))
     assert tuple(reconcile.outcomes(judged).head()) == (1, 1, 0, 0)
     assert {(r.source_doc, r.won) for r in reconcile.reliability_events(judged).collect()} == {("d2", True), ("d1", False)}
-    assert "Source 2 - d2" in reconcile.prompt(found).head().prompt
+    points = spark.createDataFrame([(1, "d1", "claim", [1.0, 0.0], "one"), (2, "d1", "claim", [0.0, 1.0], "two"), (3, "d2", "chunk", [1.0, 1.0], "three")],
+                                   "vec_id long, source_doc string, type string, embedding array<double>, text string")
+    asked = spark.createDataFrame([("A", "d1", [0.1, 1.0]), ("A", "d2", [1.0, 0.0])], "name string, source_doc string, vector array<double>")
+    claims = reconcile.claims_for(asked, points)
+    assert {(r.source_doc, r.claims) for r in claims.collect()} == {("d1", "- two\n- one"), ("d2", "- three")}
+    done = reconcile.reconcile(new, old.withColumn("confidence", F.lit(.5)), claims, providers.judge)
+    assert "Source 2 - d2" in done.verdicts.head().prompt and "- two\n- one" in done.verdicts.head().prompt
+    assert {(r.entity_id, round(r.confidence, 6), r.superseded_by) for r in done.entities.collect()} == {(1, .3, "d2"), (2, .5, None), (3, .5, None)}
+    assert done.edges.count() == 0 and done.summary.head().resolved == 1
+    unsure = reconcile.reconcile(new, old.withColumn("confidence", F.lit(.5)), claims, lambda df: df.withColumn("verdict", F.lit(None).cast("string")))
+    assert unsure.edges.count() == 1 and unsure.summary.head().unverified == 1
+    nothing = reconcile.reconcile(new.limit(0), old.withColumn("confidence", F.lit(.5)), claims, providers.judge)
+    assert nothing.verdicts.count() == 0 and nothing.entities.count() == 3
 
 
 def test_curation(spark):
@@ -228,10 +255,84 @@ def test_ingest_and_ask(spark):
     after, links, report = ingest.ingest(known, nodes, edges, aliases)
     got = {r.name: round(r.confidence, 6) for r in after.collect()}
     assert got["Deep Learning"] == .55 and len(got) == 3 and links.count() == 2 and report.head().unwritten_rate == 0
-    broken = ingest.extracted(known.chunks, lambda text: 1 / 0)
-    assert broken.count() == 0
+    broken = ingest.extracted(known.chunks, lambda text: 1 / 0, providers.Retry(attempts=2, base=0.0))
+    assert {(r.kind, r.text) for r in broken.collect()} == {("failed", "division by zero")} and known.failed.count() == 0
     graph_edges = spark.createDataFrame([("e", "Deep Learning", "Neural Networks", "USES", .9)], EDGES)
     points = spark.createDataFrame([(1, providers.hashed_vector("deep learning"), "a.pdf", 1, "text")], "vec_id long, embedding array<double>, source_doc string, page int, text string")
     found, lines = retrieve.ask("What is Deep Learning?", graph_edges, points, nodes, aliases)
     assert found == ["Deep Learning"] and any("Neural Networks" in r.line for r in lines.collect())
     assert retrieve.ask("and its limits?", graph_edges, points, nodes, aliases, ["Deep Learning"])[0] == ["Deep Learning"]
+
+
+def test_conversation_carries_what_was_linked(spark):
+    edges = spark.createDataFrame([("e", "Deep Learning", "Neural Networks", "USES", .9)], EDGES)
+    nodes = spark.createDataFrame([(1, "Deep Learning", "CONCEPT", .5), (2, "Neural Networks", "CONCEPT", .5)], "entity_id long, name string, type string, confidence double")
+    points = spark.createDataFrame([], "vec_id long, embedding array<double>, source_doc string, page int, text string")
+    aliases = spark.createDataFrame([("dl", "Deep Learning", .9)], "alias_key string, canonical string, confidence double")
+    turns = spark.createDataFrame([], "session_id bigint, turn int, question string, mentions array<string>, linked array<string>, answer string")
+    answer, turns = retrieve.converse("What is DL?", turns, 7, edges, points, nodes, aliases)
+    assert "Neural Networks" in answer
+    answer, turns = retrieve.converse("and its limits?", turns, 7, edges, points, nodes, aliases)
+    rows = sorted(turns.collect(), key=lambda r: r.turn)
+    assert [(r.turn, r.mentions, r.linked) for r in rows] == [(1, ["DL"], ["Deep Learning"]), (2, ["Deep Learning"], ["Deep Learning"])]
+    answer, turns = retrieve.converse("and now?", turns, 8, edges, points, nodes, aliases)
+    assert answer == retrieve.REFUSAL and turns.count() == 3
+
+
+def test_analyst_leaves_empty_sections_out(spark):
+    points = spark.createDataFrame([(1, [1.0, 0.0], "claim", "d", 3, "c" * 400), (2, [0.0, 1.0], "chunk", "d", 4, "p" * 400)],
+                                   "vec_id long, embedding array<double>, type string, source_doc string, page int, text string")
+    ents = spark.createDataFrame([(1, "Metrology Board", "ORG", None, "d", .5)], "entity_id long, name string, type string, domain string, source_doc string, confidence double")
+    edges = spark.createDataFrame([], EDGES)
+    vector_of = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>")
+    lines = retrieve.analyst("Who runs metrology today?", vector_of, points, ents, edges)
+    rows = lines.collect()
+    assert {r.section for r in rows} == {1, 2, 3} and max(len(r.line) for r in rows if r.section == 2) < 340
+    assert "Metrology" in retrieve.analyst_answer("Who runs metrology?", lines)
+    assert retrieve.analyst_answer("x", lines.limit(0)) == retrieve.REFUSAL
+
+
+def test_domains_of_documents(spark):
+    tree = spark.createDataFrame([("Law", None, 2), ("Privacy Law", "Law", 1)], "name string, parent string, times_seen bigint")
+    docs = spark.createDataFrame([(1, "a", "t1"), (2, "b", "t2"), (3, "c", "t3"), (4, "d", "t4"), (5, "a", "t1")], "doc_id int, title string, text string")
+    from lodestrata.functions.exprs import doc_hash
+    cache = docs.where("doc_id = 1").select(doc_hash("title", "text").alias("doc_hash"), F.lit("Law").alias("domain"))
+    say = lambda df: df.withColumn("said", F.when(F.col("doc_id") == 2, "privacy laws").when(F.col("doc_id") == 3, "tax law")).withColumn("said_confidence", F.lit(.6))
+    out = ontology.classify_domains(docs, tree, cache, say, providers.infer_parent)
+    got = {r.doc_id: (r.domain, r.confidence, r.status) for r in out.labels.collect()}
+    assert got == {1: ("Law", .95, "cache"), 5: ("Law", .95, "cache"), 2: ("Privacy Law", .85, "fuzzy"), 3: ("Tax Law", .6, "model"), 4: ("General", .3, "fallback")}
+    assert {(r.name, r.times_seen) for r in out.tree.collect()} == {("Law", 4), ("Privacy Law", 2), ("Tax Law", 1)} and out.cache.count() == 3
+
+
+def test_merging_duplicates(spark):
+    e = spark.createDataFrame([(1, "ML", "T", None, .5), (2, "Machine Learning", "T", None, .9), (3, "Law", "T", None, .4)], "entity_id long, name string, type string, domain string, confidence double")
+    edges = spark.createDataFrame([("ML", "Law", "R", .4)], "src string, dst string, rel_type string, confidence double")
+    aliases = spark.createDataFrame([("law", "Law", .9)], "alias_key string, canonical string, confidence double")
+    kept = memory.hydrate(e.withColumn("description", F.lit(None).cast("string")))
+    dry = ingest.merge_duplicates(e, edges, aliases, kept)
+    assert dry.nodes.count() == 3 and {r.canonical for r in dry.groups.collect()} == {"Machine Learning"}
+    out = ingest.merge_duplicates(e, edges, aliases, kept, dry_run=False)
+    assert {(r.name, r.confidence) for r in out.nodes.collect()} == {("Machine Learning", .9), ("Law", .4)}
+    assert out.edges.head().src == "Machine Learning" and {(r.alias_key, r.canonical) for r in out.aliases.collect()} == {("law", "Law"), ("ml", "Machine Learning")}
+    assert {(r.key, r.occurrences) for r in out.memory.collect()} == {("T::machine learning", 2), ("T::law", 1)}
+
+
+def test_model_step_of_relations(spark):
+    rows = spark.createDataFrame([(1, "strongly supports"), (2, "cites"), (3, "uses"), (4, None)], "rel_id int, relation string")
+    types = [t for ts in ontology.CATEGORIES.values() for t in ts]
+    got = {r.rel_id: (r.canonical, r.method) for r in ontology.resolve_with_model(rows, lambda u: providers.classify_relations(u, types)).collect()}
+    assert got == {1: ("SUPPORTS", "model"), 2: ("RELATED_TO", "fallback"), 3: ("USES", "exact"), 4: (None, "invalid")}
+
+
+def test_pairs_of_crowded_chunks_and_frequent_keys(spark):
+    rows = [("big", f"k{i}", "d1") for i in range(30)] + [("big2", f"k{i}", "d2") for i in range(0, 30, 3)] + [(f"c{i}", "k0", "d1") for i in range(40)] + [("c1", "k3", "d1"), (None, "k1", "d")]
+    df = spark.createDataFrame(rows, "chunk_id string, key string, source_doc string")
+    want = {}
+    for c in {r[0] for r in rows if r[0]}:
+        keys = sorted({k for x, k, _ in rows if x == c})
+        for i, a in enumerate(keys):
+            for b in keys[i + 1:]:
+                want[a, b] = want.get((a, b), 0) + 1
+    for crowd in (5, 200):
+        assert {(r.key_a, r.key_b): r["count"] for r in memory.pair_counts(df, crowd=crowd).collect()} == want
+    assert {(r.key_a, r.key_b): r["count"] for r in memory.pair_counts(df, 2).collect()} == {p: n for p, n in want.items() if n > 1}

@@ -80,3 +80,43 @@ def test_points(spark):
     assert vector.reinsert(once, pts.where("vec_id = 1")).count() == 3
     last = vector.latest_by_key(spark.createDataFrame([("k", 1), ("k", 2)], "k string, t int"), [F.col("k")], [F.desc("t")])
     assert [r.t for r in last.collect()] == [2] and json.dumps([]) == "[]"
+
+
+def test_pipeline_routes_files_and_tries_again(spark, tmp_path):
+    from lodestrata.providers import Retry
+    from lodestrata.streaming import pipeline
+
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    for name, body in (("a.pdf", b"one page"), ("copy.pdf", b"one page"), ("broken.pdf", b"broken")):
+        (inbox / name).write_bytes(body)
+    tried, taken = [], []
+
+    def parser(name, content):
+        if content == b"broken":
+            raise ValueError("unreadable")
+        return store.plain_parser(name, content)
+
+    def extract(documents):
+        tried.append(1)
+        if len(tried) < 3:
+            raise RuntimeError("connection reset")
+        return documents
+
+    def reconcile(known):
+        raise RuntimeError("no judge")
+
+    folders = {x: str(tmp_path / x) for x in ("state", "checkpoint", "processed", "quarantine")}
+
+    def start(ingest):
+        pipeline.run(spark, str(inbox), **folders, extract=extract, ingest=ingest, reconcile=reconcile, stage=lambda files: store.parse_documents(files, parser),
+                     again=Retry(attempts=3, base=0.0)).awaitTermination()
+        return {r.filename: r.status for r in store.read_state(spark, folders["state"], REGISTRY).collect()}
+
+    seen = start(lambda known: taken.extend(r.filename for r in known.collect()))
+    assert seen == {"a.pdf": "processed", "copy.pdf": "duplicate", "broken.pdf": "failed"} and taken == ["a.pdf"] and len(tried) == 3
+    files = lambda x: sorted(p.name for p in (tmp_path / x).iterdir() if not p.name.startswith("."))
+    assert files("processed") == ["a.pdf", "copy.pdf"] and files("quarantine") == ["broken.pdf"] and files("inbox") == []
+    (inbox / "late.pdf").write_bytes(b"new page")
+    seen = start(lambda known: 1 / 0)
+    assert seen["late.pdf"] == "failed" and files("inbox") == ["late.pdf"]
