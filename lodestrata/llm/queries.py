@@ -81,20 +81,24 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.close_pairs(neighbours.nearest(points, 10, least=0.90, relax=6.0))
 
 
+def _shown(found: DataFrame) -> DataFrame:
+    return found.withColumn("cosine", F.round("cosine", 6)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar points of every usable point, whatever their cosine."""
-    return neighbours.nearest(table(spark, sf_dir, "vec_points"), 10, relax=8.0)
+    return _shown(neighbours.nearest(table(spark, sf_dir, "vec_points"), 10, relax=8.0))
 
 
 def p5_neighbours_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same within a domain, for the query set of ids divisible by 20."""
     points = table(spark, sf_dir, "vec_points").withColumn("domain", F.lower("domain"))
-    return neighbours.nearest(points, 10, group_cols=("type", "domain"), relax=8.0, queries=F.col("vec_id") % 20 == 0)
+    return _shown(neighbours.nearest(points, 10, group_cols=("type", "domain"), relax=8.0, queries=F.col("vec_id") % 20 == 0))
 
 
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of entities in five or more common chunks, of a cosine of a half or more, with their lift."""
-    return cooccurrence.pair_counts(table(spark, sf_dir, "mentions"), "chunk_id", cooccurrence.entity_key(), 5, 0.5)
+    return cooccurrence.pair_counts(table(spark, sf_dir, "mentions"), "chunk_id", cooccurrence.entity_key(), 5, 0.5).withColumn("lift", F.round("lift", 6))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +148,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.shared_part(p10_found(spark, sf_dir), table(spark, sf_dir, "documents"))
+    shares = spans.shared_part(p10_found(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return shares.withColumn("n_chars", F.col("n_chars").cast("bigint")).withColumn("share", F.round("share", 6))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -181,19 +186,34 @@ p AS (SELECT a.k AS key_a, b.k AS key_b, count(*) AS n_ab FROM m a JOIN m b ON a
       GROUP BY 1, 2 HAVING count(*) >= 5)
 """
 
+_P10 = """WITH w AS (SELECT doc_id, unnest(range(0, length(text) - 199)) AS i, text FROM documents WHERE length(text) >= 200),
+    s AS (SELECT doc_id, i, md5(substr(text, i + 1, 200)) AS h FROM w),
+    b AS (SELECT h FROM s GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+    c AS (SELECT DISTINCT doc_id, i FROM s SEMI JOIN b USING (h)),
+    g AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM c),
+    k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM g),
+    f AS (SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM k GROUP BY doc_id, grp)
+"""
+
 SQL: dict[str, str] = {
     "p5_found": """WITH p AS (SELECT vec_id, type, CAST(embedding AS DOUBLE[64]) AS v FROM vec_points
         WHERE type IS NOT NULL AND len(embedding) = 64 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0),
     n AS (SELECT a.vec_id AS a, b.vec_id AS b, array_cosine_similarity(a.v, b.v) AS c FROM p a JOIN p b ON a.type = b.type AND a.vec_id <> b.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rn FROM n)
     SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE rn <= 10 AND c >= 0.90""",
-    "p10_found": """WITH w AS (SELECT doc_id, unnest(range(0, length(text) - 199)) AS i, text FROM documents WHERE length(text) >= 200),
-    s AS (SELECT doc_id, i, md5(substr(text, i + 1, 200)) AS h FROM w),
-    b AS (SELECT h FROM s GROUP BY h HAVING min(doc_id) <> max(doc_id)),
-    c AS (SELECT DISTINCT doc_id, i FROM s SEMI JOIN b USING (h)),
-    g AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM c),
-    k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM g)
-    SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM k GROUP BY doc_id, grp""",
+    "p10_found": _P10 + "SELECT * FROM f",
+    "p10_shares": _P10 + """SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, CAST(coalesce(x.n, 0) AS BIGINT) AS shared_chars,
+        round(CASE WHEN length(text) > 0 THEN coalesce(x.n, 0) * 1E0 / length(text) ELSE 0E0 END, 6) AS share
+        FROM documents d LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS n FROM f GROUP BY 1) x USING (doc_id)""",
+    "p5_neighbours_domain": """WITH p AS (SELECT vec_id, type, lower(domain) AS domain, CAST(embedding AS DOUBLE[64]) AS v FROM vec_points
+        WHERE type IS NOT NULL AND domain IS NOT NULL AND len(embedding) = 64 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0),
+    n AS (SELECT a.vec_id AS id, b.vec_id AS other, array_cosine_similarity(a.v, b.v) AS c FROM p a JOIN p b ON a.type = b.type AND a.domain = b.domain AND a.vec_id <> b.vec_id
+        WHERE a.vec_id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(c, 12) DESC, other) AS rn FROM n)
+    SELECT id, other, round(c, 6) AS cosine, rn AS rank FROM r WHERE rn <= 10""",
+    "p6_pairs": _P6 + """SELECT key_a, key_b, n_ab, x.n AS n_a, y.n AS n_b, (SELECT count(DISTINCT chunk_id) FROM m) AS baskets,
+        round(n_ab * (SELECT count(DISTINCT chunk_id) FROM m) / (CAST(x.n AS DOUBLE) * y.n), 6) AS lift
+        FROM p JOIN n x ON x.k = key_a JOIN n y ON y.k = key_b WHERE 4 * n_ab * n_ab >= x.n * y.n""",
     "p6_found": _P6 + """SELECT key_a, key_b FROM p JOIN n x ON x.k = key_a JOIN n y ON y.k = key_b
         WHERE 4 * n_ab * n_ab >= x.n * y.n""",
 }
