@@ -103,3 +103,23 @@ def write_digest(lines: DataFrame, path: str) -> None:
     """The digest as one text file in a folder; it is a page long."""
     order = F.array_position(F.array(*[F.lit(p) for p in ("statistics", "sources", "conflicts", "stale", "top", "unlinked", "types")]), F.col("part"))
     lines.coalesce(1).sortWithinPartitions(order, "rank", "line").select("line").write.mode("overwrite").text(path)
+
+
+def written_digest(lines: DataFrame, writers: list) -> str:
+    """The digest as text by the first writer (a function of the lines as one text) that answers; without one the lines themselves.
+
+    The lines of a digest are top lists and counts but for its sources, conflicts and stale nodes, of which ``MOST_LINES`` a part are shown.
+    """
+    order = Window.partitionBy("part").orderBy("rank", "line")
+    shown = lines.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= MOST_LINES)
+    text = "\n".join(f"{r.part}: {r.line}" for r in shown.orderBy("part", "__n").collect())
+    for write in writers:
+        try:
+            return write(text)
+        except Exception as e:
+            print(f"a digest writer failed: {e}")
+    return text
+
+
+#: Lines of one part of a written digest.
+MOST_LINES = 200

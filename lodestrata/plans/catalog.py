@@ -1022,12 +1022,18 @@ def a10(s, d):
 
 # ------------------------------------------------------------------ resolution, reconciliation, retrieval
 
-@query("c3_c16_link_mentions", """WITH e AS (SELECT name, arg_max(type, coalesce(confidence, -1) * 1E9 - entity_id) AS type FROM entities WHERE name IS NOT NULL GROUP BY 1)
-SELECT m.mention_id, e.name AS entity, 'exact' AS link_source FROM (SELECT DISTINCT mention_id, name FROM mentions WHERE name IS NOT NULL) m JOIN e ON m.name = e.name WHERE e.type IS NOT NULL""")
+_NAME_KEY = r"regexp_replace(regexp_replace(lower(trim({0})), '\s+', ' ', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', '', 'g')"
+
+
+@query("c3_c16_link_mentions", f"""WITH e AS (SELECT name, arg_max(type, coalesce(confidence, -1) * 1E9 - entity_id) AS type FROM entities WHERE name IS NOT NULL GROUP BY 1),
+a AS (SELECT lower(trim(name)) AS k, max(confidence) AS c, min(name) AS canonical FROM entities WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
+t AS (SELECT m.mention_id, m.name, a.canonical, a.c, coalesce(a.canonical, m.name) AS target FROM (SELECT DISTINCT mention_id, name FROM mentions WHERE name IS NOT NULL) m LEFT JOIN a ON {_NAME_KEY.format('m.name')} = a.k)
+SELECT t.mention_id, e.name AS entity, round(CASE WHEN canonical IS NULL THEN 1E0 ELSE coalesce(c, 1E0) END, 6) AS link_confidence, CASE WHEN canonical IS NULL THEN 'exact' ELSE 'alias' END AS link_source
+FROM t JOIN e ON t.target = e.name WHERE e.type IS NOT NULL""")
 def c16(s, d):
     asked = table(s, d, "mentions").where("name IS NOT NULL").select("mention_id", F.col("name").alias("mention")).distinct()
-    none = s.createDataFrame([], "alias_key string, canonical string, confidence double")
-    return resolve.link_mentions(asked, table(s, d, "entities"), none).select("mention_id", "entity", "link_source")
+    aliases = _ent_aliases(s, d).where("times_seen > 1")
+    return resolve.link_mentions(asked, table(s, d, "entities"), aliases).select("mention_id", "entity", r6("link_confidence").alias("link_confidence"), "link_source")
 
 
 @query("c10_acronym_pairs", f"""WITH p AS ({_PARTS}, entity_id, type, domain FROM entities WHERE name IS NOT NULL) SELECT a.entity_id AS new_id, b.entity_id FROM p a JOIN p b ON a.type = b.type
@@ -1039,10 +1045,10 @@ def c10(s, d):
 
 @query("l5_resolution_cascade")
 def l5(s, d):
+    """All entities against all: aliases seen three times or more, then the other stages; the typo stage asks the referee."""
     e = table(s, d, "entities").where("name IS NOT NULL AND type IS NOT NULL")
-    new = e.where("entity_id % 2 = 0").withColumnRenamed("entity_id", "new_id")
-    none = s.createDataFrame([], "alias_key string, canonical string, confidence double")
-    out = resolve.resolve(new, e.where("entity_id % 2 = 1"), none, confirm=providers.referee)
+    aliases = _ent_aliases(s, d).where("times_seen > 2")
+    out = resolve.resolve(e.withColumnRenamed("entity_id", "new_id"), e, aliases, confirm=providers.referee)
     return out.select("new_id", "canonical", r6("confidence").alias("confidence"), "method")
 
 

@@ -23,15 +23,29 @@ def load_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(held).option("columnNameOfCorruptRecord", "_broken").json(path).where("_broken IS NULL").drop("_broken")
 
 
-def save_state(df: DataFrame, path: str) -> str:
-    """Writes a new version of a table and then points to it; readers see the old one or the new one. Returns the version's folder."""
+def save_state(df: DataFrame, path: str, keep: int = 3) -> str:
+    """Writes a new version of a table and then points to it; readers see the old one or the new one. Returns the version's folder.
+
+    The last ``keep`` versions stay.
+    """
     version = f"{path}/v-{uuid.uuid4().hex}"
     df.write.parquet(version)
     pointer = df.sparkSession.createDataFrame([(version,)], "current string")
     pointer.coalesce(1).write.mode("overwrite").json(f"{path}/_current")
+    _drop_old(df.sparkSession, path, version, keep)
     return version
 
 
+def _drop_old(spark: SparkSession, path: str, current: str, keep: int) -> None:
+    """Removes all versions but the current one and the ``keep - 1`` written last before it, which a reader may still hold."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = [s for s in fs.listStatus(folder) if s.getPath().getName().startswith("v-") and s.getPath().getName() != current.rsplit("/", 1)[-1]]
+    for s in sorted(held, key=lambda s: s.getModificationTime(), reverse=True)[max(0, keep - 1):]:
+        fs.delete(s.getPath(), True)
+
+
 def read_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The current version of a table, or an empty one."""
     if not path_exists(spark, f"{path}/_current"):

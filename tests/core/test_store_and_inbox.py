@@ -120,3 +120,26 @@ def test_pipeline_routes_files_and_tries_again(spark, tmp_path):
     (inbox / "late.pdf").write_bytes(b"new page")
     seen = start(lambda known: 1 / 0)
     assert seen["late.pdf"] == "failed" and files("inbox") == ["late.pdf"]
+
+
+def test_tables_are_created_checked_and_old_versions_go(spark, tmp_path):
+    from lodestrata.sources import tables
+
+    folder = str(tmp_path)
+    assert set(tables.create(spark, folder)) == set(tables.TABLES) and tables.create(spark, folder) == []
+    rows = spark.createDataFrame([("a", "m", "processed", None, None), ("a", "m", "failed", None, None), (None, "m", "failed", None, None)], REGISTRY)
+    for _ in range(5):
+        store.save_state(rows, f"{folder}/registry")
+    assert len([p for p in (tmp_path / "registry").iterdir() if p.name.startswith("v-")]) == 3
+    assert [tuple(r) for r in tables.violations(rows, ("filename",)).collect()] == [("a", 2)]
+    (tmp_path / "points" / "_current").rename(tmp_path / "points" / "gone")
+    seen = {r.name: (r.ok, r.rows) for r in tables.health(spark, folder).collect()}
+    assert seen["registry"] == (True, 3) and seen["points"] == (False, 0) and seen["edges"] == (True, 0)
+
+
+def test_a_digest_writer_that_fails_is_followed_by_the_next(spark):
+    from lodestrata.operators import curate
+
+    lines = spark.createDataFrame([("top", "0002", "b"), ("top", "0001", "a"), ("types", "x", "c")], "part string, rank string, line string")
+    assert curate.written_digest(lines, [lambda text: 1 / 0, str.upper]) == "TOP: A\nTOP: B\nTYPES: C"
+    assert curate.written_digest(lines, []) == "top: a\ntop: b\ntypes: c"
