@@ -37,18 +37,36 @@ def strip_honorific(c):
     return F.trim(F.regexp_replace(F.lower(F.trim(F.col(c))), pattern, ""))
 
 
+def _contained_keys(held: DataFrame, key: str, text: str, others: DataFrame) -> DataFrame:
+    """``key, type, w``: words by which a name that another holds meets it.
+
+    The words between the first and the last of a name that is held stand whole in the other, so the rarest of them (``others``: ``type, w``, words of the other side) is enough; a
+    name without such words goes by all it has.
+    """
+    words = F.filter(F.split(F.col(text), _NO_WORD), lambda w: w != "")
+    long = lambda c: F.array_distinct(F.filter(c, lambda w: F.length(w) > 2))
+    rows = held.select(key, "type", words.alias("__all")).withColumn("__inner", long(F.slice("__all", 2, F.greatest(F.size("__all") - 2, F.lit(0)))))
+    often = others.groupBy("type", "w").agg(F.count("*").alias("__n"))
+    rare = rows.select(key, "type", F.explode("__inner").alias("w")).join(often, ["type", "w"]).groupBy(key, "type").agg(F.min_by("w", F.struct("__n", "w")).alias("w"))
+    return rare.unionByName(rows.where(F.size("__inner") == 0).select(key, "type", F.explode(long(F.col("__all"))).alias("w")))
+
+
+_NO_WORD = r"[^\p{L}\p{N}]+"
+
+
 def substring_match(new: DataFrame, entities: DataFrame, exclude_self: bool = False) -> DataFrame:
     """The first entity of the same type whose name holds the new name or is held in it, by confidence.
 
-    Contained names share a word: names are joined on words and the containment is then checked, so that no pair without a common word is met.
-    A name inside a longer word is not found.
+    Contained names share a word of three letters or more: the one that is held is joined by its rarest inner word with all words of the others, and the containment is
+    then checked. A name inside a longer word is not found.
     """
     a = new.select("new_id", F.col("name").alias("new_name"), "type", strip_honorific("name").alias("n"))
     b = entities.where("name IS NOT NULL").select("entity_id", F.col("name").alias("match"), "type", F.lower("name").alias("m"), "confidence")
-    words = lambda c: F.array_distinct(F.filter(F.split(F.col(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2))
-    left = a.withColumn("w", F.explode(words("n")))
-    right = b.withColumn("w", F.explode(words("m")))
-    hits = left.join(right, ["type", "w"]).where(F.col("m").contains(F.col("n")) | F.col("n").contains(F.col("m")))
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.col(c), _NO_WORD), lambda w: F.length(w) > 2))).alias("w")
+    left, right = a.select("new_id", "type", words("n")), b.select("entity_id", "type", words("m"))
+    pairs = _contained_keys(a, "new_id", "n", right).join(right, ["type", "w"]).select("new_id", "entity_id").unionByName(
+        _contained_keys(b, "entity_id", "m", left).join(left, ["type", "w"]).select("new_id", "entity_id")).distinct()
+    hits = pairs.join(a, "new_id").join(b.drop("type"), "entity_id").where(F.col("m").contains(F.col("n")) | F.col("n").contains(F.col("m")))
     if exclude_self:
         hits = hits.where("new_id <> entity_id")
     hits = hits.select("new_id", "new_name", "type", "entity_id", "match", "confidence").distinct()

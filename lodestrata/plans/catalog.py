@@ -507,7 +507,9 @@ def h19(s, d):
     return _texts(s, d).select("a", "b", exprs.acronym_token("a").alias("token"), exprs.acronym_match("a", "b").alias("matched"))
 
 
-@query("h22_h25_folded_names")
+@query("h22_h25_folded_names", r"""SELECT entity_id, lower(strip_accents(replace(trim(regexp_replace(name, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{b}]+', ' ', 'g')), '™', 'TM'))) AS key,
+    array_to_string(list_transform(regexp_extract_all(trim(regexp_replace(domain, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{b}]+', ' ', 'g')), '\p{L}+|[^\p{L}]+'), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '') AS domain
+    FROM entities WHERE name IS NOT NULL""")
 def h22(s, d):
     rows = table(s, d, "entities").where("name IS NOT NULL")
     return rows.select("entity_id", udfs.embedding_key("name").alias("key"), udfs.domain_name("domain").alias("domain"))
@@ -1118,7 +1120,7 @@ def k9(s, d):
     return retrieve.grounded(s.createDataFrame([], "a int"), table(s, d, "documents"))
 
 
-@query("k1_encode_distinct")
+@query("k1_encode_distinct", "SELECT entity_id, CAST(64 AS BIGINT) AS length FROM entities WHERE name IS NOT NULL")
 def k1(s, d):
     rows = table(s, d, "entities").where("name IS NOT NULL").select("entity_id", "name")
     return providers.encode_distinct(rows, "name", providers.encoder()).select("entity_id", F.size("embedding").cast("bigint").alias("length"))

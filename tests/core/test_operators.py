@@ -336,3 +336,22 @@ def test_pairs_of_crowded_chunks_and_frequent_keys(spark):
     for crowd in (5, 200):
         assert {(r.key_a, r.key_b): r["count"] for r in memory.pair_counts(df, crowd=crowd).collect()} == want
     assert {(r.key_a, r.key_b): r["count"] for r in memory.pair_counts(df, 2).collect()} == {p: n for p, n in want.items() if n > 1}
+
+
+def test_contained_names_against_brute_force(spark):
+    import random
+
+    rng = random.Random(12)
+    stock = ["institute", "of", "optics", "art", "kalo", "remi", "data", "xy"]
+    names = sorted({" ".join(rng.choice(stock) for _ in range(rng.randint(1, 5))) for _ in range(120)})
+    schema = "entity_id long, name string, type string, confidence double"
+    e = spark.createDataFrame([(i, n, "T", rng.choice([.1, .5, None])) for i, n in enumerate(names)], schema)
+    words = [{w for w in n.split() if len(w) > 2} for n in names]
+    conf = {r.entity_id: r.confidence for r in e.collect()}
+    want = {}
+    for i, n in enumerate(names):
+        held = [j for j, m in enumerate(names) if j != i and (n in m or m in n) and words[i] & words[j]]
+        if held:
+            want[i] = min(held, key=lambda j: (-(conf[j] if conf[j] is not None else -1), names[j], j))
+    got = {r.new_id: r.entity_id for r in resolve.substring_match(e.withColumnRenamed("entity_id", "new_id"), e, exclude_self=True).collect()}
+    assert got == want and len(want) > 40
