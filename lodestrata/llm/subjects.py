@@ -249,4 +249,4 @@ def composition(shares: DataFrame) -> DataFrame:
     """``subject, chars, share, documents``: what the corpus is about."""
     total = shares.agg(F.sum("chars").alias("whole"))
     sums = shares.groupBy("subject").agg(F.sum("chars").alias("chars"), F.count(F.when(F.col("share") >= 0.2, 1)).alias("documents"))
-    return sums.crossJoin(total).select("subject", "chars", (F.col("chars") / F.col("whole")).alias("share"), "documents")
+    return sums.join(F.broadcast(total), F.lit(True)).select("subject", "chars", (F.col("chars") / F.col("whole")).alias("share"), "documents")
