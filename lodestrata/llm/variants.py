@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,9 @@ _ROMAN = re.compile(r"(?=[ivxl])(xl|l?x{0,3})(ix|iv|v?i{0,3})$")
 _TOKEN = re.compile(r"[^\W_]+|[,:#()]")
 
 
+# Bits of a key's hash when it is counted (whole bytes), and bits of the filter of keys that come twice (8 MB).
+HASH_BITS, FILTER_BITS = 40, 26
+
 _WORDS = frozenset(w for words in KINDS.values() for w in words)
 
 
@@ -377,15 +380,89 @@ def shortened(core: str) -> set[str]:
     return out
 
 
+def _shortened_keys(kinds: list[str], cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The place of a core in the list and a hash of its type and the shortened core, for each shortened form of cores that take edits."""
+    forms = [shortened(c) if _most_edits(c) else () for c in cores]
+    at = np.repeat(np.arange(len(forms)), [len(f) for f in forms])
+    kind = _hashed(kinds) * np.uint64(0x9E3779B97F4A7C15)
+    return at, _hashed([k for f in forms for k in f]) ^ kind[at]
+
+
+def _hashed(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
+
+
+def _met_keys(cores: DataFrame) -> np.ndarray:
+    """A filter of ``2 ** FILTER_BITS`` bits with the bits of all keys that come from two cores, and of a few more.
+
+    Almost no key does, so it is their hashes that are shuffled: sorted by blocks, as differences, two or three bytes each.
+    """
+    some = max(4, min(16, int(cores.count() // 60_000).bit_length()))  # some 4 million keys a slice of the hashes
+    edges = np.arange(2 ** some + 1, dtype=np.uint64) << np.uint64(HASH_BITS - some)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(_shortened_keys(*(x.to_pylist() for x in batch.columns))[1] >> np.uint64(64 - HASH_BITS))
+            if sum(map(len, held)) > 4_000_000:
+                yield sliced(np.sort(np.concatenate(held)))
+                held = []
+        if held:
+            yield sliced(np.sort(np.concatenate(held)))
+
+    def sliced(keys: np.ndarray) -> pa.RecordBatch:
+        ends = np.searchsorted(keys, edges)
+        steps = [np.diff(keys[i:j], prepend=edge) for i, j, edge in zip(ends, ends[1:], edges)]
+        # The bytes of one rank lie together, so that those of the high ranks, mostly zeros, take next to nothing.
+        packed = [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BITS // 8].T).tobytes() for x in steps]
+        return pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "keys"])
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            for at, packed in zip(*(x.to_pylist() for x in batch.columns)):
+                if at != last and held:
+                    yield marked(last, held)
+                    held = []
+                last = at
+                held.append(packed)
+        if held:
+            yield marked(last, held)
+
+    def marked(at: int, held: list[bytes]) -> pa.RecordBatch:
+        keys = []
+        for packed in held:
+            steps = np.zeros((len(packed) * 8 // HASH_BITS, 8), np.uint8)
+            steps[:, :HASH_BITS // 8] = np.frombuffer(packed, np.uint8).reshape(HASH_BITS // 8, -1).T
+            keys.append(np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64))
+        found = np.sort(np.concatenate(keys))
+        found = found[1:][found[1:] == found[:-1]] >> np.uint64(HASH_BITS - FILTER_BITS)
+        bits = np.zeros(2 ** (FILTER_BITS - some), np.uint8)
+        bits[found] = 1
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
+
+    sent = cores.select("type", "core").mapInArrow(told, "slice int, keys binary")
+    found = sent.repartition(2 ** some, "slice").sortWithinPartitions("slice").mapInArrow(twice, "slice int, bits binary")
+    known = np.zeros((2 ** some, 2 ** (FILTER_BITS - some) // 8), np.uint8)
+    for row in found.toLocalIterator():
+        known[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+    return known.ravel()
+
+
 def near_cores(cores: DataFrame) -> DataFrame:
     """``a, b`` of all cores of one type whose edit distance is as small as ``similarity`` takes, by an equi-join on shortened cores."""
+    known = cores.sparkSession.sparkContext.broadcast(_met_keys(cores))  # 8 MB
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, t, core in zip(*(x.to_pylist() for x in batch.columns)):
-                keys = [f"{t}\x01{k}" for k in shortened(core)] if _most_edits(core) else []
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(keys), pa.int64()), pa.array([core] * len(keys)), pa.array(keys)],
-                                                     names=["core_id", "core", "key"])
+            ids, kinds, forms = (x.to_pylist() for x in batch.columns)
+            at, keys = _shortened_keys(kinds, forms)
+            place = keys >> np.uint64(64 - FILTER_BITS)
+            met = (known.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            if met.any():
+                at = at[met].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([forms[i] for i in at]),
+                                                  pa.array(keys[met].view(np.int64))], names=["core_id", "core", "key"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,51 +474,167 @@ def near_cores(cores: DataFrame) -> DataFrame:
             if near:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*near)], names=["a", "b"])
 
-    keyed = cores.select("core_id", "type", "core").mapInArrow(run, "core_id bigint, core string, key string").withColumn("key", F.xxhash64("key"))
-    keyed = staged(keyed, "shortened")
+    keyed = staged(cores.select("core_id", "type", "core").mapInArrow(run, "core_id bigint, core string, key bigint"), "shortened")
     x, y = keyed.alias("x"), keyed.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.core_id") < F.col("y.core_id"))).select(
         F.col("x.core_id").alias("a"), F.col("y.core_id").alias("b"), F.col("x.core").alias("ca"), F.col("y.core").alias("cb")).distinct()
     return pairs.mapInArrow(check, "a bigint, b bigint")
 
 
-def alike_names(names: DataFrame, floor: float = 0.7) -> DataFrame:
+def _grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many n-grams each text, a type and a name, has, and a hash of type and n-gram for all of them in order."""
+    found = [(t, grams(n)) for t, _, n in (x.rpartition("\x01") for x in texts)]
+    return np.array([len(g) for _, g in found], np.int64), _hashed([f"{t}\x01{g}" for t, gs in found for g in gs]).view(np.int64)
+
+
+class _Vectors:
+    """Vectors of length one of some names: n-grams, rare ones first (the same order everywhere), and what is left of a vector from each on."""
+
+    def __init__(self, texts: list[str], often: np.ndarray, total: float) -> None:
+        """``often`` has in how many names each n-gram of ``_grams_of`` is."""
+        self.size, gram = _grams_of(texts)
+        own = np.repeat(np.arange(len(texts)), self.size)
+        order = np.lexsort((gram, often, own))
+        self.own, self.gram, self.often = own, gram[order], often[order]
+        self.begin = np.cumsum(self.size) - self.size
+        w = np.log1p(total / self.often)
+        self.w = w / np.sqrt(np.bincount(own, w * w, len(texts)))[own]
+        square = self.w * self.w
+        before = np.cumsum(square) - square
+        self.rest = np.sqrt(np.maximum(0.0, 1 - before + before[self.begin[own]])) if len(own) else square
+
+    def alike(self, x: np.ndarray, y: np.ndarray | None, gram: int, often: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the names ``x`` among themselves or with ``y``, all with ``gram``: places in ``x`` and ``y`` and cosine of those alike that share no n-gram before it."""
+        rows = x if y is None else np.concatenate([x, y])
+        size = self.size[rows]
+        row = np.repeat(np.arange(len(rows)), size)
+        at = np.arange(len(row)) + np.repeat(self.begin[rows] - np.cumsum(size) + size, size)
+        _, shown, column = np.unique(self.gram[at], return_index=True, return_inverse=True)
+        held = np.zeros((len(rows), len(shown)))
+        held[row, column] = self.w[at]
+        right = held if y is None else held[len(x):]
+        cosine = held[:len(x)] @ right.T
+        a, b = np.nonzero((np.triu(cosine, 1) if y is None else cosine) >= floor)
+        if len(a):
+            n, g = self.often[at[shown]], self.gram[at[shown]]
+            early = (held[:, (n < often) | ((n == often) & (g < gram))] > 0).astype(np.float32)
+            first = (early[:len(x)] @ (early if y is None else early[len(x):]).T)[a, b] == 0
+            a, b = a[first], b[first]
+        return a, b, cosine[a, b]
+
+
+def _dealt(ids: np.ndarray, parts: int) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def alike_names(names: DataFrame, floor: float = 0.7, known: int = 1_000_000, block: int = 8_192) -> DataFrame:
     """``a, b, cosine`` of all names of one type whose weighted n-gram vectors have a cosine of ``floor`` or more.
 
-    ``names`` has ``name_id, type, name``, each name of a type once.
+    ``names`` has ``name_id, type, name``, each name of a type once. Candidates are checked where they meet, from the names themselves, and
+    leave at their rarest common n-gram only; so neither candidates nor vectors are shuffled. Names with one n-gram meet in blocks of
+    ``block``. The counts of n-grams are broadcast; where more than ``known`` n-grams are in two names or more, each name carries its own.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(i, f"{t}\x01{g}") for i, t, name in zip(*(x.to_pylist() for x in batch.columns)) for g in grams(name)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.string()])], names=["name_id", "gram"])
+    spark = names.sparkSession
+    texts = names.select("name_id", F.concat("type", F.lit("\x01"), "name").alias("text"))
+    total = float(max(1, names.count()))
 
-    posted = staged(names.select("name_id", "type", "name").mapInArrow(run, "name_id bigint, gram string").withColumn("gram", F.xxhash64("gram")), "grams")
-    total = F.lit(float(max(1, names.count())))
-    weights = posted.groupBy("gram").agg(F.count("*").alias("df")).withColumn("w", F.log1p(total / F.col("df")))
-    # A vector is bounded by its name's length: its n-grams, rare ones first (the same order everywhere), with their weights.
-    held = posted.join(weights, "gram").groupBy("name_id").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "w"))).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    vectors = staged(held.withColumn("norm", norm).select("name_id", F.transform("v", lambda x: x["gram"]).alias("gram"),
-                                                          F.transform("v", lambda x: x["w"] / F.col("norm")).alias("w")), "vectors")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(_grams_of(batch.column(0).to_pylist())[1])
+            if sum(map(len, held)) > 2_000_000:
+                yield counted(held)
+                held = []
+        if held:
+            yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, np.unique(np.concatenate(held), return_counts=True))], names=["gram", "n"])
+
+    counts = staged(texts.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1"), "counts")
+    held = None
+    if counts.count() <= known:
+        shared = counts.orderBy("gram").toPandas()
+        held = spark.sparkContext.broadcast((shared["gram"].to_numpy(np.int64), shared["n"].to_numpy(np.int64)))  # 16 MB at most
+        texts = texts.withColumn("often", F.lit(None).cast("array<bigint>"))
+    else:
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                size, gram = _grams_of(batch.column(1).to_pylist())
+                own = np.repeat(np.arange(len(size)), size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(np.arange(len(own)) - (np.cumsum(size) - size)[own]), pa.array(gram)],
+                                                 names=["name_id", "at", "gram"])
+
+        posted = texts.mapInArrow(post, "name_id bigint, at bigint, gram bigint").join(counts, "gram", "left")
+        # A name's list is bounded by its length.
+        own = posted.groupBy("name_id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(1)).alias("n")))).alias("v"))
+        texts = texts.join(own.select("name_id", F.col("v.n").alias("often")), "name_id")
+
+    def vectors(names: list[str], often: list) -> _Vectors:
+        if held is None:
+            return _Vectors(names, np.array([n for x in often for n in x], np.int64), total)
+        grams, n = held.value
+        if not len(grams):
+            return _Vectors(names, np.ones(_grams_of(names)[0].sum(), np.int64), total)
+        asked = _grams_of(names)[1]
+        at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
+        return _Vectors(names, np.where(grams[at] == asked, n[at], 1), total)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, found, w in zip(*(x.to_pylist() for x in batch.columns)):
-                rest = np.sqrt(np.cumsum(np.square(w[::-1]))[::-1])  # what is left from each n-gram on
-                out += [(i, g) for g, r in zip(found, rest) if r >= floor - 1e-9]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["name_id", "gram"])
-
-    keyed = staged(vectors.mapInArrow(first, "name_id bigint, gram bigint"), "first")
-    x, y = keyed.alias("x"), keyed.alias("y")
-    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.name_id") < F.col("y.name_id"))).select(
-        F.col("x.name_id").alias("a"), F.col("y.name_id").alias("b")).distinct()
-    left = vectors.select(F.col("name_id").alias("a"), F.map_from_arrays("gram", "w").alias("va"))
-    right = vectors.select(F.col("name_id").alias("b"), F.col("gram").alias("gb"), F.col("w").alias("wb"))
-    dot = F.aggregate(F.arrays_zip("gb", "wb"), F.lit(0.0), lambda s, e: s + F.coalesce(F.col("va")[e["gb"]], F.lit(0.0)) * e["wb"])
-    return pairs.join(left, "a").join(right, "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= floor)
+            ids = batch.column(0).to_numpy()
+            v = vectors(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            keep = np.flatnonzero((v.rest >= floor - 1e-9) & (v.often > 1))
+            parts = -(-v.often[keep] // block)
+            mine = _dealt(ids[v.own[keep]], parts)
+            # A name of block i goes to the cells of i with each block.
+            again = np.repeat(np.arange(len(keep)), parts)
+            other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
+            cell = (np.minimum(mine[again], other) << 32) | np.maximum(mine[again], other)
+            row, gram = v.own[keep][again], v.gram[keep][again]
+            for i in range(0, len(row), 50_000):
+                sent = batch.take(pa.array(row[i:i + 50_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(gram[i:i + 50_000]), pa.array(cell[i:i + 50_000]), *sent.columns], names=["gram", "cell", "name_id", "text", "often"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([left, rows]).combine_chunks() if left is not None else rows
+            gram, cell = rows["gram"].to_numpy(), rows["cell"].to_numpy()
+            ends = np.flatnonzero((np.diff(gram) != 0) | (np.diff(cell) != 0)) + 1
+            if len(ends):
+                yield from met(rows.slice(0, ends[-1]), np.concatenate([[0], ends]))
+            left = rows.slice(ends[-1] if len(ends) else 0)
+        if left is not None:
+            yield from met(left, np.array([0, left.num_rows]))
+
+    def met(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        gram, cell, ids = (rows[c].to_numpy() for c in ("gram", "cell", "name_id"))
+        once, at, own = np.unique(ids, return_index=True, return_inverse=True)
+        sent = rows.select(["text", "often"]).take(pa.array(at))
+        v = vectors(sent["text"].to_pylist(), sent["often"].to_pylist())
+        out = []
+        for i, j in zip(ends, ends[1:]):
+            if j - i < 2:
+                continue
+            low, high = int(cell[i]) >> 32, int(cell[i]) & 0xFFFFFFFF
+            x = own[i:j]
+            mine = slice(v.begin[x[0]], v.begin[x[0]] + v.size[x[0]])
+            often = int(v.often[mine][v.gram[mine] == gram[i]][0])
+            sides = [x] if low == high else [x[_dealt(ids[i:j], -(-often // block)) == k] for k in (low, high)]
+            for k in range(0, len(sides[0]), 256):
+                a = sides[0][k:k + 256]
+                others = [None] * (low == high) + [sides[-1][m:m + 256] for m in range(k + 256 if low == high else 0, len(sides[-1]), 256)]
+                for b in others:
+                    p, q, cosine = v.alike(a, b, gram[i], often, floor)
+                    p, q = once[a[p]], once[(a if b is None else b)[q]]
+                    out.append((np.minimum(p, q), np.maximum(p, q), cosine))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b", "cosine"])
+
+    keyed = texts.mapInArrow(first, "gram bigint, cell bigint, name_id bigint, text string, often array<bigint>")
+    return keyed.repartition("gram", "cell").sortWithinPartitions("gram", "cell").mapInArrow(meet, "a bigint, b bigint, cosine double")
 
 
 @F.pandas_udf(T.StringType())
@@ -452,18 +645,18 @@ def _spelled(core: pd.Series, roles: pd.Series) -> pd.Series:
 def clusters(rows: DataFrame, entries: list, id_col: str = "entity_id", least: float = 0.5) -> DataFrame:
     """``id, type, core, cluster`` of every row with a name and a type; ``cluster`` is the least id of the cluster."""
     read_rows = staged(readings(rows, entries, id_col).dropDuplicates(["id"]), "readings")
-    nodes = staged(read_rows.groupBy("type", "core", "roles", "entry").agg(F.min("id").alias("node"), F.count("*").alias("rows")), "nodes")
-    cores = staged(nodes.groupBy("type", "core").agg(F.min("node").alias("core_id")), "cores")
-    placed = nodes.join(cores, ["type", "core"])
-    names = staged(placed.withColumn("name", _spelled("core", "roles")).groupBy("type", "name").agg(
+    nodes = read_rows.groupBy("type", "core", "roles", "entry").agg(F.min("id").alias("node"), F.count("*").alias("rows"))
+    nodes = staged(nodes.withColumn("core_id", F.min("node").over(Window.partitionBy("type", "core"))), "nodes")
+    cores = nodes.where("node = core_id").select("type", "core", "core_id")
+    names = staged(nodes.withColumn("name", _spelled("core", "roles")).groupBy("type", "name").agg(
         F.min("node").alias("name_id"), F.array_distinct(F.collect_list("core_id")).alias("cores")), "names")
     # The cores of one name are linked, and the first cores of names that are alike.
     first = names.select(F.col("name_id"), F.col("cores")[0].alias("core_id"))
     one = names.select(F.col("cores")[0].alias("a"), F.explode("cores").alias("b")).where("a <> b")
     alike = alike_names(names).join(first.select(F.col("name_id").alias("a"), F.col("core_id").alias("ca")), "a").join(
         first.select(F.col("name_id").alias("b"), F.col("core_id").alias("cb")), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    groups = components(near_cores(cores).unionByName(one).unionByName(alike))
-    placed = placed.join(groups, F.col("core_id") == groups["node"], "left").select(
+    groups = components(staged(near_cores(cores).unionByName(one).unionByName(alike), "links"))
+    placed = nodes.join(groups, F.col("core_id") == groups["node"], "left").select(
         F.coalesce("component", "core_id").alias("component"), "type", nodes["node"], "core", "roles", "entry", "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,11 +680,11 @@ def clusters(rows: DataFrame, entries: list, id_col: str = "entity_id", least: f
             found = [first[x] for x in label]
         else:
             found = ids
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["node", "cluster"])
+        return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in held], pa.string()) for k in (1, 3, 4, 5)), pa.array(found, pa.int64())],
+                                          names=["type", "core", "roles", "entry", "cluster"])
 
-    grouped_nodes = placed.select("component", "type", "node", "core", "roles", "entry", "rows").repartition(
-        "component").sortWithinPartitions("component", "node").mapInArrow(run, "node bigint, cluster bigint")
-    labelled = nodes.join(grouped_nodes, "node").select("type", "core", "roles", "entry", "cluster")
+    labelled = placed.select("component", "type", "node", "core", "roles", "entry", "rows").repartition(
+        "component").sortWithinPartitions("component", "node").mapInArrow(run, "type string, core string, roles string, entry string, cluster bigint")
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in ("type", "core", "roles", "entry")]
     return read_rows.alias("r").join(labelled.alias("l"), same).select("r.id", "r.type", "r.core", "l.cluster")
 

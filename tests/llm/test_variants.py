@@ -1,5 +1,6 @@
 import pytest
 
+from lodestrata.llm.canonical import edits
 from lodestrata.llm.variants import alike_names, average_linkage, clusters, components, grams, near_cores, read, same_pairs, similarity, spelled
 
 ENTRIES = [("Law", ["Droit"]), ("Sport", []), ("Wound Care", ["Dressing Practice"])]
@@ -126,3 +127,69 @@ def test_two_edits_far_apart_are_linked(spark):
     pairs = [("birzoinuwi", "brizoinuuwi"), ("wifeikarren", "wyfeikraren"), ("abcdefg", "bacdegf")]
     cores = spark.createDataFrame([(2 * i + k, "PERSON", c) for i, p in enumerate(pairs) for k, c in enumerate(p)], "core_id long, type string, core string")
     assert {tuple(r) for r in near_cores(cores).collect()} == {(0, 1), (2, 3), (4, 5)}
+
+
+def _shuffled(spark, run):
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before, most = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        got = run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    return got, written() - before
+
+
+def test_candidates_are_not_shuffled(spark):
+    import itertools
+
+    parts = ["kalomi", "rentus", "vobeda", "gupefi", "zanoku", "tirelu", "sogamo", "hupide"]
+    names = sorted(" ".join(sorted(x)) for x in itertools.combinations([a + b for a in parts[:4] for b in parts[4:]] + parts, 3))
+    df = spark.createDataFrame([(i, "A", n) for i, n in enumerate(names)], "name_id long, type string, name string")
+    got, size = _shuffled(spark, lambda: {(r.a, r.b) for r in alike_names(df, .75).collect()})
+    assert len(got) > 1000 and size < 300 * len(names), (size, len(names), len(got))
+
+
+def test_cores_without_a_near_one_are_not_shuffled(spark):
+    import random
+
+    rng = random.Random(4)
+    cores = sorted({"".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 6))) for _ in range(4000)})
+    cores += [c[:i] + c[i + 1:] for c in cores[:40] for i in (1, 2)]
+    cores += [c[1] + c[0] + c[2:] + "x" for c in cores[:40]]
+    cores = sorted(set(cores))
+    df = spark.createDataFrame([(i, "A", c) for i, c in enumerate(cores)] + [(100_000 + i, "B", c) for i, c in enumerate(cores[::7])], "core_id long, type string, core string")
+    got, size = _shuffled(spark, lambda: [tuple(r) for r in near_cores(df).collect()])
+    most = lambda a, b: 0 if min(len(a), len(b)) < 4 else 1 if min(len(a), len(b)) < 7 else 2
+    sides = [(0, cores), (100_000, cores[::7])]
+    want = {(k + i, k + j) for k, x in sides for i in range(len(x)) for j in range(i + 1, len(x))
+            if abs(len(x[i]) - len(x[j])) <= 2 and len(set(x[i]) ^ set(x[j])) <= 4 and most(x[i], x[j]) and edits(x[i], x[j], most(x[i], x[j])) <= most(x[i], x[j])}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert size < 300 * len(cores), (size, len(cores))
+
+
+def test_counts_that_are_not_broadcast_and_blocks_give_the_same_pairs(spark):
+    import random
+
+    rng = random.Random(9)
+    part = lambda: "".join(rng.choice(["ka", "lo", "mi", "ren", "tus", "vo"]) for _ in range(rng.randint(1, 3)))
+    names = sorted({" ".join(part() for _ in range(rng.randint(1, 3))) for _ in range(400)})
+    df = spark.createDataFrame([(i, "AB"[i % 2], n) for i, n in enumerate(names)], "name_id long, type string, name string")
+    want = sorted((r.a, r.b, round(r.cosine, 9)) for r in alike_names(df, .6).collect())
+    assert len(want) > 20 and len({x[:2] for x in want}) == len(want)
+    for more in ({"known": 0}, {"block": 4}, {"known": 0, "block": 3}):
+        assert sorted((r.a, r.b, round(r.cosine, 9)) for r in alike_names(df, .6, **more).collect()) == want
+    assert alike_names(df.limit(0), .6).count() == 0 and alike_names(df.limit(0), .6, known=-1).count() == 0
+
+
+def test_a_large_group_of_alike_names_gives_each_pair_once(spark):
+    names = [(i, "A", f"vobedakalomi {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(600)]
+    df = spark.createDataFrame(names, "name_id long, type string, name string")
+    for block in (8192, 250):
+        got = [(r.a, r.b) for r in alike_names(df, .1, block=block).collect()]
+        assert len(got) == len(set(got)) == 600 * 599 // 2 and all(a < b for a, b in got)
