@@ -1,6 +1,7 @@
 """Operators on small tables: the rules of the survey, nulls, ties, repeats and empty tables."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -355,3 +356,38 @@ def test_contained_names_against_brute_force(spark):
             want[i] = min(held, key=lambda j: (-(conf[j] if conf[j] is not None else -1), names[j], j))
     got = {r.new_id: r.entity_id for r in resolve.substring_match(e.withColumnRenamed("entity_id", "new_id"), e, exclude_self=True).collect()}
     assert got == want and len(want) > 40
+
+
+def test_pairs_of_names_are_not_broadcast(spark):
+    """Rows made by explode are many times what the planner takes them for, so a broadcast of them filled the driver (l5_resolution_cascade)."""
+    cols = "entity_id long, name string, type string, domain string, confidence double"
+    e = spark.createDataFrame([(i, f"Name {i} of Many", "T", None, .5) for i in range(40)], cols)
+    new = e.withColumnRenamed("entity_id", "new_id")
+    for pairs in (resolve.typo_pairs(new, e), resolve.acronym_pairs(new, e), resolve.substring_match(new, e)):
+        pairs.collect()
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contained_names_meet_by_ends_of_words(spark):
+    """Names whose first word ends a longer word of the other or whose last begins one, short words, single words, honorifics, many equal names: as by comparing all."""
+    names = ["art lab", "Smart Lab", "smart labour", "Smart  Lab", "Art Lab of X", "lab", "of", "Dr. Ada Lo", "Ada Lovelace", "V. Lovelace", "AV. Lovelaces", "X of Y", "ab of the cd", "Cab of the cdx",
+             "abc of cd", "xabc of cde", "abc", "a b", "a b abc", "(lab)", "Höhle (Nord)", "Höhle", "Metrology Laboratory", "Big Metrology Laboratory", "metrology", "", None]
+    names += ["Metrology Laboratory"] * 3 + ["ada lovelace"] * 3
+    e = spark.createDataFrame([(i, n, t, c) for i, (n, t, c) in enumerate(
+        (n, t, [.5, None, .7, .7][k % 4]) for k, n in enumerate(names) for t in ("T", "U"))], "entity_id long, name string, type string, confidence double")
+    rows = [r for r in e.collect() if r.name is not None]
+
+    def bare(n):
+        return re.sub(r"^(dr\.|dr |prof\.|prof |mr\.|mr |ms\.|ms |mrs\.|mrs )", "", n.strip().lower()).strip()
+
+    def shared(a, b):
+        return {w for w in re.split(r"[\W_]+", a) if len(w) > 2} & {w for w in re.split(r"[\W_]+", b) if len(w) > 2}
+
+    for alone in (False, True):
+        want = {}
+        for r in rows:
+            hits = [s for s in rows if s.type == r.type and not (alone and s.entity_id == r.entity_id) and (bare(r.name) in s.name.lower() or s.name.lower() in bare(r.name)) and shared(bare(r.name), s.name.lower())]
+            if hits:
+                want[r.entity_id] = min(hits, key=lambda s: (s.confidence is None, -(s.confidence or 0), s.name, s.entity_id)).entity_id
+        got = resolve.substring_match(e.withColumnRenamed("entity_id", "new_id"), e, exclude_self=alone)
+        assert {r.new_id: r.entity_id for r in got.collect()} == want and got.count() == len(want) > 30
