@@ -391,3 +391,24 @@ def test_contained_names_meet_by_ends_of_words(spark):
                 want[r.entity_id] = min(hits, key=lambda s: (s.confidence is None, -(s.confidence or 0), s.name, s.entity_id)).entity_id
         got = resolve.substring_match(e.withColumnRenamed("entity_id", "new_id"), e, exclude_self=alone)
         assert {r.new_id: r.entity_id for r in got.collect()} == want and got.count() == len(want) > 30
+
+
+def test_typos_of_long_names_against_brute_force(spark):
+    """Names with a common end or beginning and up to three edits of letters, also not Latin ones: all within two edits come out, and no others."""
+    import random
+
+    rng = random.Random(5)
+    names = ["Kalotrem Optics Laboratory", "Kalo", "Odile Vetuprak", "Ödile Vetuprak", "aaaaaaaa", "东京大学研究所"]
+    for n in list(names):
+        for _ in range(14):
+            x = list(n)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(x))
+                x[at:at + rng.randint(0, 1)] = [] if rng.random() < .3 else [rng.choice("aekö京 ")]
+            names.append("".join(x))
+    e = spark.createDataFrame([(i, n, "T", None, .5) for i, n in enumerate(names)], "entity_id long, name string, type string, domain string, confidence double")
+    both = e.select(F.col("entity_id").alias("i"), F.lower("name").alias("x")).crossJoin(e.select(F.col("entity_id").alias("j"), F.lower("name").alias("y")))
+    want = {(r.i, r.j) for r in both.where("length(x) >= 4 AND length(y) >= 4 AND x <> y AND levenshtein(x, y) <= 2").collect()}
+    out = {(r.i, r.j) for r in both.where(resolve.disqualified("x", "y").isNotNull()).collect()}
+    got = [(r.new_id, r.entity_id) for r in resolve.typo_pairs(e.withColumnRenamed("entity_id", "new_id"), e).collect()]
+    assert set(got) == want - out and len(got) == len(set(got)) > 300
